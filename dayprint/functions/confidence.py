@@ -3,7 +3,6 @@
 from pyspark.sql import Column, functions as F
 
 from dayprint.constants import DEFAULT_CONFIDENCE, DEFAULT_TARGET_STATS
-from dayprint.functions.text import plain
 
 
 def regression_confidence(prediction: Column, stats: dict | None) -> Column:
@@ -37,23 +36,17 @@ def overall_confidence(regression: Column, classification: Column) -> Column:
 
 
 def input_summary() -> Column:
-    return F.struct(
-        F.concat(
-            F.col("transport_mode"), F.lit(" ("), plain(F.col("distance_km")), F.lit(" km)")
-        ).alias("transport"),
-        F.concat(
-            plain(F.col("electricity_kwh")),
-            F.lit(" kWh, "),
-            plain(F.col("renewable_usage_pct")),
-            F.lit("% renewable"),
-        ).alias("energy"),
-        F.col("food_type").alias("food"),
-        F.struct(
-            F.concat(plain(F.col("screen_time_hours")), F.lit(" hours")).alias("screen_time"),
-            F.concat(plain(F.col("waste_generated_kg")), F.lit(" kg")).alias("waste"),
-            F.col("eco_actions"),
-        ).alias("lifestyle"),
-        F.col("day_type"),
+    return F.expr(
+        """named_struct(
+            'transport', concat(transport_mode, ' (', string(distance_km), ' km)'),
+            'energy', concat(
+                string(electricity_kwh), ' kWh, ', string(renewable_usage_pct), '% renewable'),
+            'food', food_type,
+            'lifestyle', named_struct(
+                'screen_time', concat(string(screen_time_hours), ' hours'),
+                'waste', concat(string(waste_generated_kg), ' kg'),
+                'eco_actions', eco_actions),
+            'day_type', day_type)"""
     )
 
 

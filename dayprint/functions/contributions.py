@@ -13,7 +13,8 @@ from dayprint.constants import (
     FOOD_WEIGHTS,
     TRANSPORT_WEIGHTS,
 )
-from dayprint.functions.features import energy_efficiency, lookup
+from dayprint.functions.features import ENERGY_EFFICIENCY, lookup_sql
+from dayprint.functions.text import double, quoted
 
 # Weights per unit.
 ENERGY_WEIGHT = 0.3
@@ -27,49 +28,48 @@ UNKNOWN_CATEGORY_WEIGHT = 0.5
 TYPICAL_FOOTPRINT = 8.0
 
 
-def _entries(values: dict[str, Column]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in values.items()]
-    )
+def _entries(values: dict[str, str]) -> str:
+    pairs = [f"named_struct('feature', {quoted(k)}, 'value', {v})" for k, v in values.items()]
+    return f"array({', '.join(pairs)})"
 
 
-def raw_contributions() -> dict[str, Column]:
-    """Unscaled parts of a record, by factor."""
-    c = F.col
+def raw_contributions() -> dict[str, str]:
+    """Unscaled parts of a record, by factor, as SQL."""
+    mode = lookup_sql("transport_mode", TRANSPORT_WEIGHTS, UNKNOWN_CATEGORY_WEIGHT)
     return {
-        "transport": lookup(c("transport_mode"), TRANSPORT_WEIGHTS, UNKNOWN_CATEGORY_WEIGHT)
-        * (c("distance_km") / 10),
-        "energy": energy_efficiency() * ENERGY_WEIGHT,
-        "food": lookup(c("food_type"), FOOD_WEIGHTS, UNKNOWN_CATEGORY_WEIGHT),
-        "waste": c("waste_generated_kg") * WASTE_WEIGHT,
-        "eco_actions": c("eco_actions") * ECO_ACTION_WEIGHT,
-        "screen_time": c("screen_time_hours") * SCREEN_WEIGHT,
+        "transport": f"{mode} * (distance_km / 10)",
+        "energy": f"{ENERGY_EFFICIENCY} * {double(ENERGY_WEIGHT)}",
+        "food": lookup_sql("food_type", FOOD_WEIGHTS, UNKNOWN_CATEGORY_WEIGHT),
+        "waste": f"waste_generated_kg * {double(WASTE_WEIGHT)}",
+        "eco_actions": f"eco_actions * {double(ECO_ACTION_WEIGHT)}",
+        "screen_time": f"screen_time_hours * {double(SCREEN_WEIGHT)}",
     }
 
 
 def contributions() -> Column:
     """Contributions scaled to a typical footprint and rounded to 3 places."""
     raw = raw_contributions()
-    total = sum((F.abs(v) for v in raw.values()), F.lit(0.0))
-    scale = F.when(total > 0, F.lit(TYPICAL_FOOTPRINT) / total).otherwise(F.lit(1.0))
-    return _entries({k: F.round(v * scale, 3) for k, v in raw.items()})
+    total = " + ".join(["0.0D", *[f"abs({v})" for v in raw.values()]])
+    scale = f"(case when {total} > 0 then {double(TYPICAL_FOOTPRINT)} / ({total}) else 1.0D end)"
+    return F.expr(_entries({k: f"round({v} * {scale}, 3)" for k, v in raw.items()}))
 
 
 def service_contributions() -> Column:
     """Nine raw weights, one per input field."""
-    c = F.col
-    return _entries(
-        {
-            "day_type": lookup(c("day_type"), DAY_WEIGHTS, 0.0),
-            "transport_mode": lookup(c("transport_mode"), TRANSPORT_WEIGHTS, 0.0),
-            "distance_km": c("distance_km") * DISTANCE_WEIGHT,
-            "electricity_kwh": c("electricity_kwh") * ENERGY_WEIGHT,
-            "renewable_usage_pct": c("renewable_usage_pct") * RENEWABLE_WEIGHT,
-            "food_type": lookup(c("food_type"), FOOD_WEIGHTS, 0.0),
-            "screen_time_hours": c("screen_time_hours") * SCREEN_WEIGHT,
-            "waste_generated_kg": c("waste_generated_kg") * WASTE_WEIGHT,
-            "eco_actions": c("eco_actions") * ECO_ACTION_WEIGHT,
-        }
+    return F.expr(
+        _entries(
+            {
+                "day_type": lookup_sql("day_type", DAY_WEIGHTS, 0.0),
+                "transport_mode": lookup_sql("transport_mode", TRANSPORT_WEIGHTS, 0.0),
+                "distance_km": f"distance_km * {double(DISTANCE_WEIGHT)}",
+                "electricity_kwh": f"electricity_kwh * {double(ENERGY_WEIGHT)}",
+                "renewable_usage_pct": f"renewable_usage_pct * {double(RENEWABLE_WEIGHT)}",
+                "food_type": lookup_sql("food_type", FOOD_WEIGHTS, 0.0),
+                "screen_time_hours": f"screen_time_hours * {double(SCREEN_WEIGHT)}",
+                "waste_generated_kg": f"waste_generated_kg * {double(WASTE_WEIGHT)}",
+                "eco_actions": f"eco_actions * {double(ECO_ACTION_WEIGHT)}",
+            }
+        )
     )
 
 
@@ -77,49 +77,42 @@ def as_map(entries: Column) -> Column:
     return F.map_from_entries(entries)
 
 
-def ranked_shares(entries: Column, places: int | None = 1) -> Column:
+def ranked_shares(entries: str, places: int | None = 1) -> Column:
     """Shares of the absolute total in percent, largest first.
 
-    Gives ``array<struct<factor, percentage>>``, empty when every contribution
-    is zero. ``places=None`` keeps the shares unrounded.
+    ``entries`` is the name of a contribution column. Gives
+    ``array<struct<factor, percentage>>``, empty when every contribution is zero.
+    ``places=None`` keeps the shares unrounded. Ranking is an array sort inside
+    the row, so it needs no shuffle.
     """
-    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + F.abs(e["value"]))
-
-    def share(e: Column) -> Column:
-        pct = F.abs(e["value"]) / total * 100
-        return pct if places is None else F.round(pct, places)
-
-    keyed = F.transform(
-        entries,
-        lambda e, i: F.struct(
-            (-share(e)).alias("sort_key"), i.alias("position"), e["feature"].alias("factor")
-        ),
+    total = f"aggregate({entries}, 0.0D, (acc, e) -> acc + abs(e.value))"
+    share = "try_divide(abs(e.value), t.total) * 100"
+    if places is not None:
+        share = f"round({share}, {places})"
+    ranked = f"""transform(
+        array_sort(transform({entries}, (e, i) -> named_struct(
+            'sort_key', -({share}), 'position', i, 'factor', e.feature))),
+        s -> named_struct('factor', s.factor, 'percentage', -s.sort_key))"""
+    # The total is computed once per row and handed to the inner lambdas.
+    return F.expr(
+        f"""transform(array(named_struct('total', {total})), t ->
+            case when t.total > 0 then {ranked} else slice({ranked}, 1, 0) end)[0]"""
     )
-    ranked = F.transform(
-        F.array_sort(keyed),
-        lambda e: F.struct(e["factor"].alias("factor"), (-e["sort_key"]).alias("percentage")),
-    )
-    return F.when(total > 0, ranked).otherwise(F.slice(ranked, 1, 0))
 
 
-def top_factors(shares: Column, k: int = 3) -> Column:
-    return F.slice(shares, 1, k)
+def top_factors(shares: str, k: int = 3) -> Column:
+    return F.expr(f"slice({shares}, 1, {k})")
 
 
-def describe_factor(factor: Column) -> Column:
+def describe_factor(factor: str) -> str:
     """Description of a factor; an unknown factor describes itself."""
-    described = F
-    for name, text in FACTOR_DESCRIPTIONS.items():
-        described = described.when(factor == name, text)
-    return described.otherwise(factor)
-
-
-def key_factors(shares: Column, k: int = 3) -> Column:
-    return F.transform(
-        F.slice(shares, 1, k),
-        lambda s: F.struct(
-            s["factor"].alias("factor"),
-            s["percentage"].alias("percentage"),
-            describe_factor(s["factor"]).alias("description"),
-        ),
+    cases = " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in FACTOR_DESCRIPTIONS.items())
+    return f"(case {factor} {cases} else {factor} end)"
+
+
+def key_factors(shares: str, k: int = 3) -> Column:
+    return F.expr(
+        f"""transform(slice({shares}, 1, {k}), s -> named_struct(
+            'factor', s.factor, 'percentage', s.percentage,
+            'description', {describe_factor('s.factor')}))"""
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from dayprint.functions.text import fixed
+from dayprint.functions.text import array_of, fixed, quoted
 
 # Texts of the explanations.
 CONTEXT = {
@@ -23,92 +23,59 @@ NOTES = {
 }
 
 
-def _observed(level: Column) -> dict[str, Column]:
-    c = F.col
+def _observed(level: str) -> dict[str, str]:
     return {
-        "car": (c("transport_mode") == "Car") & (c("distance_km") > 10),
-        "renewables": c("renewable_usage_pct") < 30,
-        "diet": (c("food_type") == "Non-Veg") & level.isin("Medium", "High"),
-        "habits": c("eco_actions") < 2,
+        "car": "transport_mode = 'Car' and distance_km > 10",
+        "renewables": "renewable_usage_pct < 30",
+        "diet": f"food_type = 'Non-Veg' and {level} in ('Medium', 'High')",
+        "habits": "eco_actions < 2",
     }
 
 
-def _nth(shares: Column, n: int) -> Column:
-    return F.try_element_at(shares, F.lit(n))
+def explanation(footprint: str, level: str, shares: str) -> Column:
+    """Several lines: headline, context, top two factors, observations.
 
-
-def explanation(footprint: Column, level: Column, shares: Column) -> Column:
-    """Several lines: headline, context, top two factors, observations."""
-    first, second = _nth(shares, 1), _nth(shares, 2)
-    notes = F.array_compact(
-        F.array(
-            *[
-                F.when(condition, F.lit(f"- {OBSERVATIONS[name]}"))
-                for name, condition in _observed(level).items()
-            ]
-        )
+    Takes the names of the footprint, level and ranked-shares columns.
+    """
+    first, second = f"try_element_at({shares}, 1)", f"try_element_at({shares}, 2)"
+    notes = array_of(
+        [
+            f"case when {condition} then {quoted(f'- {OBSERVATIONS[name]}')} end"
+            for name, condition in _observed(level).items()
+        ]
+    )
+    context = " ".join(
+        f"when {level} = {quoted(k)} then {quoted(CONTEXT[k])}" for k in ("Low", "Medium")
     )
-    return F.concat_ws(
-        "\n",
-        F.concat(
-            F.lit("Your daily carbon footprint is estimated at "),
-            fixed(footprint, 1),
-            F.lit(" kg CO₂, which is classified as **"),
-            level,
-            F.lit("** impact."),
-        ),
-        F.when(level == "Low", CONTEXT["Low"])
-        .when(level == "Medium", CONTEXT["Medium"])
-        .otherwise(CONTEXT["High"]),
-        F.concat(
-            F.lit("\nThe main contributor to your footprint is **"),
-            first["factor"],
-            F.lit("** ("),
-            fixed(first["percentage"], 1),
-            F.lit("% of total impact)."),
-        ),
-        F.concat(
-            F.lit("Followed by **"),
-            second["factor"],
-            F.lit("** ("),
-            fixed(second["percentage"], 1),
-            F.lit("%)."),
-        ),
-        F.when(F.size(notes) > 0, F.lit("\n**Key observations:**")),
-        notes,
+    return F.expr(
+        f"""concat_ws('\n',
+            concat('Your daily carbon footprint is estimated at ', {fixed(footprint, 1)},
+                ' kg CO₂, which is classified as **', {level}, '** impact.'),
+            case {context} else {quoted(CONTEXT['High'])} end,
+            concat('\nThe main contributor to your footprint is **', {first}.factor, '** (',
+                {fixed(f'{first}.percentage', 1)}, '% of total impact).'),
+            concat('Followed by **', {second}.factor, '** (',
+                {fixed(f'{second}.percentage', 1)}, '%).'),
+            case when size({notes}) > 0 then '\n**Key observations:**' end,
+            {notes})"""
     )
 
 
-def service_explanation(footprint: Column, level: Column, shares: Column) -> Column:
+def service_explanation(footprint: str, level: str, shares: str) -> Column:
     """Plain text: headline, top two factors, notes."""
-    first, second = _nth(shares, 1), _nth(shares, 2)
+    first, second = f"try_element_at({shares}, 1)", f"try_element_at({shares}, 2)"
     observed = _observed(level)
-    factors = F.concat(
-        F.lit("The main factor contributing to your footprint is '"),
-        first["factor"],
-        F.lit("' ("),
-        fixed(first["percentage"], 1),
-        F.lit("%). "),
-        F.coalesce(
-            F.concat(
-                F.lit("Followed by '"),
-                second["factor"],
-                F.lit("' ("),
-                fixed(second["percentage"], 1),
-                F.lit("%)."),
-            ),
-            F.lit(""),
-        ),
+    notes = ", ".join(
+        f"case when {observed[name]} then {quoted(f'{chr(10)}{chr(10)}Note: {text}')} else '' end"
+        for name, text in NOTES.items()
     )
-    return F.concat(
-        F.lit("Your predicted carbon footprint is "),
-        fixed(footprint, 1),
-        F.lit(" kg CO₂ per day, which is classified as "),
-        level,
-        F.lit(" impact.\n\n"),
-        F.coalesce(factors, F.lit("")),
-        *[
-            F.when(observed[name], F.lit(f"\n\nNote: {text}")).otherwise(F.lit(""))
-            for name, text in NOTES.items()
-        ],
+    followed = f"""concat('Followed by \'', {second}.factor, '\' (',
+        {fixed(f'{second}.percentage', 1)}, '%).')"""
+    factors = f"""concat('The main factor contributing to your footprint is \'',
+        {first}.factor, '\' (', {fixed(f'{first}.percentage', 1)}, '%). ',
+        coalesce({followed}, ''))"""
+    return F.expr(
+        f"""concat('Your predicted carbon footprint is ', {fixed(footprint, 1)},
+            ' kg CO₂ per day, which is classified as ', {level}, ' impact.\n\n',
+            coalesce({factors}, ''), {notes})"""
     )

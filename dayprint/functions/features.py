@@ -1,6 +1,7 @@
-"""Engineered features of one record."""
+"""Engineered features of one record.
 
-from functools import reduce
+Functions named ``*_sql`` give SQL text to build larger expressions from.
+"""
 
 from pyspark.sql import Column, functions as F
 
@@ -10,72 +11,75 @@ from dayprint.constants import (
     LOW_THRESHOLD,
     TRANSPORT_WEIGHTS,
 )
+from dayprint.functions.text import double, quoted
 
 
-def lookup(column: Column, weights: dict[str, float], default: float | None = None) -> Column:
-    """Weight of a category as a CASE chain; unknown categories get the default."""
-    branches = reduce(
-        lambda acc, kv: acc.when(column == kv[0], F.lit(float(kv[1]))), weights.items(), F
-    )
-    return branches.otherwise(F.lit(default).cast("double"))
+def lookup_sql(column: str, weights: dict[str, float], default: float | None = None) -> str:
+    """Weight of a category; unknown categories get the default."""
+    branches = " ".join(f"when {quoted(k)} then {double(v)}" for k, v in weights.items())
+    rest = "cast(null as double)" if default is None else double(default)
+    return f"(case {column} {branches} else {rest} end)"
+
+
+TRANSPORT_IMPACT = f"distance_km * {lookup_sql('transport_mode', TRANSPORT_WEIGHTS)}"
+ENERGY_EFFICIENCY = "electricity_kwh * (100 - renewable_usage_pct) / 100"
 
 
 def transport_impact_score() -> Column:
-    return F.col("distance_km") * lookup(F.col("transport_mode"), TRANSPORT_WEIGHTS)
+    return F.expr(TRANSPORT_IMPACT)
 
 
 def energy_efficiency() -> Column:
-    return F.col("electricity_kwh") * (100 - F.col("renewable_usage_pct")) / 100
+    return F.expr(ENERGY_EFFICIENCY)
 
 
 def waste_per_activity() -> Column:
-    return F.col("waste_generated_kg") / (F.col("eco_actions") + 1)
+    return F.expr("waste_generated_kg / (eco_actions + 1)")
 
 
 def sustainability_score(max_transport_score: Column) -> Column:
     """Mean of four parts; null when the largest transport score is zero."""
-    parts = (
-        F.col("renewable_usage_pct") / 100
-        + F.col("eco_actions") / F.lit(5.0)
-        + (1 - F.try_divide(transport_impact_score(), max_transport_score))
-        + lookup(F.col("food_type"), FOOD_SUSTAINABILITY)
-    )
-    return parts / 4
+    first = F.expr("renewable_usage_pct / 100 + eco_actions / 5.0D")
+    transport = 1 - F.try_divide(transport_impact_score(), max_transport_score)
+    food = F.expr(lookup_sql("food_type", FOOD_SUSTAINABILITY))
+    return (first + transport + food) / 4
 
 
 def transport_electricity_interaction() -> Column:
-    return F.col("distance_km") * F.col("electricity_kwh")
+    return F.expr("distance_km * electricity_kwh")
 
 
 def renewable_waste_interaction() -> Column:
-    return (100 - F.col("renewable_usage_pct")) * F.col("waste_generated_kg")
+    return F.expr("(100 - renewable_usage_pct) * waste_generated_kg")
 
 
 def is_weekend() -> Column:
-    return F.coalesce(F.col("day_type") == "Weekend", F.lit(False)).cast("int")
+    return F.expr("cast(coalesce(day_type = 'Weekend', false) as int)")
 
 
 def renewable_bucket() -> Column:
-    pct = F.col("renewable_usage_pct")
-    return (
-        F.when(pct < 25, "0-25")
-        .when(pct < 50, "25-50")
-        .when(pct < 75, "50-75")
-        .when(pct <= 100, "75-100")
+    return F.expr(
+        """case when renewable_usage_pct < 25 then '0-25'
+                when renewable_usage_pct < 50 then '25-50'
+                when renewable_usage_pct < 75 then '50-75'
+                when renewable_usage_pct <= 100 then '75-100' end"""
     )
 
 
 def log_distance() -> Column:
-    return F.log1p(F.col("distance_km"))
+    return F.log1p("distance_km")
 
 
-def impact_level(
-    footprint: Column, low: float = LOW_THRESHOLD, high: float = HIGH_THRESHOLD
-) -> Column:
+def level_sql(footprint: str, low: float = LOW_THRESHOLD, high: float = HIGH_THRESHOLD) -> str:
     """Low, Medium or High; a missing footprint counts as Medium."""
     return (
-        F.when(footprint < low, "Low")
-        .when(footprint <= high, "Medium")
-        .when(footprint > high, "High")
-        .otherwise("Medium")
+        f"(case when {footprint} < {double(low)} then 'Low' "
+        f"when {footprint} <= {double(high)} then 'Medium' "
+        f"when {footprint} > {double(high)} then 'High' else 'Medium' end)"
     )
+
+
+def impact_level(
+    footprint: str, low: float = LOW_THRESHOLD, high: float = HIGH_THRESHOLD
+) -> Column:
+    return F.expr(level_sql(footprint, low, high))

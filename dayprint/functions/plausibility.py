@@ -2,92 +2,53 @@
 
 from pyspark.sql import Column, functions as F
 
-from dayprint.constants import EXTREME_THRESHOLDS, PLAUSIBLE_FOOTPRINT
-from dayprint.functions.features import impact_level
-from dayprint.functions.text import fixed, plain
+from dayprint.constants import EXTREME_THRESHOLDS, FOOTPRINT, LEVEL, PLAUSIBLE_FOOTPRINT
+from dayprint.functions.features import level_sql
+from dayprint.functions.text import array_of, double, fixed
 
 
-def warnings(footprint: Column, level: Column) -> Column:
-    c = F.col
+def warnings_sql(footprint: str, level: str) -> str:
     low, high = PLAUSIBLE_FOOTPRINT
-    expected = impact_level(footprint)
-
-    def long_trip(mode: str, limit: int, verb: str) -> Column:
-        return F.when(
-            (c("transport_mode") == mode) & (c("distance_km") > limit),
-            F.concat(
-                F.lit(f"{verb} distance ("),
-                plain(c("distance_km")),
-                F.lit(" km) seems unusually high"),
-            ),
-        )
-
-    return F.array_compact(
-        F.array(
-            F.when(
-                ~footprint.between(low, high),
-                F.concat(
-                    F.lit("Carbon footprint ("),
-                    fixed(footprint, 2),
-                    F.lit(f" kg) outside typical range ({low}-{high} kg)"),
-                ),
-            ),
-            F.when(
-                footprint.isNotNull() & (expected != level),
-                F.concat(
-                    F.lit("Impact level '"),
-                    level,
-                    F.lit("' doesn't match expected level '"),
-                    expected,
-                    F.lit("' for footprint "),
-                    fixed(footprint, 2),
-                    F.lit(" kg"),
-                ),
-            ),
+    expected = level_sql(footprint)
+
+    def long_trip(mode: str, limit: int, verb: str) -> str:
+        return f"""case when transport_mode = '{mode}' and distance_km > {limit}
+            then concat('{verb} distance (', string(distance_km), ' km) seems unusually high')
+            end"""
+
+    return array_of(
+        [
+            f"""case when {footprint} not between {double(low)} and {double(high)}
+                then concat('Carbon footprint (', {fixed(footprint, 2)},
+                    ' kg) outside typical range ({low}-{high} kg)') end""",
+            f"""case when {footprint} is not null and {expected} != {level}
+                then concat('Impact level \\'', {level}, '\\' doesn\\'t match expected level \\'',
+                    {expected}, '\\' for footprint ', {fixed(footprint, 2)}, ' kg') end""",
             long_trip("Walk", 30, "Walking"),
             long_trip("Bike", 50, "Biking"),
             *[
-                F.when(
-                    c(name) > limit,
-                    F.concat(
-                        F.lit(f"{name} ("), plain(c(name)), F.lit(") seems unusually high")
-                    ),
-                )
+                f"""case when {name} > {limit}
+                    then concat('{name} (', string({name}), ') seems unusually high') end"""
                 for name, limit in EXTREME_THRESHOLDS.items()
             ],
-        )
+        ]
     )
 
 
-def errors() -> Column:
-    c = F.col
-    return F.array_compact(
-        F.array(
-            F.when(
-                c("renewable_usage_pct") > 100,
-                F.concat(
-                    F.lit("Renewable usage ("),
-                    plain(c("renewable_usage_pct")),
-                    F.lit("%) cannot exceed 100%"),
-                ),
-            ),
-            F.when(
-                c("eco_actions") < 0,
-                F.concat(
-                    F.lit("Eco actions ("),
-                    plain(c("eco_actions")),
-                    F.lit(") cannot be negative"),
-                ),
-            ),
-        )
+def errors_sql() -> str:
+    return array_of(
+        [
+            """case when renewable_usage_pct > 100 then concat(
+                'Renewable usage (', string(renewable_usage_pct), '%) cannot exceed 100%') end""",
+            """case when eco_actions < 0 then concat(
+                'Eco actions (', string(eco_actions), ') cannot be negative') end""",
+        ]
     )
 
 
-def plausibility(footprint: Column, level: Column) -> Column:
+def plausibility(footprint: str = FOOTPRINT, level: str = LEVEL) -> Column:
     """Struct of is_valid, warnings and errors; only errors make it invalid."""
-    problems = errors()
-    return F.struct(
-        (F.size(problems) == 0).alias("is_valid"),
-        warnings(footprint, level).alias("warnings"),
-        problems.alias("errors"),
+    return F.expr(
+        f"""named_struct('is_valid', size({errors_sql()}) = 0,
+            'warnings', {warnings_sql(footprint, level)}, 'errors', {errors_sql()})"""
     )

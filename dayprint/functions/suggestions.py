@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, functions as F
 
+from dayprint.constants import LEVEL
+from dayprint.functions.text import array_of, quoted
+
 MAX_SUGGESTIONS = 3
 
 
@@ -129,24 +132,22 @@ SERVICE_TEXTS = {
 RENEWABLE_CUTOFF = {"core": 30, "service": 50}
 
 
-def _conditions(level: Column, renewable_cutoff: int) -> dict[str, Column]:
-    c = F.col
-    high, medium = level == "High", level == "Medium"
-    calm = ~F.coalesce(level.isin("High", "Medium"), F.lit(False))
+def _conditions(level: str, renewable_cutoff: int) -> dict[str, str]:
+    calm = f"not coalesce({level} in ('High', 'Medium'), false)"
     return {
-        "transport": high & (c("transport_mode") == "Car") & (c("distance_km") > 5),
-        "renewables": high & (c("renewable_usage_pct") < renewable_cutoff),
-        "diet": high & (c("food_type") == "Non-Veg"),
-        "electricity": medium & (c("electricity_kwh") > 8),
-        "waste": medium & (c("waste_generated_kg") > 0.7),
-        "habits": medium & (c("eco_actions") < 3),
+        "transport": f"{level} = 'High' and transport_mode = 'Car' and distance_km > 5",
+        "renewables": f"{level} = 'High' and renewable_usage_pct < {renewable_cutoff}",
+        "diet": f"{level} = 'High' and food_type = 'Non-Veg'",
+        "electricity": f"{level} = 'Medium' and electricity_kwh > 8",
+        "waste": f"{level} = 'Medium' and waste_generated_kg > 0.7D",
+        "habits": f"{level} = 'Medium' and eco_actions < 3",
         "keep_going": calm,
-        "full_renewables": calm & (c("renewable_usage_pct") < 100),
-        "screens": c("screen_time_hours") > 6,
+        "full_renewables": f"{calm} and renewable_usage_pct < 100",
+        "screens": "screen_time_hours > 6",
     }
 
 
-def suggestions(level: Column, variant: str = "core") -> Column:
+def suggestions(level: str = LEVEL, variant: str = "core") -> Column:
     """Matching suggestions in rule order, cut to the first three."""
     if variant == "core":
         fields, texts = CORE_FIELDS, CORE_TEXTS
@@ -154,8 +155,13 @@ def suggestions(level: Column, variant: str = "core") -> Column:
         fields, texts = SERVICE_FIELDS, SERVICE_TEXTS
     else:
         raise ValueError(f"Unknown suggestion variant: {variant}")
+
+    def offer(name: str) -> str:
+        pairs = [f"{quoted(f)}, {quoted(t)}" for f, t in zip(fields, texts[name])]
+        return f"named_struct({', '.join(pairs)})"
+
     options = [
-        F.when(condition, F.struct(*[F.lit(t).alias(f) for f, t in zip(fields, texts[name])]))
+        f"case when {condition} then {offer(name)} end"
         for name, condition in _conditions(level, RENEWABLE_CUTOFF[variant]).items()
     ]
-    return F.slice(F.array_compact(F.array(*options)), 1, MAX_SUGGESTIONS)
+    return F.expr(f"slice({array_of(options)}, 1, {MAX_SUGGESTIONS})")

@@ -1,13 +1,34 @@
-"""Number formatting that gives the same text on every engine."""
+"""SQL text helpers and number formatting.
 
-from pyspark.sql import Column, functions as F
+Large expressions are written as SQL text and parsed once by Spark; building
+them call by call from Python takes seconds of driver time per query.
+"""
 
 
-def fixed(value: Column, places: int) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def double(number: float) -> str:
+    """A SQL double literal; without the suffix it would be a decimal."""
+    return f"{float(number)!r}D"
+
+
+def text_list(values: list[str]) -> str:
+    return ", ".join(quoted(v) for v in values)
+
+
+def fixed(value: str, places: int) -> str:
     """Text with a fixed number of decimals, half away from zero."""
-    return F.round(value, places).try_cast(f"decimal(20,{places})").cast("string")
+    return f"cast(try_cast(round({value}, {places}) as decimal(20,{places})) as string)"
+
+
+def joined(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def plain(value: Column) -> Column:
-    """Shortest text of a number, as ``15.5`` or ``2``."""
-    return value.cast("string")
+def array_of(parts: list[str]) -> str:
+    """Array of the parts that are not null."""
+    return f"array_compact(array({', '.join(parts)}))"

@@ -3,17 +3,14 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dayprint.constants import DOMAINS, FEATURES, NUMERIC_FEATURES, RANGES
+from dayprint.functions.text import array_of, quoted, text_list
 from dayprint.schema import FEATURE_SCHEMA
 
 
-def nan_to_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(float("nan")))
-
-
 def coerce_numeric(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFrame:
     """Turn text numbers into doubles; anything unreadable becomes null."""
     return df.withColumns(
-        {c: nan_to_null(F.col(c).try_cast("double")) for c in columns}
+        {c: F.expr(f"nullif(try_cast({c} as double), double('NaN'))") for c in columns}
     )
 
 
@@ -22,46 +19,45 @@ def fill_missing_columns(df: DataFrame) -> DataFrame:
     present = set(df.columns)
     extra = [c for c in df.columns if c not in FEATURES]
     typed = [
-        F.col(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name)
+        f.name if f.name in present else f"cast(null as {f.dataType.simpleString()}) as {f.name}"
         for f in FEATURE_SCHEMA.fields
     ]
-    return df.select(*extra, *typed)
-
+    return df.selectExpr(*extra, *typed)
 
-def _quoted(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
-
-def missing_field_errors() -> list[Column]:
+def missing_field_errors() -> list[str]:
     return [
-        F.when(F.col(c).isNull(), F.lit(f"Missing required field: {c}")) for c in FEATURES
+        f"case when {c} is null then {quoted(f'Missing required field: {c}')} end"
+        for c in FEATURES
     ]
 
 
-def domain_errors() -> list[Column]:
+def domain_errors() -> list[str]:
     return [
-        F.when(~F.col(c).isin(allowed), F.lit(f"{c} must be one of: {_quoted(allowed)}"))
+        f"case when {c} not in ({text_list(allowed)}) "
+        f"then {quoted(f'{c} must be one of: {allowed}')} end"
         for c, allowed in DOMAINS.items()
     ]
 
 
-def range_errors() -> list[Column]:
+def range_errors() -> list[str]:
     return [
-        F.when(~F.col(c).between(lo, hi), F.lit(f"{c} must be between {lo} and {hi}"))
+        f"case when {c} not between {lo} and {hi} "
+        f"then {quoted(f'{c} must be between {lo} and {hi}')} end"
         for c, (lo, hi) in RANGES.items()
     ]
 
 
 def validation_errors() -> Column:
     """All errors of a record; missing fields hide the later checks."""
-    missing = F.array_compact(F.array(*missing_field_errors()))
-    invalid = F.array_compact(F.array(*domain_errors(), *range_errors()))
-    has_missing = F.lit(False)
-    for c in FEATURES:
-        has_missing = has_missing | F.col(c).isNull()
-    return F.when(has_missing, missing).otherwise(invalid)
+    any_missing = " or ".join(f"{c} is null" for c in FEATURES)
+    return F.expr(
+        f"case when {any_missing} then {array_of(missing_field_errors())} "
+        f"else {array_of(domain_errors() + range_errors())} end"
+    )
 
 
 def first_error() -> Column:
     """The first error only, or null for a valid record."""
-    return F.coalesce(*missing_field_errors(), *domain_errors(), *range_errors())
+    checks = missing_field_errors() + domain_errors() + range_errors()
+    return F.expr(f"coalesce({', '.join(checks)})")

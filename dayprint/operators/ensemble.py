@@ -33,17 +33,12 @@ def vote_weighted(predictions: list[Column], weights: list[Column | float]) -> C
 def vote_majority(levels: list[Column], classes: list[str] = LEVELS) -> Column:
     """Most frequent class; on a tie the earliest in ``classes``."""
     votes = F.array(*levels)
-    ranked = F.array(
-        *[
-            F.struct(
-                (-F.size(F.filter(votes, lambda v, c=c: v == c))).alias("minus_votes"),
-                F.lit(i).alias("position"),
-                F.lit(c).alias("level"),
-            )
-            for i, c in enumerate(classes)
-        ]
-    )
-    return F.array_min(ranked)["level"]
+
+    def place(i: int, c: str) -> Column:
+        count = F.size(F.filter(votes, lambda v: v == c))
+        return F.struct((-count).alias("minus_votes"), F.lit(i).alias("position"), F.lit(c).alias("level"))
+
+    return F.array_min(F.array(*[place(i, c) for i, c in enumerate(classes)]))["level"]
 
 
 def vote_soft(

@@ -1,8 +1,9 @@
 """Evaluation of predictions: every metric is one or two aggregations."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from dayprint.constants import LEVELS
+from dayprint.functions.text import text_list
 
 SCORE_BINS = 65536
 
@@ -15,22 +16,26 @@ def regression_metrics(
     ``explained_variance`` repeats r2; the textbook value is
     ``explained_variance_true``. ``mape`` skips zero labels.
     """
-    y, e = F.col(label), F.col(label) - F.col(prediction)
-    spread = F.var_pop(label)
-    r2 = 1 - F.try_divide(F.avg(e * e), spread)
-    return df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(e * e).alias("mse"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.avg(F.abs(e)).alias("mae"),
-        F.avg(F.try_divide(F.abs(e), F.abs(y))).alias("mape"),
-        r2.alias("r2"),
-        F.avg(e).alias("mean_residual"),
-        F.stddev_pop(e).alias("std_residual"),
-        (F.avg(F.when(F.abs(e) <= 1.0, 1.0).otherwise(0.0)) * 100).alias("within_1kg_pct"),
-        (F.avg(F.when(F.abs(e) <= 2.0, 1.0).otherwise(0.0)) * 100).alias("within_2kg_pct"),
-        r2.alias("explained_variance"),
-        (1 - F.try_divide(F.var_pop(e), spread)).alias("explained_variance_true"),
+    y, e = label, f"({label} - {prediction})"
+    r2 = f"1 - try_divide(avg({e} * {e}), var_pop({y}))"
+    figures = {
+        "n": "count(1)",
+        "mse": f"avg({e} * {e})",
+        "rmse": f"sqrt(avg({e} * {e}))",
+        "mae": f"avg(abs({e}))",
+        "mape": f"avg(try_divide(abs({e}), abs({y})))",
+        "r2": r2,
+        "mean_residual": f"avg({e})",
+        "std_residual": f"stddev_pop({e})",
+        "within_1kg_pct": f"avg(if(abs({e}) <= 1, 1.0D, 0.0D)) * 100",
+        "within_2kg_pct": f"avg(if(abs({e}) <= 2, 1.0D, 0.0D)) * 100",
+        "explained_variance": r2,
+        "explained_variance_true": f"1 - try_divide(var_pop({e}), var_pop({y}))",
+    }
+    return (
+        df.where(f"{label} is not null and {prediction} is not null")
+        .groupBy(*keys)
+        .agg(*[F.expr(x).alias(name) for name, x in figures.items()])
     )
 
 
@@ -47,57 +52,45 @@ def confusion_matrix(
     df: DataFrame, label: str, prediction: str, classes: list[str] = LEVELS
 ) -> DataFrame:
     """Dense matrix: every pair of classes, also the empty ones."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("label"), F.lit(b).alias("prediction"))
-            for a in classes
-            for b in classes
-        ]
-    )
-    observed = confusion_counts(df, label, prediction).agg(
-        F.collect_list(F.struct("label", "prediction", "n")).alias("observed")
+    cells = ", ".join(
+        f"named_struct('label', '{a}', 'prediction', '{b}')" for a in classes for b in classes
     )
     # One row holding a list of at most classes x classes counts.
-    return observed.select("observed", F.explode(cells).alias("cell")).select(
-        "cell.label",
-        "cell.prediction",
-        F.aggregate(
-            "observed",
-            F.lit(0).cast("bigint"),
-            lambda acc, o: acc
-            + F.when(
-                (o["label"] == F.col("cell.label"))
-                & (o["prediction"] == F.col("cell.prediction")),
-                o["n"],
-            ).otherwise(F.lit(0).cast("bigint")),
-        ).alias("n"),
+    observed = (
+        confusion_counts(df, label, prediction)
+        .where(f"label in ({text_list(classes)}) and prediction in ({text_list(classes)})")
+        .agg(
+            F.expr("map_from_entries(collect_list(struct(struct(label, prediction), n))) as counts")
+        )
+    )
+    return observed.selectExpr("counts", f"explode(array({cells})) as cell").selectExpr(
+        "cell.label", "cell.prediction", "coalesce(counts[cell], 0L) as n"
     )
 
 
 def per_class_metrics(confusion: DataFrame, keys: list[str] = []) -> DataFrame:
     """Precision, recall and F1 of each class that occurs; 0/0 counts as 0."""
-    sides = F.array(
-        F.struct(F.col("label").alias("class"), F.lit(True).alias("actual")),
-        F.struct(F.col("prediction").alias("class"), F.lit(False).alias("actual")),
+    long = confusion.selectExpr(
+        *keys,
+        "n",
+        "label = prediction as hit",
+        "stack(2, label, true, prediction, false) as (class, actual)",
     )
-    long = confusion.select(
-        *keys, "n", (F.col("label") == F.col("prediction")).alias("hit"), F.explode(sides).alias("s")
-    )
-    totals = long.groupBy(*keys, F.col("s.class").alias("class")).agg(
-        F.sum(F.when(F.col("s.actual"), F.col("n")).otherwise(0)).alias("support"),
-        F.sum(F.when(~F.col("s.actual"), F.col("n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col("s.actual") & F.col("hit"), F.col("n")).otherwise(0)).alias("hits"),
-    )
-    precision = F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), F.lit(0.0))
-    recall = F.coalesce(F.try_divide(F.col("hits"), F.col("support")), F.lit(0.0))
-    f1 = F.coalesce(
-        F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
-        F.lit(0.0),
+    totals = long.groupBy(*keys, "class").agg(
+        F.expr("sum(if(actual, n, 0)) as support"),
+        F.expr("sum(if(actual, 0, n)) as predicted"),
+        F.expr("sum(if(actual and hit, n, 0)) as hits"),
     )
     return (
-        totals.withColumn("precision", precision)
-        .withColumn("recall", recall)
-        .withColumn("f1", f1)
+        totals.withColumns(
+            {
+                "precision": F.expr("coalesce(try_divide(hits, predicted), 0.0D)"),
+                "recall": F.expr("coalesce(try_divide(hits, support), 0.0D)"),
+            }
+        )
+        .withColumn(
+            "f1", F.expr("coalesce(try_divide(2 * precision * recall, precision + recall), 0.0D)")
+        )
         .select(*keys, "class", "precision", "recall", "f1", "support", "hits")
     )
 
@@ -119,37 +112,19 @@ def classification_metrics(confusion: DataFrame, keys: list[str] = []) -> DataFr
 def classification_report(confusion: DataFrame) -> DataFrame:
     """Per-class rows followed by accuracy, macro and weighted averages."""
     classes = per_class_metrics(confusion)
-    support = F.sum("support")
-
-    def weighted(c: str) -> Column:
-        return F.try_divide(F.sum(F.col(c) * F.col("support")), support)
-
-    accuracy = F.try_divide(F.sum("hits"), support)
-    totals = classes.agg(
-        F.array(
-            F.struct(
-                F.lit("accuracy").alias("class"),
-                accuracy.alias("precision"),
-                accuracy.alias("recall"),
-                accuracy.alias("f1"),
-                support.alias("support"),
-            ),
-            F.struct(
-                F.lit("macro avg").alias("class"),
-                F.avg("precision").alias("precision"),
-                F.avg("recall").alias("recall"),
-                F.avg("f1").alias("f1"),
-                support.alias("support"),
-            ),
-            F.struct(
-                F.lit("weighted avg").alias("class"),
-                weighted("precision").alias("precision"),
-                weighted("recall").alias("recall"),
-                weighted("f1").alias("f1"),
-                support.alias("support"),
-            ),
-        ).alias("rows")
-    ).select(F.inline("rows"))
+    names = ("precision", "recall", "f1")
+    accuracy = {c: "try_divide(sum(hits), sum(support))" for c in names}
+    macro = {c: f"avg({c})" for c in names}
+    weighted = {c: f"try_divide(sum({c} * support), sum(support))" for c in names}
+    rows = ", ".join(
+        f"named_struct('class', '{title}', "
+        + ", ".join(f"'{c}', {x}" for c, x in figures.items())
+        + ", 'support', sum(support))"
+        for title, figures in [
+            ("accuracy", accuracy), ("macro avg", macro), ("weighted avg", weighted),
+        ]
+    )
+    totals = classes.agg(F.expr(f"array({rows}) as rows")).selectExpr("inline(rows)")
     return classes.drop("hits").unionByName(totals)
 
 

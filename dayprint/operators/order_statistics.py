@@ -7,63 +7,58 @@ its cost does not depend on how many rows share a key. After the rounds a few
 distinct values are left per rank and those are ordered.
 """
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 BINS = 4096
 ROUNDS = 2
 
 
-def rank_targets(
-    df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], Column]
-) -> DataFrame:
-    """Value span, row count ``n`` and wanted 0-based ``ranks`` per key."""
+def rank_targets(df: DataFrame, keys: list[str], value: str, ranks: str) -> DataFrame:
+    """Value span, row count ``n`` and wanted 0-based ``ranks`` per key.
+
+    ``ranks`` is SQL text over ``n`` that gives an array of bigint.
+    """
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
-        .withColumn("ranks", ranks(F.col("n")))
+        df.groupBy(*keys)
+        .agg(
+            F.expr(f"min({value}) as lo"),
+            F.expr(f"max({value}) as hi"),
+            F.expr(f"count({value}) as n"),
+        )
+        .withColumn("ranks", F.expr(ranks))
     )
 
 
 def _in_span(df: DataFrame, spans: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows inside a wanted span. Spans are few: keys times ranks."""
-    small = F.broadcast(spans.select(*[F.col(k).alias(f"span_{k}") for k in keys], "lo", "hi",
-                                     "below", "n", "ranks"))
-    match = F.col(value).between(F.col("lo"), F.col("hi"))
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"span_{k}"))
-    return df.select(*keys, value).join(small, match)
+    renamed = [f"{k} as span_{k}" for k in keys]
+    small = F.broadcast(spans.selectExpr(*renamed, "lo", "hi", "below", "n", "ranks"))
+    match = " and ".join([f"{k} = span_{k}" for k in keys] + [f"{value} between lo and hi"])
+    return df.join(small, F.expr(match))
 
 
 def _keep_hit_bins(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Turn counts per bin into the spans that still hold a wanted rank."""
-    before = Window.partitionBy(*keys, "lo").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    start = F.col("below") + F.coalesce(F.sum("cnt").over(before), F.lit(0))
+    part = ", ".join([*keys, "lo"])
+    before = f"""sum(cnt) over (partition by {part} order by {order}
+        rows between unbounded preceding and 1 preceding)"""
     return (
-        counts.withColumn("start", start)
+        counts.withColumn("start", F.expr(f"below + coalesce({before}, 0)"))
         .withColumn(
-            "ranks",
-            F.filter(
-                "ranks",
-                lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("cnt")),
-            ),
+            "ranks", F.expr("filter(ranks, r -> r >= start and r < start + cnt)")
         )
-        .where(F.size("ranks") > 0)
-        .select(
-            *keys,
-            F.col("bin_lo").alias("lo"),
-            F.col("bin_hi").alias("hi"),
-            F.col("start").alias("below"),
-            "n",
-            "ranks",
+        .where("size(ranks) > 0")
+        .selectExpr(
+            *keys, "bin_lo as lo", "bin_hi as hi", "start as below", "n", "ranks"
         )
     )
 
 
+# What belongs to a span travels as grouping columns: aggregating the array of
+# ranks instead would make Spark sort every row.
+_SPAN = ("lo", "below", "n", "ranks")
+
+
 def order_statistics(
     df: DataFrame,
     keys: list[str],
@@ -78,44 +73,28 @@ def order_statistics(
     the spans being narrowed are broadcast. Null values have no rank.
     Returns the keys, ``n``, ``rank`` and ``value``.
     """
-    df = df.where(F.col(value).isNotNull())
-    spans = targets.withColumn("below", F.lit(0).cast("bigint"))
+    df = df.select(*keys, value)
+    spans = targets.withColumn("below", F.expr("0L"))
     for _ in range(rounds):
-        width = F.col("hi") - F.col("lo")
-        bin_no = F.coalesce(
-            F.least(
-                F.floor(F.try_divide(F.col(value) - F.col("lo"), width) * bins),
-                F.lit(bins - 1),
-            ),
-            F.lit(0),
-        )
+        number = f"""coalesce(least(
+            floor(try_divide({value} - lo, hi - lo) * {bins}), {bins - 1}), 0) as bin"""
         counts = (
             _in_span(df, spans, keys, value)
-            .withColumn("bin", bin_no)
-            .groupBy(*keys, "lo", "bin")
+            .groupBy(*keys, *_SPAN, F.expr(number))
             .agg(
-                F.count(F.lit(1)).alias("cnt"),
-                F.min(value).alias("bin_lo"),
-                F.max(value).alias("bin_hi"),
-                F.first("below").alias("below"),
-                F.first("n").alias("n"),
-                F.first("ranks").alias("ranks"),
+                F.expr("count(1) as cnt"),
+                F.expr(f"min({value}) as bin_lo"),
+                F.expr(f"max({value}) as bin_hi"),
             )
         )
         spans = _keep_hit_bins(counts, keys, "bin")
     distinct_values = (
         _in_span(df, spans, keys, value)
-        .groupBy(*keys, "lo", F.col(value).alias("bin_lo"))
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.first("below").alias("below"),
-            F.first("n").alias("n"),
-            F.first("ranks").alias("ranks"),
-        )
-        .withColumn("bin_hi", F.col("bin_lo"))
+        .groupBy(*keys, *_SPAN, F.expr(f"{value} as bin_lo"))
+        .agg(F.expr("count(1) as cnt"), F.expr(f"max({value}) as bin_hi"))
     )
-    return _keep_hit_bins(distinct_values, keys, "bin_lo").select(
-        *keys, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("value")
+    return _keep_hit_bins(distinct_values, keys, "bin_lo").selectExpr(
+        *keys, "n", "explode(ranks) as rank", "lo as value"
     )
 
 
@@ -123,32 +102,24 @@ def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Quantiles with linear interpolation, one column per name."""
-
-    def ranks(n: Column) -> Column:
-        wanted = []
-        for p in probabilities.values():
-            lower = F.floor((n - 1) * F.lit(float(p)))
-            wanted += [lower, F.least(lower + 1, n - 1)]
-        return F.array_distinct(F.array(*wanted))
-
-    found = order_statistics(df, keys, value, rank_targets(df, keys, value, ranks))
-    by_rank = found.groupBy(*keys, "n").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", F.col("value").cast("double")))).alias("at")
+    lower = {name: f"floor((n - 1) * {float(p)!r}D)" for name, p in probabilities.items()}
+    wanted = ", ".join(f"{at}, least({at} + 1, n - 1)" for at in lower.values())
+    targets = rank_targets(df, keys, value, f"array_distinct(array({wanted}))")
+    by_rank = (
+        order_statistics(df, keys, value, targets)
+        .groupBy(*keys, "n")
+        .agg(F.expr("map_from_entries(collect_list(struct(rank, double(value)))) as at"))
     )
 
-    def quantile(p: float) -> Column:
-        position = (F.col("n") - 1) * F.lit(float(p))
-        lower = F.floor(position)
-        v0 = F.element_at("at", lower)
-        v1 = F.element_at("at", F.least(lower + 1, F.col("n") - 1))
-        return v0 + (v1 - v0) * (position - lower)
+    def quantile(name: str, p: float) -> str:
+        at, share = lower[name], f"((n - 1) * {float(p)!r}D - {lower[name]})"
+        above = f"at[least({at} + 1, n - 1)]"
+        return f"at[{at}] + ({above} - at[{at}]) * {share} as {name}"
 
-    return by_rank.select(
-        *keys, "n", *[quantile(p).alias(name) for name, p in probabilities.items()]
-    )
+    return by_rank.selectExpr(*keys, "n", *[quantile(k, p) for k, p in probabilities.items()])
 
 
 def long_numeric(df: DataFrame, columns: list[str], keys: list[str] = []) -> DataFrame:
     """One row per record and numeric column: keys, ``variable``, ``value``."""
-    doubles = [F.col(c).cast("double").alias(c) for c in columns]
-    return df.select(*keys, *doubles).unpivot(keys, columns, "variable", "value")
+    pairs = ", ".join(f"'{c}', double({c})" for c in columns)
+    return df.selectExpr(*keys, f"stack({len(columns)}, {pairs}) as (variable, value)")

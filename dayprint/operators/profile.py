@@ -10,24 +10,17 @@ from dayprint.constants import (
     LEVELS,
     NUMERIC_FEATURES,
 )
+from dayprint.functions.text import text_list
 from dayprint.operators.order_statistics import exact_quantiles, long_numeric
 
 CORRELATED = NUMERIC_FEATURES + [FOOTPRINT]
 CATEGORICALS = ["day_type", "transport_mode", "food_type", LEVEL]
 
 
-def _category_structs(columns: list[str]) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("category"))
-            for c in columns
-        ]
-    )
-
-
 def long_categories(df: DataFrame, columns: list[str], keep: list[str] = []) -> DataFrame:
     """One row per record and categorical column: ``variable``, ``category``."""
-    return df.select(*keep, F.inline(_category_structs(columns)))
+    pairs = ", ".join(f"'{c}', string({c})" for c in columns)
+    return df.selectExpr(*keep, f"stack({len(columns)}, {pairs}) as (variable, category)")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,7 +44,7 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
 
 def describe(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per column."""
-    long = long_numeric(df, columns).where(F.col("value").isNotNull())
+    long = long_numeric(df, columns)
     moments = long.groupBy("variable").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -76,22 +69,21 @@ def value_counts(df: DataFrame, columns: list[str] = CATEGORICALS) -> DataFrame:
     )
 
 
-def _pair_correlation(x: str, y: str) -> Column:
+def _pair_correlation(x: str, y: str) -> str:
     """Pearson correlation over the rows where both are known.
 
     Null for a constant column.
     """
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
-    spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
-    return F.try_divide(F.covar_pop(a, b), spread)
+    both = f"{x} is not null and {y} is not null"
+    a, b = (f"case when {both} then double({c}) end" for c in (x, y))
+    return f"try_divide(covar_pop({a}, {b}), sqrt(var_pop({a}) * var_pop({b})))"
 
 
 def footprint_correlations(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
     """Correlation of each column with the footprint, largest size first."""
     row = df.agg(
         *[
-            (F.lit(1.0) if c == FOOTPRINT else _pair_correlation(c, FOOTPRINT)).alias(c)
+            F.expr("1.0D" if c == FOOTPRINT else _pair_correlation(c, FOOTPRINT)).alias(c)
             for c in columns
         ]
     )
@@ -103,19 +95,14 @@ def footprint_correlations(df: DataFrame, columns: list[str] = CORRELATED) -> Da
 def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
     """All pairs from one pass: each pair once, then mirrored."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[_pair_correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(1.0).alias("correlation"))
-        for a, b in ((c, c) for c in columns)
-    ]
+    row = df.agg(*[F.expr(_pair_correlation(a, b)).alias(f"{a}_{b}") for a, b in pairs])
+    cells = [(c, c, "1.0D") for c in columns]
     for a, b in pairs:
-        for x, y in ((a, b), (b, a)):
-            cells.append(
-                F.struct(
-                    F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{a}|{b}`").alias("correlation")
-                )
-            )
-    return row.select(F.inline(F.array(*cells)))
+        cells += [(a, b, f"{a}_{b}"), (b, a, f"{a}_{b}")]
+    structs = ", ".join(
+        f"named_struct('x', '{x}', 'y', '{y}', 'correlation', {value})" for x, y, value in cells
+    )
+    return row.selectExpr(f"inline(array({structs}))")
 
 
 def histogram(df: DataFrame, column: str = FOOTPRINT, bins: int = 30) -> DataFrame:
@@ -148,62 +135,53 @@ def box_stats(
     Categories come in their fixed order (``position``).
     """
     domains = {**DOMAINS, LEVEL: LEVELS}
-    long = long_categories(df, columns, [value]).where(
-        F.col(value).isNotNull()
-        & F.array_contains(
-            F.array(*[F.lit(f"{c}={v}") for c in columns for v in domains[c]]),
-            F.concat("variable", F.lit("="), "category"),
-        )
-    )
+    pairs = ", ".join(f"'{c}', string({c})" for c in columns)
+    long = df.selectExpr(value, f"stack({len(columns)}, {pairs}) as (variable, category)")
     keys = ["variable", "category"]
+    position = " ".join(
+        f"when '{c}' then array_position(array({text_list(domains[c])}), category)" for c in columns
+    )
     quartiles = (
-        exact_quantiles(long, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-        .withColumn("low_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-        .withColumn("high_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+        exact_quantiles(
+            long.where(f"case variable {position} end > 0"),
+            keys,
+            value,
+            {"q1": 0.25, "median": 0.5, "q3": 0.75},
+        )
+        .withColumns(
+            {
+                "low_fence": F.expr("q1 - 1.5D * (q3 - q1)"),
+                "high_fence": F.expr("q3 + 1.5D * (q3 - q1)"),
+                "position": F.expr(f"int(case variable {position} end)"),
+            }
+        )
     )
-    inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    position = F.coalesce(
-        *[
-            F.when(
-                F.col("variable") == c,
-                F.array_position(F.array(*[F.lit(v) for v in domains[c]]), F.col("category")),
-            )
-            for c in columns
-        ]
-    ).cast("int")
+    inside = f"{value} between low_fence and high_fence"
     # One row per known category.
     return (
         long.join(F.broadcast(quartiles), keys)
-        .groupBy(*keys, "n", "q1", "median", "q3")
+        .groupBy(*keys, *quartiles.columns[2:])
         .agg(
-            F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.expr(f"min(case when {inside} then {value} end)").alias("whisker_low"),
+            F.expr(f"max(case when {inside} then {value} end)").alias("whisker_high"),
+            F.expr(f"count_if(not {inside})").alias("outliers"),
         )
-        .withColumn("position", position)
     )
 
 
 def segment_means(df: DataFrame) -> DataFrame:
     """Mean footprint by mode, diet and day type, and renewables by level."""
-    segments = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("segment"),
-                F.col(c).alias("category"),
-                F.lit(measure).alias("measure"),
-                F.col(measure).cast("double").alias("value"),
-            )
-            for c, measure in [
-                ("transport_mode", FOOTPRINT),
-                ("food_type", FOOTPRINT),
-                ("day_type", FOOTPRINT),
-                (LEVEL, "renewable_usage_pct"),
-            ]
-        ]
-    )
+    measures = {
+        "transport_mode": FOOTPRINT,
+        "food_type": FOOTPRINT,
+        "day_type": FOOTPRINT,
+        LEVEL: "renewable_usage_pct",
+    }
+    rows = ", ".join(f"'{c}', string({c}), '{m}', double({m})" for c, m in measures.items())
     return (
-        df.select(F.inline(segments))
+        df.selectExpr(
+            f"stack({len(measures)}, {rows}) as (segment, category, measure, value)"
+        )
         .groupBy("segment", "category", "measure")
         .agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     )
@@ -257,19 +235,15 @@ def target_stats(df: DataFrame) -> dict[str, Column]:
     return {k: s[k] for k in ("mean", "std", "min", "max")}
 
 
-def error_type(message: Column) -> Column:
-    text = F.lower(message)
-    return (
-        F.when(text.contains("validation"), "Validation Error")
-        .when(text.contains("model"), "Model Error")
-        .otherwise("Other Error")
-    )
+ERROR_TYPE = """case when lower(error) like '%validation%' then 'Validation Error'
+    when lower(error) like '%model%' then 'Model Error' else 'Other Error' end"""
 
 
 def error_types(scored: DataFrame) -> DataFrame:
+    """Failures by the kind of their message."""
     return (
-        scored.where(F.col("error").isNotNull())
-        .groupBy(error_type(F.col("error")).alias("error_type"))
+        scored.where("error is not null")
+        .groupBy(F.expr(ERROR_TYPE).alias("error_type"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -283,125 +257,144 @@ def stat_rows(row: DataFrame, section: str) -> DataFrame:
 
 def _medians(df: DataFrame, columns: list[str], quartiles: bool) -> DataFrame:
     wanted = {"median": 0.5, **({"q1": 0.25, "q3": 0.75} if quartiles else {})}
-    return exact_quantiles(
-        long_numeric(df, columns).where(F.col("value").isNotNull()), ["variable"], "value", wanted
+    return exact_quantiles(long_numeric(df, columns), ["variable"], "value", wanted)
+
+
+def _long_rows(sections: dict[str, dict[str, str]]) -> str:
+    """SQL that turns one row of figures into (section, name, value) rows."""
+    rows = ", ".join(
+        f"named_struct('section', '{section}', 'name', '{name}', 'value', double({value}))"
+        for section, figures in sections.items()
+        for name, value in figures.items()
+    )
+    return f"inline(array({rows}))"
+
+
+def _level_rows(counted: DataFrame, where: str, total: str, counts: str, shares: str) -> DataFrame:
+    """Counts and percentages per level; a handful of rows."""
+    overall = f"max(case when by_level = 1 and by_error = 1 then {total} end) over (partition by 1)"
+    return (
+        counted.withColumn("overall", F.expr(overall))
+        .where(f"by_level = 0 and {where}")
+        .selectExpr(
+            f"""inline(array(
+                named_struct('section', '{counts}', 'name', {LEVEL}, 'value', double({total})),
+                named_struct('section', '{shares}', 'name', {LEVEL},
+                    'value', {total} * 100 / overall)))"""
+        )
+    )
+
+
+def _counted(narrow: DataFrame, figures: dict[str, str]) -> DataFrame:
+    """Figures over all rows, per level and per error type, from one scan."""
+    return narrow.groupingSets(
+        [[], [F.col(LEVEL)], [F.col("error_type")]], F.col(LEVEL), F.col("error_type")
+    ).agg(
+        F.grouping(LEVEL).alias("by_level"),
+        F.grouping("error_type").alias("by_error"),
+        *[F.expr(x).alias(name) for name, x in figures.items()],
     )
 
 
 def analyze_predictions(scored: DataFrame) -> DataFrame:
     """Long report (section, name, value) over successes and failures.
 
-    Deviation is of the population and level shares are of the successes.
+    Deviation is of the population and level shares are of the successes. The
+    scored rows are read several times, so hand over a stored table rather
+    than a plan that scores again.
     """
-    ok = F.col("error").isNull()
-    good = scored.where(ok)
-    totals = scored.agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.count_if(ok).alias("successful_predictions"),
-        F.count_if(~ok).alias("failed_predictions"),
-        F.coalesce(F.try_divide(F.count_if(ok) * 100.0, F.count(F.lit(1))), F.lit(0.0)).alias(
-            "success_rate"
-        ),
+    narrow = scored.selectExpr(
+        LEVEL,
+        "error is null as ok",
+        f"case when error is null then {FOOTPRINT} end as {FOOTPRINT}",
+        "case when error is null then confidence end as confidence",
+        f"case when error is not null then {ERROR_TYPE} end as error_type",
     )
-    moments = good.agg(
-        F.avg(FOOTPRINT).alias("mean"),
-        F.stddev_pop(FOOTPRINT).alias("std"),
-        F.min(FOOTPRINT).alias("min"),
-        F.max(FOOTPRINT).alias("max"),
+    figures = {"rows": "count(1)", "good": "count_if(ok)"}
+    for c in (FOOTPRINT, "confidence"):
+        for fn in ("avg", "stddev_pop", "min", "max"):
+            figures[f"{fn}_{c}"] = f"{fn}({c})"
+    counted = _counted(narrow, figures)
+    overall = counted.where("by_level = 1 and by_error = 1").selectExpr(
+        _long_rows(
+            {
+                "totals": {
+                    "total_predictions": "rows",
+                    "successful_predictions": "good",
+                    "failed_predictions": "rows - good",
+                    "success_rate": "coalesce(try_divide(good * 100, rows), 0)",
+                },
+                "footprint_statistics": {
+                    "mean": f"avg_{FOOTPRINT}",
+                    "std": f"stddev_pop_{FOOTPRINT}",
+                    "min": f"min_{FOOTPRINT}",
+                    "max": f"max_{FOOTPRINT}",
+                },
+                "confidence_statistics": {
+                    "mean": "avg_confidence",
+                    "min": "min_confidence",
+                    "max": "max_confidence",
+                },
+            }
+        )
     )
-    confidence = good.agg(
-        F.avg("confidence").alias("mean"),
-        F.min("confidence").alias("min"),
-        F.max("confidence").alias("max"),
+    errors = counted.where("by_error = 0 and error_type is not null").selectExpr(
+        "'error_analysis' as section", "error_type as name", "double(rows) as value"
     )
-    middle = _medians(good, [FOOTPRINT, "confidence"], quartiles=True).unpivot(
-        ["variable"], ["median", "q1", "q3"], "name", "value"
+    levels = _level_rows(
+        counted, "good > 0", "good", "impact_level_distribution", "impact_level_percentages"
     )
-    levels = good.groupBy(LEVEL).agg(F.count(F.lit(1)).alias("n"))
-    # One row per level.
-    shares = levels.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    errors = error_types(scored).select(
-        F.lit("error_analysis").alias("section"),
-        F.col("error_type").alias("name"),
-        F.col("n").cast("double").alias("value"),
+    middle = (
+        _medians(narrow, [FOOTPRINT, "confidence"], quartiles=True)
+        .unpivot(["variable"], ["median", "q1", "q3"], "name", "value")
+        .where(f"variable = '{FOOTPRINT}' or name = 'median'")
+        .selectExpr(
+            f"if(variable = '{FOOTPRINT}', 'footprint_statistics', 'confidence_statistics') as section",
+            "name",
+            "value",
+        )
     )
     return (
-        stat_rows(totals, "totals")
-        .unionByName(stat_rows(moments, "footprint_statistics").where(F.col("value").isNotNull()))
-        .unionByName(
-            middle.where(F.col("variable") == FOOTPRINT).select(
-                F.lit("footprint_statistics").alias("section"), "name", "value"
-            )
-        )
-        .unionByName(
-            shares.select(
-                F.lit("impact_level_distribution").alias("section"),
-                F.col(LEVEL).alias("name"),
-                F.col("n").cast("double").alias("value"),
-            )
-        )
-        .unionByName(
-            shares.select(
-                F.lit("impact_level_percentages").alias("section"),
-                F.col(LEVEL).alias("name"),
-                (F.col("n") / F.col("total") * 100).alias("value"),
-            )
-        )
-        .unionByName(
-            stat_rows(confidence, "confidence_statistics").where(F.col("value").isNotNull())
-        )
-        .unionByName(
-            middle.where((F.col("variable") == "confidence") & (F.col("name") == "median")).select(
-                F.lit("confidence_statistics").alias("section"), "name", "value"
-            )
-        )
+        overall.where("value is not null")
+        .unionByName(middle)
+        .unionByName(levels)
         .unionByName(errors)
     )
 
 
 def analyze_batch(scored: DataFrame) -> DataFrame:
     """Long report over all rows: sample deviation, shares of all rows."""
-    totals = scored.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.count("error").alias("error_count"),
-        F.try_divide(F.count("error") * 100.0, F.count(F.lit(1))).alias("error_rate"),
+    narrow = scored.selectExpr(LEVEL, FOOTPRINT, "error", "cast(null as string) as error_type")
+    counted = _counted(
+        narrow,
+        {
+            "rows": "count(1)",
+            "errors": "count(error)",
+            "mean": f"avg({FOOTPRINT})",
+            "std": f"stddev_samp({FOOTPRINT})",
+            "min": f"min({FOOTPRINT})",
+            "max": f"max({FOOTPRINT})",
+        },
     )
-    moments = scored.agg(
-        F.avg(FOOTPRINT).alias("mean"),
-        F.stddev_samp(FOOTPRINT).alias("std"),
-        F.min(FOOTPRINT).alias("min"),
-        F.max(FOOTPRINT).alias("max"),
+    overall = counted.where("by_level = 1 and by_error = 1").selectExpr(
+        _long_rows(
+            {
+                "totals": {
+                    "total_samples": "rows",
+                    "error_count": "errors",
+                    "error_rate": "try_divide(errors * 100, rows)",
+                },
+                "footprint_stats": {c: c for c in ("mean", "std", "min", "max")},
+            }
+        )
     )
-    middle = _medians(scored, [FOOTPRINT], quartiles=False)
-    rows = scored.agg(F.count(F.lit(1))).scalar()
-    levels = (
-        scored.where(F.col(LEVEL).isNotNull()).groupBy(LEVEL).agg(F.count(F.lit(1)).alias("n"))
+    middle = _medians(narrow, [FOOTPRINT], quartiles=False).selectExpr(
+        "'footprint_stats' as section", "'median' as name", "median as value"
     )
-    return (
-        stat_rows(totals, "totals")
-        .unionByName(stat_rows(moments, "footprint_stats"))
-        .unionByName(
-            middle.select(
-                F.lit("footprint_stats").alias("section"),
-                F.lit("median").alias("name"),
-                F.col("median").alias("value"),
-            )
-        )
-        .unionByName(
-            levels.select(
-                F.lit("impact_distribution").alias("section"),
-                F.col(LEVEL).alias("name"),
-                F.col("n").cast("double").alias("value"),
-            )
-        )
-        .unionByName(
-            levels.select(
-                F.lit("impact_percentages").alias("section"),
-                F.col(LEVEL).alias("name"),
-                (F.col("n") / rows * 100).alias("value"),
-            )
-        )
+    levels = _level_rows(
+        counted, f"{LEVEL} is not null", "rows", "impact_distribution", "impact_percentages"
     )
+    return overall.unionByName(middle).unionByName(levels)
 
 
 def prediction_statistics(scored: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def decorate(
         {
             "confidence": confidence,
             "probabilities": probability_map(probs, level),
-            "suggestions": suggestions(level, variant),
+            "suggestions": suggestions(LEVEL, variant),
             "feature_contributions": as_map(parts),
             "timestamp": F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
             "input_summary": input_summary(),
@@ -162,4 +162,4 @@ def repeat_statistics(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame
 
 def with_plausibility(scored: DataFrame) -> DataFrame:
     """Add the plausibility block to scored records."""
-    return scored.withColumn("validation", plausibility(F.col(FOOTPRINT), F.col(LEVEL)))
+    return scored.withColumn("validation", plausibility())

@@ -1,8 +1,9 @@
 """Reproducible train/test splits and cross-validation folds."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dayprint.constants import LEVEL, LEVELS
+from dayprint.functions.text import text_list
 from dayprint.operators.order_statistics import order_statistics, rank_targets
 
 SEED = 42
@@ -10,9 +11,9 @@ SEED = 42
 HASH_DIGITS = 13
 
 
-def key_hash(key: str, seed: int = SEED) -> Column:
-    """Text hash that every engine computes alike."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+def key_hash(key: str, seed: int = SEED) -> str:
+    """SQL text of a hash that every engine computes alike."""
+    return f"md5(concat(string({key}), ':{seed}'))"
 
 
 def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -21,8 +22,13 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
     The share of test rows is ``test_size`` in expectation, in every stratum.
     """
     threshold = f"{round(test_size * 16**8):08x}"
-    is_test = F.substring(key_hash(key, seed), 1, 8) < threshold
-    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+    is_test = f"substr({key_hash(key, seed)}, 1, 8) < '{threshold}'"
+    return df.withColumn("split", F.expr(f"if({is_test}, 'test', 'train')"))
+
+
+def _known(per_stratum: DataFrame, stratum: str, strata: list[str]) -> DataFrame:
+    """At most one row per known stratum, small enough to broadcast."""
+    return per_stratum.where(f"{stratum} in ({text_list(strata)})")
 
 
 def stratified_split(
@@ -41,66 +47,67 @@ def stratified_split(
     must be unique. Rows outside ``strata`` go to train.
     """
     digest = key_hash(key, seed)
-    number = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
-    hashed = df.where(F.col(stratum).isin(strata)).select(
-        stratum, F.col(key).alias("key"), digest.alias("digest"), number.alias("number")
+    hashed = df.selectExpr(
+        stratum,
+        f"{key} as key",
+        f"{digest} as digest",
+        f"bigint(conv(substr({digest}, 1, {HASH_DIGITS}), 16, 10)) as number",
     )
-
-    def last_test_rank(n: Column) -> Column:
-        size = F.round(n * F.lit(test_size)).cast("bigint")
-        return F.when(size > 0, F.array(size - 1)).otherwise(F.array().cast("array<bigint>"))
-
-    targets = rank_targets(hashed, [stratum], "number", last_test_rank)
+    size = f"bigint(round(n * {float(test_size)!r}D))"
+    last_rank = f"filter(array({size} - 1), r -> r >= 0)"
+    targets = _known(rank_targets(hashed, [stratum], "number", last_rank), stratum, strata)
     last = order_statistics(hashed, [stratum], "number", targets)
     # Different keys may share 52 bits: the full digest settles those few rows.
-    below = (
-        hashed.join(F.broadcast(last.select(stratum, "rank", "value")), stratum)
-        .groupBy(stratum, "rank", "value")
-        .agg(F.count_if(F.col("number") < F.col("value")).alias("below"))
-    )
-    tied = hashed.join(
-        F.broadcast(below.withColumnRenamed("value", "number")), [stratum, "number"]
-    ).withColumn(
-        "position",
-        F.row_number().over(Window.partitionBy(stratum).orderBy("digest", "key"))
-        - 1
-        + F.col("below"),
+    ends = F.broadcast(last.selectExpr(f"{stratum} as end_stratum", "rank", "value"))
+    at_end = hashed.join(ends, F.expr(f"{stratum} = end_stratum and number <= value"))
+    below = at_end.groupBy(stratum, "rank").agg(
+        F.expr("count_if(number < value) as below"),
+        # Usually one row; all keys with the same 52 bits otherwise.
+        F.expr("sort_array(collect_list(case when number = value then struct(digest, key) end)) as tied"),
     )
-    cutoff = tied.where(F.col("position") == F.col("rank")).select(
-        stratum, F.struct("digest", "key").alias("cutoff")
+    cutoff = below.selectExpr(
+        f"{stratum} as cut_stratum", "tied[int(rank - below)] as cutoff"
     )
     # One row per stratum of a closed domain.
-    joined = df.join(F.broadcast(cutoff), stratum, "left")
-    own = F.struct(digest.alias("digest"), F.col(key).alias("key"))
-    is_test = F.coalesce(own <= F.col("cutoff"), F.lit(False))
-    return joined.select(
-        *[joined[c] for c in df.columns], F.when(is_test, "test").otherwise("train").alias("split")
-    )
+    joined = df.join(F.broadcast(cutoff), F.expr(f"{stratum} = cut_stratum"), "left")
+    is_test = f"coalesce(struct({digest} as digest, {key} as key) <= cutoff, false)"
+    return joined.selectExpr(*df.columns, f"if({is_test}, 'test', 'train') as split")
 
 
-def _fold_from_bounds(df: DataFrame, key: str, bounds: DataFrame, on: list[str]) -> DataFrame:
+def _fold_from_ends(df: DataFrame, key: str, ends: DataFrame, match: str) -> DataFrame:
     """Fold number = how many fold ends lie before the key."""
-    joined = df.join(F.broadcast(bounds), on, "left")
-    fold = F.size(F.filter("ends", lambda e: e < F.col(key))).cast("int")
-    return joined.select(*[joined[c] for c in df.columns], fold.alias("fold"))
+    return df.join(F.broadcast(ends), F.expr(match), "left").selectExpr(
+        *df.columns, f"size(filter(ends, e -> e < {key})) as fold"
+    )
 
 
-def contiguous_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """Consecutive blocks in key order; the first ``n % folds`` get one more row."""
+def _ends_at(found: DataFrame, targets: DataFrame, part: str) -> DataFrame:
+    """Fold ends from ranks; a rank of -1 lies before every key."""
+    at = found.groupBy(F.expr(f"{part} as at_part")).agg(
+        F.expr("map_from_entries(collect_list(struct(rank, value))) as at")
+    )
+    # One row per part on both sides.
+    return targets.join(F.broadcast(at), F.expr(f"{part} = at_part"), "left").selectExpr(
+        f"{part} as end_part",
+        "transform(end_ranks, r -> case when r < 0 then lo - 1 else at[r] end) as ends",
+    )
 
-    def ends(n: Column) -> Column:
-        small, extra = F.floor(n / folds).cast("bigint"), n % folds
-        return F.array(
-            *[(i + 1) * small + F.least(F.lit(i + 1), extra) - 1 for i in range(folds - 1)]
-        )
 
-    numbered = df.select(F.lit("all").alias("part"), F.col(key).alias("key"))
-    targets = rank_targets(numbered, ["part"], "key", ends)
-    found = order_statistics(numbered, ["part"], "key", targets)
-    bounds = found.groupBy("part").agg(F.collect_list("value").alias("ends"))
-    return _fold_from_bounds(
-        df.withColumn("part", F.lit("all")), key, bounds, ["part"]
-    ).drop("part")
+_SEARCHED = "filter(array_distinct(end_ranks), r -> r >= 0)"
+
+
+def contiguous_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
+    """Consecutive blocks in key order; the first ``n % folds`` get one more row."""
+    ends = ", ".join(
+        f"{i + 1} * (n div {folds}) + least({i + 1}, n % {folds}) - 1" for i in range(folds - 1)
+    )
+    numbered = df.selectExpr("'all' as part", f"{key} as key")
+    targets = rank_targets(numbered, ["part"], "key", f"array({ends})").withColumnRenamed(
+        "ranks", "end_ranks"
+    )
+    wanted = targets.withColumn("ranks", F.expr(_SEARCHED)).drop("end_ranks")
+    found = order_statistics(numbered, ["part"], "key", wanted)
+    return _fold_from_ends(df, key, _ends_at(found, targets, "part"), "end_part = 'all'")
 
 
 def stratified_folds(
@@ -116,41 +123,24 @@ def stratified_folds(
     ``folds``-th place of that line goes to the same fold; this gives the
     number of rows each fold takes from each class.
     """
-    known = df.where(F.col(stratum).isin(strata)).select(stratum, F.col(key).alias("key"))
-    sizes = known.groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("key").alias("lo"),
-        F.max("key").alias("hi"),
-    )
+    known = df.selectExpr(stratum, f"{key} as key")
+    sizes = rank_targets(known, [stratum], "key", "array()").drop("ranks")
+    sizes = _known(sizes, stratum, strata)
+
+    def upto(place: str, fold: int) -> str:
+        """Places before ``place`` that go to this fold or to one before it."""
+        return " + ".join(f"(({place}) + {folds - 1 - i}) div {folds}" for i in range(fold + 1))
+
+    ends = ", ".join(f"{upto('start + n', i)} - ({upto('start', i)}) - 1" for i in range(folds - 1))
     # At most one row per class of a closed domain.
-    line = Window.partitionBy(F.lit(1)).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(line), F.lit(0))
-
-    def taken(i: int) -> Column:
-        """Places p in [start, start + n) with p % folds == i."""
-        upto = lambda x: F.floor((x - i + folds - 1) / folds)
-        return upto(F.col("start") + F.col("n")) - upto(F.col("start"))
-
-    ends = []
-    total = F.lit(0)
-    for i in range(folds - 1):
-        total = total + taken(i)
-        ends.append(total.cast("bigint") - 1)
-    targets = (
-        sizes.withColumn("start", start)
-        .withColumn("ranks", F.filter(F.array_distinct(F.array(*ends)), lambda r: r >= 0))
-        .select(stratum, "lo", "hi", "n", "ranks", F.array(*ends).alias("end_ranks"))
-    )
-    found = order_statistics(known, [stratum], "key", targets.drop("end_ranks"))
-    at = found.groupBy(stratum).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
-    )
-    bounds = targets.join(at, stratum, "left").select(
-        stratum,
-        F.transform(
-            "end_ranks",
-            # An end of -1 lies before every key.
-            lambda r: F.when(r < 0, F.col("lo") - 1).otherwise(F.element_at("at", r)),
-        ).alias("ends"),
-    )
-    return _fold_from_bounds(df, key, bounds, [stratum])
+    targets = sizes.withColumn(
+        "start",
+        F.expr(
+            """coalesce(sum(n) over (partition by 1 order by lo
+                rows between unbounded preceding and 1 preceding), 0)"""
+        ),
+    ).withColumn("end_ranks", F.expr(f"array({ends})"))
+    wanted = targets.withColumn("ranks", F.expr(_SEARCHED)).drop("start", "end_ranks")
+    found = order_statistics(known, [stratum], "key", wanted)
+    ends_by_class = _ends_at(found, targets, stratum)
+    return _fold_from_ends(df, key, ends_by_class, f"{stratum} = end_part")

@@ -103,7 +103,7 @@ class ImpactLeveller(Transformer, DefaultParamsReadable, DefaultParamsWritable):
             return dataset
         return dataset.withColumn(
             LEVEL,
-            X.impact_level(F.col(FOOTPRINT), self.getOrDefault("low"), self.getOrDefault("high")),
+            X.impact_level(FOOTPRINT, self.getOrDefault("low"), self.getOrDefault("high")),
         )
 
 
@@ -305,7 +305,8 @@ def transform_with_names(
 
 def level_index(level: Column) -> Column:
     """Class number of a level: Low 0, Medium 1, High 2."""
-    return (F.array_position(F.array(*[F.lit(v) for v in LEVELS]), level) - 1).cast("double")
+    numbers = F.create_map(*[F.lit(x) for i, v in enumerate(LEVELS) for x in (v, float(i))])
+    return numbers[level]
 
 
 def index_level(index: Column) -> Column:

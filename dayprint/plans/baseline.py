@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dayprint.constants import DOMAINS, FOOTPRINT, LEVEL, LEVELS
 from dayprint.functions.features import impact_level
+from dayprint.functions.text import text_list
 from dayprint.operators.splits import hash_split
 
 SEGMENT = ["transport_mode", "food_type"]
@@ -20,15 +21,12 @@ def split_activity(df: DataFrame) -> DataFrame:
 
 def segment_model(train: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
     """At most one row per pair of known categories."""
-    known = [F.col(k).isin(DOMAINS[k]) for k in keys]
-    for condition in known:
-        train = train.where(condition)
-    return train.groupBy(*keys).agg(
-        F.round(F.avg(FOOTPRINT), 6).alias("segment_mean"),
-        *[
-            F.round(F.avg(F.when(F.col(LEVEL) == v, 1.0).otherwise(0.0)), 6).alias(f"p_{v.lower()}")
-            for v in LEVELS
-        ],
+    known = " and ".join(f"{k} in ({text_list(DOMAINS[k])})" for k in keys)
+    shares = [
+        F.expr(f"round(avg(if({LEVEL} = '{v}', 1.0D, 0.0D)), 6) as p_{v.lower()}") for v in LEVELS
+    ]
+    return train.where(known).groupBy(*keys).agg(
+        F.expr(f"round(avg({FOOTPRINT}), 6) as segment_mean"), *shares
     )
 
 
@@ -53,7 +51,7 @@ def segment_scorer(train: DataFrame):
         return (
             with_segments(df, train)
             .withColumn(FOOTPRINT, F.col("segment_mean"))
-            .withColumn(LEVEL, impact_level(F.col(FOOTPRINT)))
+            .withColumn(LEVEL, impact_level(FOOTPRINT))
             .withColumn("class_probabilities", F.array("p_low", "p_medium", "p_high"))
             .drop("segment_mean", "p_low", "p_medium", "p_high")
         )
@@ -71,31 +69,19 @@ def predictions(df: DataFrame) -> DataFrame:
             "linear_pred": F.round(
                 line["intercept"] + line["slope"] * F.col("electricity_kwh"), 6
             ),
-            "segment_level": impact_level(F.col("segment_mean")),
+            "segment_level": impact_level("segment_mean"),
         }
-    ).withColumn("linear_level", impact_level(F.col("linear_pred")))
+    ).withColumn("linear_level", impact_level("linear_pred"))
 
 
 def long_predictions(df: DataFrame) -> DataFrame:
     """One row per record and model: algorithm, label, prediction, levels."""
-    return predictions(df).select(
-        "record_id",
-        "split",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("algorithm"),
-                        F.col(FOOTPRINT).alias("label"),
-                        F.col(pred).alias("prediction"),
-                        F.col(LEVEL).alias("level"),
-                        F.col(level).alias("predicted_level"),
-                    )
-                    for name, pred, level in [
-                        ("linear", "linear_pred", "linear_level"),
-                        ("segment", "segment_mean", "segment_level"),
-                    ]
-                ]
-            )
-        ),
+    models = ", ".join(
+        f"""named_struct('algorithm', '{name}', 'label', {FOOTPRINT}, 'prediction', {pred},
+            'level', {LEVEL}, 'predicted_level', {level})"""
+        for name, pred, level in [
+            ("linear", "linear_pred", "linear_level"),
+            ("segment", "segment_mean", "segment_level"),
+        ]
     )
+    return predictions(df).selectExpr("record_id", "split", f"inline(array({models}))")

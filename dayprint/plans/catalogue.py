@@ -26,7 +26,7 @@ from dayprint.plans import baseline
 from dayprint.schema import ACTIVITY_SCHEMA, SAMPLE_SCHEMA
 from dayprint.sources import files
 from dayprint.sources.activity import EVENTS_SCHEMA, activity, activity_raw, from_events
-from dayprint.sources.workdir import new_folder
+from dayprint.sources.workdir import materialise, new_folder
 from dayprint.streaming.score_stream import read_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,9 +222,9 @@ def null_fill_missing(spark, folder):
     return V.fill_missing_columns(partial).drop("activity_date", "user_id")
 
 
-def _messages(spark, folder, errors: list[Column]) -> DataFrame:
-    return coerced(spark, folder).select(
-        "record_id", F.concat_ws("; ", *errors).alias("messages")
+def _messages(spark, folder, errors: list[str]) -> DataFrame:
+    return coerced(spark, folder).selectExpr(
+        "record_id", f"concat_ws('; ', {', '.join(errors)}) as messages"
     )
 
 
@@ -278,7 +278,7 @@ def impact_level(spark, folder):
     rows = activity(spark, folder).withColumn(
         FOOTPRINT, F.when(F.col("record_id") % 50 != 0, F.col(FOOTPRINT))
     )
-    narrow = X.impact_level(F.col(FOOTPRINT), 5.0, 9.0).alias("narrow_level")
+    narrow = X.impact_level(FOOTPRINT, 5.0, 9.0).alias("narrow_level")
     return stages.ImpactLeveller().transform(rows).select("record_id", LEVEL, narrow)
 
 
@@ -426,7 +426,7 @@ def kfold_regression(spark, folder):
 @query
 def kfold_classification(spark, folder):
     rows = _cross_validated(splits.stratified_folds(activity(spark, folder), "record_id"))
-    hit = F.when(X.impact_level(F.col("pred")) == F.col(LEVEL), 1.0).otherwise(0.0)
+    hit = F.when(X.impact_level("pred") == F.col(LEVEL), 1.0).otherwise(0.0)
     return rounded(
         rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
     )
@@ -756,7 +756,7 @@ def _both() -> list[Column]:
 
 def _soft(row_level: str) -> dict[str, Column]:
     """Hard probabilities of a level: one for the level, zero elsewhere."""
-    return {v: F.when(F.col(row_level) == v, 1.0).otherwise(0.0) for v in LEVELS}
+    return {v: F.expr(f"if({row_level} = '{v}', 1.0D, 0.0D)") for v in LEVELS}
 
 
 def _segment_soft() -> dict[str, Column]:
@@ -766,15 +766,16 @@ def _segment_soft() -> dict[str, Column]:
 @query
 def vote_mean(spark, folder):
     return test_rows(spark, folder).select(
-        "record_id", r6(ensemble.vote_mean(_both())).alias("prediction")
+        "record_id", F.round(ensemble.vote_mean(_both()), 7).alias("prediction")
     )
 
 
 @query
 def vote_majority(spark, folder):
-    mean_level = X.impact_level(ensemble.vote_mean(_both()))
+    mean_level = X.impact_level("mean_pred")
     likely = ensemble.most_likely(_segment_soft())
-    return test_rows(spark, folder).select(
+    rows = test_rows(spark, folder).withColumn("mean_pred", ensemble.vote_mean(_both()))
+    return rows.select(
         "record_id",
         ensemble.vote_majority([F.col("linear_level"), F.col("segment_level"), likely]).alias(
             "three_votes"
@@ -881,14 +882,14 @@ def stream_score(spark, folder):
 @query
 def suggestions_core(spark, folder):
     return activity(spark, folder).select(
-        "record_id", F.to_json(suggestions(F.col(LEVEL))).alias("suggestions")
+        "record_id", F.to_json(suggestions(LEVEL)).alias("suggestions")
     )
 
 
 @query
 def suggestions_service(spark, folder):
     return activity(spark, folder).select(
-        "record_id", F.to_json(suggestions(F.col(LEVEL), "service")).alias("suggestions")
+        "record_id", F.to_json(suggestions(LEVEL, "service")).alias("suggestions")
     )
 
 
@@ -904,84 +905,79 @@ def contributions_service(spark, folder):
     )
 
 
-def _exploded_shares(df: DataFrame, shares: Column) -> DataFrame:
-    return df.select("record_id", F.posexplode(shares).alias("position", "s")).select(
-        "record_id", "position", "s.factor", r6("s.percentage").alias("percentage")
+def _with_shares(spark, folder, variant: str = "core") -> DataFrame:
+    """Records with their ranked contribution shares."""
+    rows = activity(spark, folder)
+    if variant == "core":
+        parts, places = contrib.contributions(), 1
+    else:
+        parts, places = contrib.service_contributions(), None
+    return rows.withColumn("parts", parts).withColumn(
+        "shares", contrib.ranked_shares("parts", places)
+    )
+
+
+def _exploded(df: DataFrame, shares: Column, *extra: str) -> DataFrame:
+    return df.select("record_id", F.posexplode(shares).alias("position", "s")).selectExpr(
+        "record_id", "position", "s.factor", "round(s.percentage, 6) as percentage", *extra
     )
 
 
 @query
 def contribution_pct(spark, folder):
-    return _exploded_shares(
-        activity(spark, folder), contrib.ranked_shares(contrib.contributions())
-    )
+    return _exploded(_with_shares(spark, folder), F.col("shares"))
 
 
 @query
 def contribution_pct_service(spark, folder):
-    shares = contrib.ranked_shares(contrib.service_contributions(), None)
-    return _exploded_shares(activity(spark, folder), contrib.top_factors(shares, 5))
+    rows = _with_shares(spark, folder, "service")
+    return _exploded(rows, contrib.top_factors("shares", 5))
 
 
 @query
 def top_factors(spark, folder):
-    shares = contrib.ranked_shares(contrib.contributions())
-    return _exploded_shares(activity(spark, folder), contrib.top_factors(shares))
+    return _exploded(_with_shares(spark, folder), contrib.top_factors("shares"))
 
 
 @query
 def key_factors(spark, folder):
-    shares = contrib.ranked_shares(contrib.service_contributions(), None)
-    return (
-        activity(spark, folder)
-        .select("record_id", F.posexplode(contrib.key_factors(shares)).alias("position", "s"))
-        .select(
-            "record_id",
-            "position",
-            "s.factor",
-            r6("s.percentage").alias("percentage"),
-            "s.description",
-        )
-    )
+    rows = _with_shares(spark, folder, "service")
+    return _exploded(rows, contrib.key_factors("shares"), "s.description")
 
 
 @query
 def explain_text(spark, folder):
-    shares = contrib.ranked_shares(contrib.contributions())
-    return activity(spark, folder).withColumn("shares", shares).select(
-        "record_id",
-        explanation(F.col(FOOTPRINT), F.col(LEVEL), F.col("shares")).alias("explanation"),
-    )
+    text = explanation(FOOTPRINT, LEVEL, "shares").alias("explanation")
+    return _with_shares(spark, folder).select("record_id", text)
 
 
 @query
 def explain_text_service(spark, folder):
-    shares = contrib.ranked_shares(contrib.service_contributions(), None)
-    return activity(spark, folder).withColumn("shares", shares).select(
-        "record_id",
-        service_explanation(F.col(FOOTPRINT), F.col(LEVEL), F.col("shares")).alias("explanation"),
-    )
+    text = service_explanation(FOOTPRINT, LEVEL, "shares").alias("explanation")
+    return _with_shares(spark, folder, "service").select("record_id", text)
 
 
 @query
 def plausibility_checks(spark, folder):
     # Raw records, so that impossible values show up, with a rough footprint and
     # a level that is wrong for some.
-    raw = coerced(spark, folder)
-    footprint = F.round(
-        F.col("distance_km") * 0.1 + F.col("electricity_kwh") * 0.4 + F.col("eco_actions"), 4
-    )
-    scored = raw.withColumn(FOOTPRINT, footprint).withColumn(
-        LEVEL,
-        F.when(F.col("record_id") % 7 == 0, "Low").otherwise(X.impact_level(F.col(FOOTPRINT))),
-    ).withColumn("renewable_usage_pct", F.col("renewable_usage_pct") * 1.02).withColumn(
-        "eco_actions", F.col("eco_actions") - 1
-    )
-    return scored.withColumn("v", plausibility(F.col(FOOTPRINT), F.col(LEVEL))).select(
-        "record_id",
-        "v.is_valid",
-        F.concat_ws("; ", "v.warnings").alias("warnings"),
-        F.concat_ws("; ", "v.errors").alias("errors"),
+    rows = coerced(spark, folder).selectExpr(
+        "record_id", "transport_mode", "distance_km", "electricity_kwh", "screen_time_hours",
+        "waste_generated_kg",
+        "renewable_usage_pct * 1.02D as renewable_usage_pct",
+        "eco_actions - 1 as eco_actions",
+        f"round(distance_km * 0.1D + electricity_kwh * 0.4D + eco_actions, 4) as {FOOTPRINT}",
+    )
+    level = f"if(record_id % 7 = 0, 'Low', {X.level_sql(FOOTPRINT)})"
+    return (
+        rows.withColumn(LEVEL, F.expr(level))
+        .select("record_id", plausibility().alias("v"))
+        .selectExpr(
+            "record_id",
+            "v.is_valid",
+            "concat_ws('; ', v.warnings) as warnings",
+            "concat_ws('; ', v.errors) as errors",
+        )
     )
 
 
@@ -1045,10 +1041,8 @@ def global_explanation(spark, folder):
 
 
 def _formula(df: DataFrame) -> DataFrame:
-    total = F.lit(3.5)
-    for part in contrib.raw_contributions().values():
-        total = total + part
-    return df.withColumn(FOOTPRINT, total)
+    parts = " + ".join(contrib.raw_contributions().values())
+    return df.withColumn(FOOTPRINT, F.expr(f"3.5D + {parts}"))
 
 
 @query
@@ -1141,9 +1135,11 @@ def compare_classifiers(spark, folder):
 
 
 def _scored(spark, folder) -> DataFrame:
+    """A stored scored batch, as reports over it read it more than once."""
     scorer = baseline.segment_scorer(train_rows(spark, folder))
     stats = profile.target_stats(train_rows(spark, folder))
-    return scoring.score_batch(coerced(spark, folder), scorer, stats, timestamp())
+    scored = scoring.score_batch(coerced(spark, folder), scorer, stats, timestamp())
+    return materialise(scored.select(FOOTPRINT, LEVEL, "confidence", "error"), "scored")
 
 
 @query
@@ -1243,7 +1239,7 @@ def impact_by_mode(spark, folder):
     rows = coerced(spark, folder, [FOOTPRINT]).withColumnRenamed(FOOTPRINT, "measured_kg")
     good = scoring.quarantine(rows).where("is_valid")
     return rounded(
-        good.groupBy("transport_mode", X.impact_level(F.col("measured_kg")).alias(LEVEL)).agg(
+        good.groupBy("transport_mode", X.impact_level("measured_kg").alias(LEVEL)).agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("measured_kg").alias("mean_footprint"),
             F.avg(F.col("electricity_kwh")).alias("mean_electricity"),

@@ -39,6 +39,11 @@ def r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
+def decimal_round(x: str, places: int) -> str:
+    """Rounds the shortest decimal text of a number, half away from zero."""
+    return f"round(cast(cast({x} as varchar) as decimal(38,18)), {places})::double"
+
+
 # Named parts; each may use the ones it mentions.
 CTES: dict[str, str] = {}
 
@@ -113,7 +118,7 @@ from sp where split='train' group by all
 CTES["lin"] = f"select round(regr_slope({Y}, electricity_kwh),6) as slope, round(regr_intercept({Y}, electricity_kwh),6) as intercept from sp where split='train'"
 CTES["pred"] = f"""
 select *, {level_of('segment_mean')} as segment_level, {level_of('linear_pred')} as linear_level
-from (select sp.*, segment_mean, p_low, p_medium, p_high, round(intercept + slope*electricity_kwh, 6) as linear_pred
+from (select sp.*, segment_mean, p_low, p_medium, p_high, {decimal_round('intercept + slope*electricity_kwh', 6)} as linear_pred
  from sp left join seg using (transport_mode, food_type) cross join lin)
 """
 CTES["test"] = "select * from pred where split='test'"
@@ -214,7 +219,7 @@ select record_id, unnest([0,1,2,3,4,5,6,7,8]) as ord, unnest([{', '.join(map(q,
   electricity_kwh*0.3::double, renewable_usage_pct*(-0.02::double), coalesce({FOOD_W},0.0),
   screen_time_hours*0.1::double, waste_generated_kg*0.4::double, eco_actions*(-0.15::double)]) as value from activity
 """
-for _name, _pct in (("core", "round(abs(value)/total*100,1)"), ("service", "abs(value)/total*100")):
+for _name, _pct in (("core", decimal_round("abs(value)/total*100", 1)), ("service", "abs(value)/total*100")):
     # The total adds the parts in feature order, as the other side does.
     CTES[f"{_name}_ranked"] = f"""
 select record_id, feature as factor, pct as percentage,
@@ -329,7 +334,7 @@ from activity a left join seg using (transport_mode, food_type)
 """
 CTES["all_stats"] = f"select avg({Y}) as m, stddev_samp({Y}) as s, min({Y}) as lo, max({Y}) as hi from activity"
 O["write_scored"] = f"""
-select record_id, pf as {Y}, pl as {LV}, round((rc+cc)/2,6) as confidence, suggestions, null::varchar as error from
+select record_id, pf as {Y}, pl as {LV}, {decimal_round('(rc+cc)/2', 6)} as confidence, suggestions, null::varchar as error from
  (select *, case when pf between lo and hi then greatest(0.5,least(0.95,exp(-0.5*((pf-m)/s)*((pf-m)/s)))) else 0.7 end as rc,
   to_json({suggestion_list('pl', 'core')})::varchar as suggestions from clean_scored cross join all_stats)
 """
@@ -470,7 +475,7 @@ select record_id, round({bell('linear_pred', 'm', 's', 'lo', 'hi')},6) as confid
 from test cross join stats
 """
 O["class_confidence"] = "select record_id, greatest(p_low,p_medium,p_high) as confidence, 0.7::double as without_probabilities from test"
-O["overall_confidence"] = f"select record_id, round(({bell('segment_mean', 'm', 's', 'lo', 'hi')} + greatest(p_low,p_medium,p_high))/2,6) as confidence from test cross join stats"
+O["overall_confidence"] = f"select record_id, {decimal_round(f"({bell('segment_mean', 'm', 's', 'lo', 'hi')} + greatest(p_low,p_medium,p_high))/2", 6)} as confidence from test cross join stats"
 O["service_confidence"] = "select record_id, round(cc,6) as confidence from clean_scored"
 O["resolve_model"] = "select record_id, linear_pred as best, segment_mean as exact, linear_pred as other from test"
 _summary = {
@@ -478,7 +483,7 @@ _summary = {
     "energy": "electricity_kwh || ' kWh, ' || renewable_usage_pct || '% renewable'",
 }
 O["score_batch"] = f"""
-select b.record_id, {Y}, {LV}, round(confidence,6) as confidence, case when n_errors=0 then round(rc,6) end as regression_confidence,
+select b.record_id, {Y}, {LV}, {decimal_round('confidence', 6)} as confidence, case when n_errors=0 then round(rc,6) end as regression_confidence,
  case when n_errors=0 then round(cc,6) end as classification_confidence,
  case when n_errors=0 then to_json({suggestion_list('lv', 'core')})::varchar end as suggestions,
  case when n_errors=0 then round(c0*case when t>0 then 8.0/t else 1 end,3) end as transport,
@@ -497,7 +502,7 @@ O["repeat_statistics"] = """
 select sum(n)::bigint as rows, count(*) as distinct_inputs, sum(n-1)::bigint as hits, round(sum(n-1)/sum(n),6) as hit_rate
 from (select count(*) as n from activity group by day_type, transport_mode, food_type, eco_actions)
 """
-O["vote_mean"] = "select record_id, round((linear_pred+segment_mean)/2,6) as prediction from test"
+O["vote_mean"] = f"select record_id, {decimal_round('(linear_pred+segment_mean)/2', 7)} as prediction from test"
 _likely = "case when p_low>=p_medium and p_low>=p_high then 'Low' when p_medium>=p_high then 'Medium' else 'High' end"
 _votes = lambda vs: "(select v from unnest([" + ",".join(vs) + "]) t(v) group by v order by count(*) desc, case v when 'Low' then 0 when 'Medium' then 1 else 2 end limit 1)"
 O["vote_majority"] = f"""
@@ -514,7 +519,7 @@ from test cross join weights
 _hard = {v: f"(linear_level='{v}')::int" for v in LEVELS}
 O["vote_soft"] = (
     "select *, case when mean_low>=mean_medium and mean_low>=mean_high then 'Low' when mean_medium>=mean_high then 'Medium' else 'High' end as prediction from (select record_id, "
-    + ", ".join(f"round(({_hard[v]}+p_{v.lower()})/2,6) as mean_{v.lower()}" for v in LEVELS)
+    + ", ".join(f"{decimal_round(f'({_hard[v]}+p_{v.lower()})/2', 6)} as mean_{v.lower()}" for v in LEVELS)
     + ", "
     + ", ".join(f"round(({_hard[v]}*0.4::double+p_{v.lower()}*0.8::double)/(0.4::double+0.8::double),6) as weighted_{v.lower()}" for v in LEVELS)
     + " from test)"
@@ -539,7 +544,7 @@ select record_id, pf as {Y}, pl as {LV}, round(cc,6) as confidence, true as is_p
  '2024-01-15T12:30:45.000000' as timestamp from clean_scored
 """
 O["stream_score"] = f"""
-select record_id, pf as {Y}, pl as {LV}, round(({bell('pf', 'm', 's', 'lo', 'hi')}+cc)/2,6) as confidence from clean_scored cross join stats
+select record_id, pf as {Y}, pl as {LV}, {decimal_round(f"({bell('pf', 'm', 's', 'lo', 'hi')}+cc)/2", 6)} as confidence from clean_scored cross join stats
 """
 
 O["suggestions_core"] = f"select record_id, to_json({suggestion_list(LV, 'core')})::varchar as suggestions from activity"
@@ -655,7 +660,7 @@ select m.algorithm || '_classification' as model_name, 'classification' as model
 
 def stat_rows(section: str, pairs: dict[str, str], source: str, where: str = "true") -> str:
     return " union all ".join(
-        f"select '{section}' as section, '{n}' as name, round(({x})::double,6) as value from {source} where {where}"
+        f"select '{section}' as section, '{n}' as name, {decimal_round(f'({x})::double', 6)} as value from {source} where {where}"
         for n, x in pairs.items()
     )
 
@@ -714,7 +719,7 @@ O["null_counts"] = " union all ".join(
     f"select '{c}' as column_name, count(*)-count({c}) as nulls from coerced" for c in FEATURES
 )
 O["describe"] = " union all ".join(
-    f"select '{c}' as variable, count({c}) as count, round(avg({c}),6) as mean, round(stddev_samp({c}),6) as std, min({c}) as min, max({c}) as max, "
+    f"select '{c}' as variable, count({c}) as count, round(avg({c}),6) as mean, round(stddev_samp({c}),6) as std, round(min({c}),6) as min, round(max({c}),6) as max, "
     f"round(quantile_cont({c},0.25),6) as q1, round(median({c}),6) as median, round(quantile_cont({c},0.75),6) as q3 from coerced"
     for c in NUMERIC_FEATURES
 )

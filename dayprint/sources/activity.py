@@ -8,7 +8,7 @@ share; the other fields and the noise follow from the event id.
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dayprint.constants import FEATURES, FOOD_WEIGHTS, FOOTPRINT, LEVEL, TRANSPORT_WEIGHTS
-from dayprint.functions.features import impact_level, lookup
+from dayprint.functions.features import impact_level, lookup_sql
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -29,51 +29,33 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(EVENTS_SCHEMA).parquet(f"{folder}/events.parquet")
 
 
-def _pick(column, choices: dict[str, str], default: str):
-    out = F
-    for key, value in choices.items():
-        out = out.when(column == key, value)
-    return out.otherwise(default)
-
-
 def from_events(events: DataFrame) -> DataFrame:
     """Activity records with their footprint and level; a narrow projection."""
-    c, i = F.col, F.col("event_id")
-    day = c("ts").cast("date")
-    food_draw = (i * 31) % 97 % 3
-    inputs = events.select(
-        i.alias("record_id"),
+    modes = " ".join(f"when '{e}' then '{m}'" for e, m in MODE_OF_EVENT.items())
+    inputs = events.selectExpr(
+        "event_id as record_id",
         "user_id",
-        day.alias("activity_date"),
-        F.when(F.dayofweek(day).isin(1, 7), "Weekend").otherwise("Weekday").alias("day_type"),
-        _pick(c("event_type"), MODE_OF_EVENT, "Car").alias("transport_mode"),
-        F.least(F.round(c("value") / 5.0, 2), F.lit(98.0)).alias("distance_km"),
-        (F.lit(2.0) + ((i * 37) % 181) / F.lit(10.0)).alias("electricity_kwh"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").cast("double").alias(
-            "renewable_usage_pct"
-        ),
-        F.when(food_draw == 0, "Veg").when(food_draw == 1, "Mixed").otherwise("Non-Veg").alias(
-            "food_type"
-        ),
-        (((i * 13) % 121) / F.lit(10.0)).alias("screen_time_hours"),
-        (F.lit(0.1) + ((i * 7) % 19) / F.lit(10.0)).alias("waste_generated_kg"),
-        ((i * 17) % 89 % 6).cast("int").alias("eco_actions"),
-        (((i * 101) % 211 - 105) / F.lit(70.0)).alias("noise"),
+        "cast(ts as date) as activity_date",
+        "if(dayofweek(cast(ts as date)) in (1, 7), 'Weekend', 'Weekday') as day_type",
+        f"case event_type {modes} else 'Car' end as transport_mode",
+        "least(round(value / 5.0D, 2), 98.0D) as distance_km",
+        "2.0D + (event_id * 37) % 181 / 10.0D as electricity_kwh",
+        "double(int(regexp_extract(props, '([0-9]+)', 1))) as renewable_usage_pct",
+        "element_at(array('Veg', 'Mixed', 'Non-Veg'), int((event_id * 31) % 97 % 3) + 1) as food_type",
+        "(event_id * 13) % 121 / 10.0D as screen_time_hours",
+        "0.1D + (event_id * 7) % 19 / 10.0D as waste_generated_kg",
+        "int((event_id * 17) % 89 % 6) as eco_actions",
+        "((event_id * 101) % 211 - 105) / 70.0D as noise",
     )
-    footprint = (
-        F.lit(3.500013)
-        + lookup(c("transport_mode"), TRANSPORT_WEIGHTS) * c("distance_km") * 0.12
-        + c("electricity_kwh") * (100 - c("renewable_usage_pct")) / 100 * 0.35
-        + lookup(c("food_type"), FOOD_WEIGHTS) * 2
-        + c("waste_generated_kg") * 0.8
-        + c("screen_time_hours") * 0.1
-        - c("eco_actions") * 0.15
-        + c("noise")
-    )
-    return (
-        inputs.withColumn(FOOTPRINT, F.round(footprint, 4))
-        .withColumn(LEVEL, impact_level(F.col(FOOTPRINT)))
-        .drop("noise")
+    footprint = f"""3.500013D
+        + {lookup_sql('transport_mode', TRANSPORT_WEIGHTS)} * distance_km * 0.12D
+        + electricity_kwh * (100 - renewable_usage_pct) / 100 * 0.35D
+        + {lookup_sql('food_type', FOOD_WEIGHTS)} * 2
+        + waste_generated_kg * 0.8D + screen_time_hours * 0.1D - eco_actions * 0.15D + noise"""
+    return inputs.withColumn(FOOTPRINT, F.expr(f"round({footprint}, 4)")).select(
+        *[c for c in inputs.columns if c != "noise"],
+        FOOTPRINT,
+        impact_level(FOOTPRINT).alias(LEVEL),
     )
 
 
@@ -86,20 +68,16 @@ def activity_raw(spark: SparkSession, folder: str, keep: list[str] = []) -> Data
 
     ``keep`` names further columns of the clean record to carry along.
     """
-    rid = F.col("record_id")
-
-    def on(divisor: int, rest: int):
-        return rid % divisor == rest
-
-    text = activity(spark, folder).select(
-        "record_id", "user_id", *keep, *[F.col(c).cast("string").alias(c) for c in FEATURES]
-    )
     dirty = {
-        "day_type": F.when(on(41, 3), "Holiday").when(on(43, 5), F.lit(None)),
-        "transport_mode": F.when(on(37, 2), "Rocket"),
-        "distance_km": F.when(on(29, 1), "150.0").when(on(31, 7), "invalid"),
-        "electricity_kwh": F.when(on(47, 9), "-5.0").when(on(53, 11), F.lit(None)),
-        "screen_time_hours": F.when(on(59, 13), "25.0"),
-        "eco_actions": F.when(on(61, 17), "15"),
+        "day_type": "when record_id % 41 = 3 then 'Holiday' when record_id % 43 = 5 then null",
+        "transport_mode": "when record_id % 37 = 2 then 'Rocket'",
+        "distance_km": "when record_id % 29 = 1 then '150.0' when record_id % 31 = 7 then 'invalid'",
+        "electricity_kwh": "when record_id % 47 = 9 then '-5.0' when record_id % 53 = 11 then null",
+        "screen_time_hours": "when record_id % 59 = 13 then '25.0'",
+        "eco_actions": "when record_id % 61 = 17 then '15'",
     }
-    return text.withColumns({c: case.otherwise(F.col(c)) for c, case in dirty.items()})
+    columns = [
+        f"case {dirty[c]} else string({c}) end as {c}" if c in dirty else f"string({c}) as {c}"
+        for c in FEATURES
+    ]
+    return activity(spark, folder).selectExpr("record_id", "user_id", *keep, *columns)
