@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from dayprint.functions.text import array_of, fixed, quoted
+from dayprint.functions.text import array_of, fixed, joined, quoted
 
 # Texts of the explanations.
 CONTEXT = {
@@ -69,11 +69,15 @@ def service_explanation(footprint: str, level: str, shares: str) -> Column:
         f"case when {observed[name]} then {quoted(f'{chr(10)}{chr(10)}Note: {text}')} else '' end"
         for name, text in NOTES.items()
     )
-    followed = f"""concat('Followed by \'', {second}.factor, '\' (',
-        {fixed(f'{second}.percentage', 1)}, '%).')"""
-    factors = f"""concat('The main factor contributing to your footprint is \'',
-        {first}.factor, '\' (', {fixed(f'{first}.percentage', 1)}, '%). ',
-        coalesce({followed}, ''))"""
+    followed = joined(
+        quoted("Followed by '"), f"{second}.factor", quoted("' ("),
+        fixed(f"{second}.percentage", 1), quoted("%)."),
+    )
+    factors = joined(
+        quoted("The main factor contributing to your footprint is '"), f"{first}.factor",
+        quoted("' ("), fixed(f"{first}.percentage", 1), quoted("%). "),
+        f"coalesce({followed}, '')",
+    )
     return F.expr(
         f"""concat('Your predicted carbon footprint is ', {fixed(footprint, 1)},
             ' kg CO₂ per day, which is classified as ', {level}, ' impact.\n\n',

@@ -1,10 +1,11 @@
 """Voting over the predictions of several models of one record."""
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from dayprint.constants import LEVELS
+from dayprint.constants import FOOTPRINT, LEVEL, LEVELS
 
 ENSEMBLE_TYPES = ("voting", "weighted")
 # Fixed value: weight of a model without a validation score.
@@ -62,3 +63,66 @@ def most_likely(probabilities: dict[str, Column]) -> Column:
         ]
     )
     return F.array_min(ranked)["level"]
+
+
+@dataclass
+class ModelEnsemble:
+    """Several trained models of one task that vote on every record."""
+
+    models: list
+    ensemble_type: str = "voting"
+
+    @property
+    def task(self) -> str:
+        return self.models[0].config.model_type
+
+    def weights(self) -> list[float]:
+        score = "val_r2" if self.task == "regression" else "val_accuracy"
+        return [m.metrics.get(score, DEFAULT_WEIGHT) for m in self.models]
+
+    def _members(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``df`` with one column per member: its prediction or probabilities."""
+        if any(m.model is None for m in self.models):
+            raise ValueError("All models in ensemble must be trained")
+        names = [f"member_{i}" for i in range(len(self.models))]
+        for name, m in zip(names, self.models):
+            if self.task == "regression":
+                df = m.predict(df).withColumnRenamed(f"{FOOTPRINT}_predicted", name)
+            else:
+                df = m.predict(df).withColumnsRenamed(
+                    {f"{LEVEL}_predicted": name, "class_probabilities": f"{name}_p"}
+                )
+        return df, names
+
+    def _mean_probabilities(self, names: list[str]) -> dict[str, Column]:
+        given = [
+            {v: F.expr(f"{n}_p[{i}]") for i, v in enumerate(LEVELS)} for n in names
+        ]
+        return vote_soft(given, self.ensemble_type, self.weights())
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Mean or weighted mean; for classes majority or weighted soft vote."""
+        check_ensemble_type(self.ensemble_type)
+        out, names = self._members(df)
+        columns = [F.col(n) for n in names]
+        if self.task == "classification":
+            vote = (
+                vote_majority(columns)
+                if self.ensemble_type == "voting"
+                else most_likely(self._mean_probabilities(names))
+            )
+            return out.select(*df.columns, vote.alias(f"{LEVEL}_predicted"))
+        vote = (
+            vote_mean(columns)
+            if self.ensemble_type == "voting"
+            else vote_weighted(columns, self.weights())
+        )
+        return out.select(*df.columns, vote.alias(f"{FOOTPRINT}_predicted"))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Mean or weighted mean of the members' class probabilities."""
+        if self.task != "classification":
+            raise ValueError("predict_proba is only available for classification models")
+        out, names = self._members(df)
+        mean = self._mean_probabilities(names)
+        return out.select(*df.columns, F.array(*mean.values()).alias("class_probabilities"))

@@ -1,6 +1,6 @@
 """Profiles of activity tables and of scored batches."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dayprint.constants import (
     DOMAINS,
@@ -270,29 +270,27 @@ def _long_rows(sections: dict[str, dict[str, str]]) -> str:
     return f"inline(array({rows}))"
 
 
-def _level_rows(counted: DataFrame, where: str, total: str, counts: str, shares: str) -> DataFrame:
-    """Counts and percentages per level; a handful of rows."""
-    overall = f"max(case when by_level = 1 and by_error = 1 then {total} end) over (partition by 1)"
-    return (
-        counted.withColumn("overall", F.expr(overall))
-        .where(f"by_level = 0 and {where}")
-        .selectExpr(
-            f"""inline(array(
-                named_struct('section', '{counts}', 'name', {LEVEL}, 'value', double({total})),
-                named_struct('section', '{shares}', 'name', {LEVEL},
-                    'value', {total} * 100 / overall)))"""
-        )
-    )
+def _group_rows(narrow: DataFrame, counts: str, shares: str) -> DataFrame:
+    """Counts and percentages per level, and counts per error type.
 
-
-def _counted(narrow: DataFrame, figures: dict[str, str]) -> DataFrame:
-    """Figures over all rows, per level and per error type, from one scan."""
-    return narrow.groupingSets(
-        [[], [F.col(LEVEL)], [F.col("error_type")]], F.col(LEVEL), F.col("error_type")
-    ).agg(
-        F.grouping(LEVEL).alias("by_level"),
-        F.grouping("error_type").alias("by_error"),
-        *[F.expr(x).alias(name) for name, x in figures.items()],
+    One scan gives the counts of all pairs of level and error type, which are
+    a handful of rows; ``weight`` tells which rows count for a level.
+    """
+    pairs = narrow.groupBy(LEVEL, "error_type").agg(
+        F.sum("weight").alias("weighted"), F.count(F.lit(1)).alias("rows")
+    )
+    sums = (
+        pairs.selectExpr(f"stack(2, 'level', {LEVEL}, weighted, 'error', error_type, rows) as (kind, name, n)")
+        .groupBy("kind", "name")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("total", F.expr("sum(n) over (partition by kind)"))
+        .where("name is not null and n > 0")
+    )
+    return sums.selectExpr(
+        f"""inline(if(kind = 'error',
+            array(named_struct('section', 'error_analysis', 'name', name, 'value', double(n))),
+            array(named_struct('section', '{counts}', 'name', name, 'value', double(n)),
+                  named_struct('section', '{shares}', 'name', name, 'value', n * 100 / total))))"""
     )
 
 
@@ -305,23 +303,22 @@ def analyze_predictions(scored: DataFrame) -> DataFrame:
     """
     narrow = scored.selectExpr(
         LEVEL,
-        "error is null as ok",
+        "if(error is null, 1, 0) as weight",
         f"case when error is null then {FOOTPRINT} end as {FOOTPRINT}",
         "case when error is null then confidence end as confidence",
         f"case when error is not null then {ERROR_TYPE} end as error_type",
     )
-    figures = {"rows": "count(1)", "good": "count_if(ok)"}
+    figures = {"rows": "count(1)", "good": "sum(weight)"}
     for c in (FOOTPRINT, "confidence"):
         for fn in ("avg", "stddev_pop", "min", "max"):
             figures[f"{fn}_{c}"] = f"{fn}({c})"
-    counted = _counted(narrow, figures)
-    overall = counted.where("by_level = 1 and by_error = 1").selectExpr(
+    overall = narrow.agg(*[F.expr(x).alias(name) for name, x in figures.items()]).selectExpr(
         _long_rows(
             {
                 "totals": {
                     "total_predictions": "rows",
-                    "successful_predictions": "good",
-                    "failed_predictions": "rows - good",
+                    "successful_predictions": "coalesce(good, 0)",
+                    "failed_predictions": "rows - coalesce(good, 0)",
                     "success_rate": "coalesce(try_divide(good * 100, rows), 0)",
                 },
                 "footprint_statistics": {
@@ -338,12 +335,7 @@ def analyze_predictions(scored: DataFrame) -> DataFrame:
             }
         )
     )
-    errors = counted.where("by_error = 0 and error_type is not null").selectExpr(
-        "'error_analysis' as section", "error_type as name", "double(rows) as value"
-    )
-    levels = _level_rows(
-        counted, "good > 0", "good", "impact_level_distribution", "impact_level_percentages"
-    )
+    groups = _group_rows(narrow, "impact_level_distribution", "impact_level_percentages")
     middle = (
         _medians(narrow, [FOOTPRINT, "confidence"], quartiles=True)
         .unpivot(["variable"], ["median", "q1", "q3"], "name", "value")
@@ -354,29 +346,23 @@ def analyze_predictions(scored: DataFrame) -> DataFrame:
             "value",
         )
     )
-    return (
-        overall.where("value is not null")
-        .unionByName(middle)
-        .unionByName(levels)
-        .unionByName(errors)
-    )
+    return overall.where("value is not null").unionByName(middle).unionByName(groups)
 
 
 def analyze_batch(scored: DataFrame) -> DataFrame:
     """Long report over all rows: sample deviation, shares of all rows."""
-    narrow = scored.selectExpr(LEVEL, FOOTPRINT, "error", "cast(null as string) as error_type")
-    counted = _counted(
-        narrow,
-        {
-            "rows": "count(1)",
-            "errors": "count(error)",
-            "mean": f"avg({FOOTPRINT})",
-            "std": f"stddev_samp({FOOTPRINT})",
-            "min": f"min({FOOTPRINT})",
-            "max": f"max({FOOTPRINT})",
-        },
+    narrow = scored.selectExpr(
+        LEVEL, FOOTPRINT, "error", "1 as weight", "cast(null as string) as error_type"
     )
-    overall = counted.where("by_level = 1 and by_error = 1").selectExpr(
+    figures = {
+        "rows": "count(1)",
+        "errors": "count(error)",
+        "mean": f"avg({FOOTPRINT})",
+        "std": f"stddev_samp({FOOTPRINT})",
+        "min": f"min({FOOTPRINT})",
+        "max": f"max({FOOTPRINT})",
+    }
+    overall = narrow.agg(*[F.expr(x).alias(name) for name, x in figures.items()]).selectExpr(
         _long_rows(
             {
                 "totals": {
@@ -391,10 +377,8 @@ def analyze_batch(scored: DataFrame) -> DataFrame:
     middle = _medians(narrow, [FOOTPRINT], quartiles=False).selectExpr(
         "'footprint_stats' as section", "'median' as name", "median as value"
     )
-    levels = _level_rows(
-        counted, f"{LEVEL} is not null", "rows", "impact_distribution", "impact_percentages"
-    )
-    return overall.unionByName(middle).unionByName(levels)
+    groups = _group_rows(narrow, "impact_distribution", "impact_percentages")
+    return overall.unionByName(middle).unionByName(groups)
 
 
 def prediction_statistics(scored: DataFrame) -> DataFrame:

@@ -129,10 +129,14 @@ def score_distinct(df: DataFrame, scorer: Scorer, columns: list[str] = FEATURES)
     only the rows of the other inputs are shuffled to meet their result, so a
     pattern that many rows share does not pile up in one task.
     """
-    key = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    fields = ", ".join(columns)
+    key = F.expr(f"sha2(to_json(struct({fields}), map('ignoreNullFields', 'false')), 256)")
     keyed = df.withColumn("input_key", key)
-    distinct_inputs = keyed.groupBy("input_key").agg(
-        *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("repeats")
+    # Grouping on the fields themselves needs no sort and treats nulls as equal.
+    distinct_inputs = (
+        df.groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("repeats"))
+        .withColumn("input_key", key)
     )
     outputs = scorer(distinct_inputs).drop(*columns)
     total = df.agg(F.count(F.lit(1))).scalar()

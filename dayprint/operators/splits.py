@@ -77,7 +77,7 @@ def stratified_split(
 def _fold_from_ends(df: DataFrame, key: str, ends: DataFrame, match: str) -> DataFrame:
     """Fold number = how many fold ends lie before the key."""
     return df.join(F.broadcast(ends), F.expr(match), "left").selectExpr(
-        *df.columns, f"size(filter(ends, e -> e < {key})) as fold"
+        *df.columns, f"if(ends is null, null, size(filter(ends, e -> e < {key}))) as fold"
     )
 
 
@@ -101,13 +101,15 @@ def contiguous_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     ends = ", ".join(
         f"{i + 1} * (n div {folds}) + least({i + 1}, n % {folds}) - 1" for i in range(folds - 1)
     )
-    numbered = df.selectExpr("'all' as part", f"{key} as key")
+    # Rows without a key belong to no fold.
+    part = f"if({key} is null, 'none', 'all')"
+    numbered = df.selectExpr(f"{part} as part", f"{key} as key")
     targets = rank_targets(numbered, ["part"], "key", f"array({ends})").withColumnRenamed(
         "ranks", "end_ranks"
-    )
+    ).where("part = 'all'")
     wanted = targets.withColumn("ranks", F.expr(_SEARCHED)).drop("end_ranks")
     found = order_statistics(numbered, ["part"], "key", wanted)
-    return _fold_from_ends(df, key, _ends_at(found, targets, "part"), "end_part = 'all'")
+    return _fold_from_ends(df, key, _ends_at(found, targets, "part"), f"{part} = end_part")
 
 
 def stratified_folds(

@@ -281,6 +281,8 @@ class NumericFiller(NumericPreparer):
 
 def feature_names(preprocessor: PipelineModel) -> list[str]:
     """Names of the vector slots, such as ``transport_mode_Car``."""
+    if not isinstance(preprocessor, PipelineModel):
+        raise ValueError("Preprocessor not loaded: fit or load it first")
     names: list[str] = []
     for stage in preprocessor.stages:
         if isinstance(stage, NumericPreparerModel):
@@ -297,10 +299,9 @@ def transform_with_names(
     """Encoded matrix as one named double column per slot."""
     from pyspark.ml.functions import vector_to_array
 
+    names = feature_names(preprocessor)
     slots = preprocessor.transform(df).select(*keep, vector_to_array("features").alias("slots"))
-    return slots.select(
-        *keep, *[F.col("slots")[i].alias(n) for i, n in enumerate(feature_names(preprocessor))]
-    )
+    return slots.select(*keep, *[F.expr(f"slots[{i}] as `{n}`") for i, n in enumerate(names)])
 
 
 def level_index(level: Column) -> Column:

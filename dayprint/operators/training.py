@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from dayprint.constants import FOOTPRINT, LEVEL
+from dayprint.constants import FOOTPRINT, LEVEL, LEVELS
 from dayprint.operators.evaluation import (
     classification_metrics,
     classification_report,
@@ -131,6 +131,8 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
         ),
         "seed": config.random_state,
     }
+    # The classes' binary models are independent jobs.
+    one_vs_rest = {"parallelism": len(LEVELS)}
     if config.model_type == "regression":
         if algorithm == "random_forest":
             return RandomForestRegressor(**common, **forest)
@@ -152,9 +154,12 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
                 regParam=0.0,
             )
         if algorithm in ("xgboost", "lightgbm", "catboost"):
-            return OneVsRest(classifier=GBTClassifier(**boosting), **common)
+            return OneVsRest(classifier=GBTClassifier(**boosting), **common, **one_vs_rest)
         if algorithm == "svc":
-            return OneVsRest(classifier=LinearSVC(maxIter=100), **common)
+            # A little regularisation keeps the solver stable on separable classes.
+            penalty = 0.01 / float(params.get("C", 1.0))
+            svm = LinearSVC(maxIter=int(params.get("max_iter", 50)), regParam=penalty)
+            return OneVsRest(classifier=svm, **common, **one_vs_rest)
         raise ValueError(f"Unknown classification algorithm: {algorithm}")
     raise ValueError(f"Unknown model type: {config.model_type}")
 
@@ -199,6 +204,8 @@ class TrainedModel:
         return f"{self.config.model_type}_{self.config.algorithm}"
 
     def encode(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise ValueError("Model must be trained before making predictions")
         return self.preprocessor.transform(df)
 
     def apply(self, encoded: DataFrame) -> DataFrame:
@@ -213,6 +220,12 @@ class TrainedModel:
             }
         ).drop("prediction")
 
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``class_probabilities`` added; classification only."""
+        if self.config.model_type != "classification":
+            raise ValueError("predict_proba is only available for classification models")
+        return self.predict(df)
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with the prediction (and ``class_probabilities``) added."""
         out = self.apply(self.encode(df))

@@ -26,6 +26,7 @@ from dayprint.plans import baseline
 from dayprint.schema import ACTIVITY_SCHEMA, SAMPLE_SCHEMA
 from dayprint.sources import files
 from dayprint.sources.activity import EVENTS_SCHEMA, activity, activity_raw, from_events
+from dayprint.sources.samples import sample_suggestions
 from dayprint.sources.workdir import materialise, new_folder
 from dayprint.streaming.score_stream import read_stream, score_stream
 
@@ -173,14 +174,15 @@ def golden_samples(spark, folder):
         "record_id", F.struct(*FEATURES).alias("input"), output.alias("output")
     ).write.json(path)
     schema = T.StructType([T.StructField("record_id", T.LongType()), *SAMPLE_SCHEMA.fields])
-    samples = spark.read.schema(schema).json(path)
-    return samples.select(
-        "record_id",
-        "input.transport_mode",
-        r6(f"output.{FOOTPRINT}").alias(FOOTPRINT),
-        r6(F.col("output.probabilities")["High"]).alias("p_high"),
-        F.posexplode("output.suggestions").alias("position", "suggestion"),
-    ).select("*", "suggestion.category", "suggestion.action").drop("suggestion")
+    stored = spark.read.schema(schema).json(path).withColumns(
+        {
+            "transport_mode": F.col("input.transport_mode"),
+            FOOTPRINT: r6(f"output.{FOOTPRINT}"),
+            "p_high": r6(F.expr("output.probabilities['High']")),
+        }
+    )
+    keep = ("record_id", "transport_mode", FOOTPRINT, "p_high")
+    return sample_suggestions(stored, *keep).select(*keep, "position", "category", "action")
 
 
 @query
@@ -496,7 +498,7 @@ _regressor("robust_regressor", "svr")
 _classifier("rf_classifier", "random_forest", SMALL_TREES)
 _classifier("gbt_classifier", "xgboost", {"n_estimators": 3, "max_depth": 3})
 _classifier("logistic_regression", "logistic_regression")
-_classifier("linear_svc", "svc")
+_classifier("linear_svc", "svc", {"max_iter": 10})
 
 
 @query
@@ -535,9 +537,10 @@ def model_catalog(spark, folder):
         "hyperparameters": {"n_estimators": 2, "max_depth": 3, "num_leaves": 8},
         "use_cross_validation": False,
     }
+    encoder = stages.create_preprocessor(engineer=True).fit(train)
     scores = []
     for name in training.default_configs():
-        fitted = training.train(training.create_config(name, small), train)
+        fitted = training.train(training.create_config(name, small), train, None, encoder)
         metric = "train_r2" if fitted.config.model_type == "regression" else "train_accuracy"
         scores.append((name, metric, fitted.metrics[metric]))
     frame = spark.createDataFrame(scores, "name string, metric string, score double")
@@ -829,6 +832,26 @@ def vote_soft(spark, folder):
     )
 
 
+@query
+def ensemble_predict(spark, folder):
+    rows = baseline.split_activity(activity(spark, folder))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    encoder = stages.create_preprocessor().fit(train)
+    members = [
+        training.train(
+            training.ModelConfig("regression", algorithm, params), train, test, encoder
+        )
+        for algorithm, params in (("linear_regression", {}), ("random_forest", SMALL_TREES))
+    ]
+    mean = ensemble.ModelEnsemble(members).predict(test)
+    weighted = ensemble.ModelEnsemble(members, "weighted").predict(
+        mean.withColumnRenamed(f"{FOOTPRINT}_predicted", "mean_vote")
+    )
+    return rounded(
+        weighted.selectExpr("record_id", "mean_vote", f"{FOOTPRINT}_predicted as weighted_vote")
+    )
+
+
 @query
 def make_prediction(spark, folder):
     rows = activity(spark, folder)

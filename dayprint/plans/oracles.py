@@ -236,7 +236,7 @@ CTES["service_top"] = CTES["core_top"].replace("core_ranked", "service_ranked")
 
 
 def fixed(x: str, places: int) -> str:
-    return f"cast(cast(round({x},{places}) as decimal(20,{places})) as varchar)"
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38,18)), {places})::decimal(20,{places}) as varchar)"
 
 
 CTES["folded"] = """
