@@ -8,9 +8,8 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 from dayprint.plans.catalogue import QUERIES
+from dayprint.session import build_session
 
 HEADLINE = [
     "read_activity",
@@ -47,17 +46,15 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("dayprint-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        # Records the Python line of every column call; costs driver time.
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
+    spark = build_session(
+        "dayprint-bench",
+        f"local[{cpus}]",
+        {
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "8g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

@@ -5,11 +5,12 @@ that equal shares keep that order when they are ranked. ``as_map`` turns it
 into the published ``map<string,double>``.
 """
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dayprint.constants import (
     DAY_WEIGHTS,
     FACTOR_DESCRIPTIONS,
+    FEATURES,
     FOOD_WEIGHTS,
     TRANSPORT_WEIGHTS,
 )
@@ -46,12 +47,29 @@ def raw_contributions() -> dict[str, str]:
     }
 
 
-def contributions() -> Column:
-    """Contributions scaled to a typical footprint and rounded to 3 places."""
-    raw = raw_contributions()
-    total = " + ".join(["0.0D", *[f"abs({v})" for v in raw.values()]])
-    scale = f"(case when {total} > 0 then {double(TYPICAL_FOOTPRINT)} / ({total}) else 1.0D end)"
-    return F.expr(_entries({k: f"round({v} * {scale}, 3)" for k, v in raw.items()}))
+CORE_FACTORS = list(raw_contributions())
+SERVICE_FACTORS = FEATURES
+
+
+def with_contributions(df: DataFrame, name: str = "contributions") -> DataFrame:
+    """Add contributions scaled to a typical footprint, rounded to 3 places.
+
+    The parts and their scale are columns of their own steps, so that each is
+    computed once per row and the generated code stays small.
+    """
+    raw = list(raw_contributions().values())
+    total = " + ".join(["0.0D", *[f"abs(raw_parts[{i}])" for i in range(len(raw))]])
+    scaled = {k: f"round(raw_parts[{i}] * parts_scale, 3)" for i, k in enumerate(CORE_FACTORS)}
+    return (
+        df.withColumn("raw_parts", F.expr(f"array({', '.join(raw)})"))
+        .withColumn("parts_total", F.expr(total))
+        .withColumn(
+            "parts_scale",
+            F.expr(f"if(parts_total > 0, {double(TYPICAL_FOOTPRINT)} / parts_total, 1.0D)"),
+        )
+        .withColumn(name, F.expr(_entries(scaled)))
+        .drop("raw_parts", "parts_total", "parts_scale")
+    )
 
 
 def service_contributions() -> Column:
@@ -77,27 +95,37 @@ def as_map(entries: Column) -> Column:
     return F.map_from_entries(entries)
 
 
-def ranked_shares(entries: str, places: int | None = 1) -> Column:
-    """Shares of the absolute total in percent, largest first.
-
-    ``entries`` is the name of a contribution column. Gives
-    ``array<struct<factor, percentage>>``, empty when every contribution is zero.
-    ``places=None`` keeps the shares unrounded. Ranking is an array sort inside
-    the row, so it needs no shuffle.
+def with_ranked_shares(
+    df: DataFrame,
+    entries: str = "contributions",
+    factors: list[str] = CORE_FACTORS,
+    places: int | None = 1,
+    name: str = "shares",
+) -> DataFrame:
+    """Add the shares of the absolute total in percent, largest first.
+
+    ``entries`` names a contribution column with these ``factors``. The result
+    is ``array<struct<percentage, order, factor>>``, empty when every
+    contribution is zero; ``order`` keeps equal shares in feature order.
+    ``places=None`` keeps the shares unrounded. Ranking sorts a short array
+    inside the row, in generated code and without a shuffle.
     """
-    total = f"aggregate({entries}, 0.0D, (acc, e) -> acc + abs(e.value))"
-    share = "try_divide(abs(e.value), t.total) * 100"
-    if places is not None:
-        share = f"round({share}, {places})"
-    ranked = f"""transform(
-        array_sort(transform({entries}, (e, i) -> named_struct(
-            'sort_key', -({share}), 'position', i, 'factor', e.feature))),
-        s -> named_struct('factor', s.factor, 'percentage', -s.sort_key))"""
-    # The total is computed once per row and handed to the inner lambdas.
-    return F.expr(
-        f"""transform(array(named_struct('total', {total})), t ->
-            case when t.total > 0 then {ranked} else slice({ranked}, 1, 0) end)[0]"""
+    sizes = [f"abs({entries}[{i}].value)" for i in range(len(factors))]
+
+    total = " + ".join(["0.0D", *sizes])
+
+    def share(size: str) -> str:
+        pct = f"try_divide({size}, {total}) * 100"
+        return pct if places is None else f"round({pct}, {places})"
+
+    structs = ", ".join(
+        f"named_struct('percentage', {share(size)}, 'order', {-i}, 'factor', {quoted(factor)})"
+        for i, (size, factor) in enumerate(zip(sizes, factors))
     )
+    # A total of zero leaves nothing to share out.
+    ranked = f"""slice(sort_array(array({structs}), false), 1,
+        if({total} > 0, {len(factors)}, 0))"""
+    return df.withColumn(name, F.expr(ranked))
 
 
 def top_factors(shares: str, k: int = 3) -> Column:

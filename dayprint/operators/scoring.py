@@ -11,7 +11,11 @@ from dayprint.functions.confidence import (
     overall_confidence,
     regression_confidence,
 )
-from dayprint.functions.contributions import as_map, contributions, service_contributions
+from dayprint.functions.contributions import (
+    as_map,
+    service_contributions,
+    with_contributions,
+)
 from dayprint.functions.plausibility import plausibility
 from dayprint.functions.suggestions import suggestions
 from dayprint.functions.validation import first_error, validation_errors
@@ -70,16 +74,16 @@ def decorate(
         confidence = overall_confidence(
             F.col("regression_confidence"), F.col("classification_confidence")
         )
-        parts = contributions()
+        scored = with_contributions(scored, "feature_contributions")
     else:
         confidence = F.col("classification_confidence")
-        parts = service_contributions()
+        scored = scored.withColumn("feature_contributions", service_contributions())
     return scored.withColumns(
         {
             "confidence": confidence,
             "probabilities": probability_map(probs, level),
             "suggestions": suggestions(LEVEL, variant),
-            "feature_contributions": as_map(parts),
+            "feature_contributions": as_map(F.col("feature_contributions")),
             "timestamp": F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
             "input_summary": input_summary(),
         }

@@ -916,36 +916,39 @@ def suggestions_service(spark, folder):
     )
 
 
-@query
-def contributions(spark, folder):
-    return activity(spark, folder).select("record_id", F.inline(contrib.contributions()))
-
-
-@query
-def contributions_service(spark, folder):
-    return rounded(
-        activity(spark, folder).select("record_id", F.inline(contrib.service_contributions()))
-    )
-
-
 def _with_shares(spark, folder, variant: str = "core") -> DataFrame:
-    """Records with their ranked contribution shares."""
+    """Records with their contributions and ranked shares."""
     rows = activity(spark, folder)
     if variant == "core":
-        parts, places = contrib.contributions(), 1
-    else:
-        parts, places = contrib.service_contributions(), None
-    return rows.withColumn("parts", parts).withColumn(
-        "shares", contrib.ranked_shares("parts", places)
-    )
+        return contrib.with_ranked_shares(contrib.with_contributions(rows))
+    parts = rows.withColumn("contributions", contrib.service_contributions())
+    return contrib.with_ranked_shares(parts, factors=contrib.SERVICE_FACTORS, places=None)
 
 
 def _exploded(df: DataFrame, shares: Column, *extra: str) -> DataFrame:
-    return df.select("record_id", F.posexplode(shares).alias("position", "s")).selectExpr(
-        "record_id", "position", "s.factor", "round(s.percentage, 6) as percentage", *extra
+    # A plain explode would first filter on the size of the array, and so
+    # compute it twice.
+    return (
+        df.select("record_id", F.posexplode_outer(shares).alias("position", "s"))
+        .where("position is not null")
+        .selectExpr(
+            "record_id", "position", "s.factor", "round(s.percentage, 6) as percentage", *extra
+        )
     )
 
 
+@query
+def contributions(spark, folder):
+    rows = contrib.with_contributions(activity(spark, folder))
+    return rows.selectExpr("record_id", "inline_outer(contributions)")
+
+
+@query
+def contributions_service(spark, folder):
+    rows = activity(spark, folder).withColumn("parts", contrib.service_contributions())
+    return rounded(rows.selectExpr("record_id", "inline_outer(parts)"))
+
+
 @query
 def contribution_pct(spark, folder):
     return _exploded(_with_shares(spark, folder), F.col("shares"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dayprint.constants import FOOTPRINT, LEVEL
 from dayprint.functions.contributions import (
-    contributions,
+    SERVICE_FACTORS,
     key_factors,
-    ranked_shares,
     service_contributions,
     top_factors,
+    with_contributions,
+    with_ranked_shares,
 )
 from dayprint.functions.explanations import explanation, service_explanation
 from dayprint.functions.validation import coerce_numeric, validation_errors
@@ -82,12 +83,10 @@ class Predictor:
     def explain(self, df: DataFrame, variant: str = "core") -> DataFrame:
         """Scored rows with ranked shares, main factors and an explanation."""
         if variant == "core":
-            scored, parts, places = self.score(df), contributions(), 1
+            ranked = with_ranked_shares(with_contributions(self.score(df)))
         else:
-            scored, parts, places = self.serve(df), service_contributions(), None
-        ranked = scored.withColumn("parts", parts).withColumn(
-            "shares", ranked_shares("parts", places)
-        )
+            parts = self.serve(df).withColumn("contributions", service_contributions())
+            ranked = with_ranked_shares(parts, factors=SERVICE_FACTORS, places=None)
         if variant == "core":
             factors = top_factors("shares")
             text = explanation(FOOTPRINT, LEVEL, "shares")
@@ -103,7 +102,7 @@ class Predictor:
                 "explanation": F.when(ok, text),
                 "percentage_contributions": F.when(ok, published),
             }
-        ).drop("parts", "shares")
+        ).drop("contributions", "shares")
 
     def score_csv(self, spark: SparkSession, path: str, output: str | None = None) -> DataFrame:
         """Score a csv file with a header; optionally store the result as csv."""

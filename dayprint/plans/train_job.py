@@ -12,6 +12,7 @@ from dayprint.operators import model_store
 from dayprint.operators.profile import stat_rows
 from dayprint.operators.splits import hash_split, stratified_split
 from dayprint.operators.training import TRAIN_ALL, TrainedModel, evaluate_all, train_all
+from dayprint.session import build_session
 from dayprint.sources.files import read_activity
 
 
@@ -82,7 +83,7 @@ def main() -> None:
     parser.add_argument("--test-size", type=float, default=0.2)
     parser.add_argument("--split", choices=("exact", "hash"), default="exact")
     args = parser.parse_args()
-    spark = SparkSession.builder.appName("dayprint-train").getOrCreate()
+    spark = build_session("dayprint-train")
     rows = read_activity(spark, args.data, args.format)
     # Rows have no key of their own, so the whole record identifies them.
     keyed = rows.withColumn("row_key", F.sha2(F.to_json(F.struct("*")), 256))

@@ -19,7 +19,7 @@ def suggested(df, level, variant="core"):
 
 
 def test_contributions_of_the_sample(records, sample):
-    row = records(sample).select(F.expr("0").alias("x"), contrib.contributions().alias("c")).first()
+    row = contrib.with_contributions(records(sample), "c").first()
     scale = 8 / 5.145
     parts = {"transport": 1.55, "energy": 1.845, "food": 0.5, "waste": 0.3,
              "eco_actions": -0.3, "screen_time": 0.65}
@@ -36,7 +36,7 @@ def test_unknown_categories_and_empty_record(records, sample):
               df.select(contrib.service_contributions().alias("c")).first()["c"]}
     assert values["transport_mode"] == values["food_type"] == values["day_type"] == 0
     nothing = F.expr("array(named_struct('feature', 'a', 'value', 0.0D))").alias("p")
-    assert df.select(nothing).select(contrib.ranked_shares("p").alias("s")).first()["s"] == []
+    assert contrib.with_ranked_shares(df.select(nothing), "p", ["a"]).first()["shares"] == []
 
 
 def test_equal_shares_keep_feature_order(records, sample):
@@ -44,8 +44,9 @@ def test_equal_shares_keep_feature_order(records, sample):
         "array(named_struct('feature','a','value',1.0D), named_struct('feature','b','value',-3.0D),"
         "named_struct('feature','c','value',3.0D), named_struct('feature','d','value',1.0D))"
     )
-    row = records(sample).select(parts.alias("p")).select(contrib.ranked_shares("p").alias("s")).first()
-    assert [(s["factor"], s["percentage"]) for s in row["s"]] == [
+    frame = records(sample).select(parts.alias("p"))
+    row = contrib.with_ranked_shares(frame, "p", ["a", "b", "c", "d"]).first()
+    assert [(s["factor"], s["percentage"]) for s in row["shares"]] == [
         ("b", 37.5), ("c", 37.5), ("a", 12.5), ("d", 12.5),
     ]
 
@@ -84,8 +85,9 @@ def test_regression_confidence(spark):
 
 def test_explanations(records, sample):
     df = records({**sample, "food_type": "Non-Veg", "eco_actions": 1}).withColumns(
-        {"y": F.lit(11.04), "lv": F.lit("High"), "p": contrib.contributions()}
-    ).withColumn("s", contrib.ranked_shares("p"))
+        {"y": F.lit(11.04), "lv": F.lit("High")}
+    )
+    df = contrib.with_ranked_shares(contrib.with_contributions(df), name="s")
     lines = df.select(explanation("y", "lv", "s")).first()[0].split("\n")
     assert lines[0] == (
         "Your daily carbon footprint is estimated at 11.0 kg CO₂, which is classified as "
