@@ -74,9 +74,8 @@ def _pair_correlation(x: str, y: str) -> str:
 
     Null for a constant column.
     """
-    both = f"{x} is not null and {y} is not null"
-    a, b = (f"case when {both} then double({c}) end" for c in (x, y))
-    return f"try_divide(covar_pop({a}, {b}), sqrt(var_pop({a}) * var_pop({b})))"
+    pair = f"double({x}), double({y})"
+    return f"try_divide(regr_sxy({pair}), sqrt(regr_sxx({pair}) * regr_syy({pair})))"
 
 
 def footprint_correlations(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:

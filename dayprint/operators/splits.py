@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from dayprint.constants import LEVEL, LEVELS
 from dayprint.functions.text import text_list
 from dayprint.operators.order_statistics import order_statistics, rank_targets
+from dayprint.sources.workdir import materialise
 
 SEED = 42
 # 13 hexadecimal digits fill 52 bits, which a double holds exactly.
@@ -38,13 +39,16 @@ def stratified_split(
     strata: list[str] = LEVELS,
     test_size: float = 0.2,
     seed: int = SEED,
+    store_limits: bool = False,
 ) -> DataFrame:
     """Exact split: in every stratum ``round(n * test_size)`` rows are test rows.
 
     The test rows are those with the smallest key hashes. Only the hash of the
     last test row of each stratum is searched for, by counting, and then every
     row is compared with it; the records themselves are not shuffled. ``key``
-    must be unique. Rows outside ``strata`` go to train.
+    must be unique. Rows outside ``strata`` go to train. ``store_limits``
+    searches now and stores the hashes found, one row per stratum, so that
+    reading the split again and again does not search again.
     """
     digest = key_hash(key, seed)
     hashed = df.selectExpr(
@@ -68,6 +72,8 @@ def stratified_split(
     cutoff = below.selectExpr(
         f"{stratum} as cut_stratum", "tied[int(rank - below)] as cutoff"
     )
+    if store_limits:
+        cutoff = materialise(cutoff, "split-limits")
     # One row per stratum of a closed domain.
     joined = df.join(F.broadcast(cutoff), F.expr(f"{stratum} = cut_stratum"), "left")
     is_test = f"coalesce(struct({digest} as digest, {key} as key) <= cutoff, false)"

@@ -55,7 +55,7 @@ def run(
     ``key`` identifies a row and decides its side of the split.
     """
     if exact_split:
-        rows = stratified_split(df, key, test_size=test_size)
+        rows = stratified_split(df, key, test_size=test_size, store_limits=True)
     else:
         rows = hash_split(df, key, test_size)
     train = rows.where("split = 'train'")

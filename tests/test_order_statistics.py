@@ -72,6 +72,8 @@ def test_stratified_split_is_exact_and_stable(labelled):
     assert ("Low", "test") not in counts and counts[("Low", "train")] == 1
     again = stratified_split(labelled.repartition(3), "id")
     assert split.exceptAll(again).count() == 0
+    stored = stratified_split(labelled, "id", store_limits=True)
+    assert split.exceptAll(stored).count() == 0
     other = stratified_split(labelled, "id", seed=7)
     assert split.exceptAll(other).count() > 0
 
