@@ -11,6 +11,7 @@ from dayprint.constants import DOMAINS, FOOTPRINT, LEVEL, LEVELS
 from dayprint.functions.features import impact_level
 from dayprint.functions.text import text_list
 from dayprint.operators.splits import hash_split
+from dayprint.sources.workdir import materialise
 
 SEGMENT = ["transport_mode", "food_type"]
 
@@ -44,12 +45,19 @@ def with_segments(df: DataFrame, train: DataFrame, keys: list[str] = SEGMENT) ->
     return df.join(F.broadcast(segment_model(train, keys)), keys, "left")
 
 
-def segment_scorer(train: DataFrame):
-    """Scorer for ``score_batch`` from the segment model."""
+def segment_scorer(train: DataFrame, store: bool = False):
+    """Scorer for ``score_batch`` from the segment model.
+
+    With ``store`` the few rows of the model are written first, so that a
+    stream does not learn them again in every micro-batch.
+    """
+    model = segment_model(train)
+    if store:
+        model = materialise(model, "segments")
 
     def score(df: DataFrame) -> DataFrame:
         return (
-            with_segments(df, train)
+            df.join(F.broadcast(model), SEGMENT, "left")
             .withColumn(FOOTPRINT, F.col("segment_mean"))
             .withColumn(LEVEL, impact_level(FOOTPRINT))
             .withColumn("class_probabilities", F.array("p_low", "p_medium", "p_high"))

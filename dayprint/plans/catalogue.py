@@ -875,7 +875,7 @@ def make_prediction(spark, folder):
 @query
 def stream_score(spark, folder):
     train = train_rows(spark, folder)
-    scorer = baseline.segment_scorer(train)
+    scorer = baseline.segment_scorer(train, store=True)
     stats = train.agg(
         F.avg(FOOTPRINT).alias("mean"),
         F.stddev_samp(FOOTPRINT).alias("std"),
