@@ -7,9 +7,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only when unset."""
+    """The cluster's shared checkpoint folder.
+
+    Only a local master may leave it unset (tests, trials); on a cluster a local folder would differ on every machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="dayprint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
