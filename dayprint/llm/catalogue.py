@@ -33,8 +33,51 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.secret_scan import listed, scanned
+
+    found = scanned(table(spark, folder, "documents"), keep=["doc_id"])
+
+    def n(kind: int):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.quality_cascade import estimates, measured, ordered, rejected_by, rules
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # The order is learnt over the texts; the counts that the result needs are made once and used by the rules.
+    order = [r.name for r in ordered(estimates(docs, rules(), sample_rows=2000))]
+    cascade = sorted(rules(from_text=False), key=lambda r: order.index(r.name))
+    judged = measured(docs).withColumn("rejected_by", rejected_by(cascade))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
+    "op5_quality": op5_quality,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _oracles() -> dict[str, str]:
+    from dayprint.llm.quality_cascade import VERDICTS_SQL
+
+    return {
+        "op5_quality": VERDICTS_SQL
+        + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+             not base_failed and not method_failed as kept from v""",
+    }
+
+
+ORACLES = _oracles()
