@@ -47,6 +47,12 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.minhash_join import similar
+
+    return similar(table(spark, folder, "documents"), threshold=0.8, width=5)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     from dayprint.llm.quality_cascade import estimates, measured, ordered, rejected_by, rules
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
 }
 

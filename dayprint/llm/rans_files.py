@@ -45,8 +45,10 @@ def _tokenised(path: str, end: int):
 def _counted(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column("ids").to_pylist():
-            n = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+        _, offsets, values = batch.column("ids").buffers()
+        place = np.frombuffer(offsets, np.int32)[batch.column("ids").offset :][: batch.num_rows + 1]
+        if batch.num_rows:
+            n = np.bincount(np.frombuffer(values, "<u4", (place[-1] - place[0]) // 4, place[0]), minlength=len(total))
             n[: len(total)] += total
             total = n
     tokens = np.flatnonzero(total)

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words or pieces that a worker remembers; when full, the older half is forgotten (about 100 MB).
-CACHE_WORDS = 400_000
+#: Words or pieces that a worker remembers; when full, the older half is forgotten (about 100 MB each).
+CACHE_WORDS = 500_000
 #: Text bytes handled at once.
 CHUNK_BYTES = 8 << 20
 
@@ -27,6 +27,22 @@ PROBE = "It's  1st, they'RE Étude é ẖ H̱ x\u0085y a b <|endoftext|> café
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def _pieces(word: bytes) -> tuple[bytes, ...] | list[bytes] | None:
+    """The word's parts that the tokenizer codes apart, or None where only the library can tell."""
+    if word.isalpha():
+        return (word.lower(),)
+    core = word.rstrip(b",.;:!?")
+    if core.isalpha():
+        return core.lower(), word[len(core) :]
+    if word.isascii():
+        # Special tokens are found in the raw text, so words that may hold one go to the library whole.
+        return PIECES.findall(word.lower()) if b"<|" not in word else None
+    # Letters of any script stay one piece when normalised.
+    if core.decode().isalpha():
+        return (core, word[len(core) :]) if len(core) < len(word) else (core,)
+    return None
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
@@ -74,13 +90,11 @@ class WordTokenizer:
         return values
 
     def _new_words(self, words: list[bytes]) -> list[bytes]:
-        # Special tokens are found in the raw text, so words that may hold one go to the library whole.
-        cut = [PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else None for w in words]
+        cut = list(map(_pieces, words))
         pieces = list({p for x in cut if x for p in x})
         known = dict(zip(pieces, self._cached(self.pieces, pieces, self._piece_ids)))
-        whole = [w for w, x in zip(words, cut) if x is None]
-        coded = iter(self._library_ids(whole))
-        return [next(coded) if x is None else b"".join(map(known.__getitem__, x)) for x in cut]
+        coded = iter(self._library_ids([w for w, x in zip(words, cut) if x is None]))
+        return [next(coded) if x is None else known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
@@ -114,13 +128,13 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most about CHUNK_BYTES of text each, one row at least."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about `most` bytes of text each, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, before + CHUNK_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 
