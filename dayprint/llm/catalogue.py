@@ -68,12 +68,20 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.debruijn_dedup import without_repeats
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
+    "op8_repeated_spans": op8_repeated_spans,
 }
 
 
