@@ -75,6 +75,13 @@ def op8_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.multi_index import near_vectors
+
+    found = near_vectors(table(spark, folder, "embeddings"), threshold=0.95)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -82,6 +89,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
     "op8_repeated_spans": op8_repeated_spans,
+    "op9_near_vectors": op9_near_vectors,
 }
 
 
