@@ -82,6 +82,13 @@ def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.latent_votes import scored
+
+    found = scored(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality")
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -90,6 +97,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op8_repeated_spans": op8_repeated_spans,
     "op9_near_vectors": op9_near_vectors,
+    "op10_quality_votes": op10_quality_votes,
 }
 
 
