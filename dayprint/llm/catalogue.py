@@ -68,6 +68,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_class_model(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.class_ngrams import scored
+
+    return scored(table(spark, folder, "documents"), folds=7, fold=2)
+
+
 def op8_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     from dayprint.llm.debruijn_dedup import without_repeats
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
+    "op6_class_model": op6_class_model,
     "op8_repeated_spans": op8_repeated_spans,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality_votes": op10_quality_votes,
