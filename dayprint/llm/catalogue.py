@@ -74,6 +74,14 @@ def op6_class_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), folds=7, fold=2)
 
 
+def op7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.fair_mix import NO_SOURCE, schedule
+
+    turns = schedule(table(spark, folder, "documents"))
+    source = F.when(F.col("lane") != NO_SOURCE, F.col("lane")).alias("source")
+    return turns.select("doc_id", source, "block", "slot", "release", "deadline", "place")
+
+
 def op8_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     from dayprint.llm.debruijn_dedup import without_repeats
 
@@ -102,6 +110,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality": op5_quality,
     "op6_class_model": op6_class_model,
+    "op7_mixture": op7_mixture,
     "op8_repeated_spans": op8_repeated_spans,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality_votes": op10_quality_votes,

@@ -220,12 +220,13 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     Rows are linked if the sets of their `width`-word n-grams have a Jaccard similarity of at least `threshold`; pairs
     below it never are, and those at it are found with probability `recall` or more. Words end at white space, case and
     signs count. Texts without words (null, empty) link with nothing; shorter texts count as one n-gram. Rows with the
-    same words are linked whatever their doc_id; further columns are ignored; an empty table gives an empty result.
+    same words are linked; different texts under one doc_id share its class; a null doc_id links with nothing; further
+    columns are ignored; an empty table gives an empty result.
     """
     bands, rows = bands_for(threshold, recall)
     schema = "doc_id long, digest long, digest2 long, n_grams long, bands array<long>"
     signs = stored(docs.select("doc_id", "text").mapInArrow(_signatures(width, bands, rows), schema), "signatures")
-    full = signs.where("n_grams > 0")
+    full = signs.where("n_grams > 0 and doc_id is not null")
     classes = stored(
         full.groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
         "classes",
@@ -254,13 +255,18 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     named = named.join(joined, F.col("rep") == F.col("node"), "left").select(
         "digest", "digest2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    alone = signs.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = signs.where("n_grams = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.select("doc_id", "digest", "digest2").join(named, ["digest", "digest2"]).select("doc_id", "class_id", "n_links").union(alone)
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """The documents whose doc_id is the least of their class, with their own columns; of repeated rows one stays."""
-    groups = similar(docs, **settings)
-    # A row's doc_id alone does not tell repeated rows apart, so one row of each doc_id is taken where classes demand it.
-    first = groups.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """The documents whose doc_id is the least of their class, with their own columns.
+
+    Of repeated rows one stays; documents without words and rows with a null doc_id stay.
+    """
+    first = similar(docs, **settings).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = stored(first, "kept")
+    kept = docs.join(sized(first.select("doc_id"), 16), "doc_id", "left_semi")
+    if first.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
