@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dayprint.llm import best_fit, fair_mix, minhash_join, quality_cascade, secret_scan
 from dayprint.llm.catalogue import vocabulary
@@ -22,9 +21,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
-    found = secret_scan.scanned(docs)
-    masked = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
-    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secret_scan.masked(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

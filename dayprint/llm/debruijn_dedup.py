@@ -141,10 +141,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """`spans` (doc_key, text_key, at, n) as an array on each document; small tables are broadcast, after measuring them."""
+    """`spans` (doc_key, text_key, at, n) as an array on each document, by a shuffle of both: spans grow with the corpus."""
     lists = stored(spans.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
-    size = lists.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
-    return _keyed(docs).join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc_key", "text_key"], how)
+    return _keyed(docs).join(lists.hint("shuffle_merge"), ["doc_key", "text_key"], how)
 
 
 def paths(occurrences: DataFrame) -> DataFrame:

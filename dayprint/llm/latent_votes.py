@@ -1,8 +1,9 @@
 """Quality scores by nearest-neighbour votes in a latent-semantic space.
 
-Terms are hashed byte trigrams, and levels of four shares of the text (distinct words, signs, capitals, length). Weights are log(1 + n) times the inverse document frequency over all documents. The latent directions are the
-leading singular vectors of the labelled sample's term matrix; its documents' unit vectors are broadcast with their
-labels (at most FIT_ROWS times DIMENSIONS numbers). Every document is compared with all of them by blocked matrix
+Terms are hashed byte trigrams, which weigh log(1 + n) times their inverse document frequency over all documents, and
+levels of four shares of the text (distinct words, signs, capitals, length) of fixed weight. The latent directions are
+the leading singular vectors of the labelled sample's term matrix; its documents' unit vectors are broadcast with
+their labels (at most FIT_ROWS times DIMENSIONS numbers). Every document is compared with all of them by blocked matrix
 products, and its NEIGHBOURS nearest ones vote, weighted by their cosine.
 """
 
@@ -165,6 +166,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
     counts = texts.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.set_index("term")["n"].reindex(range(TERMS + 1), fill_value=0).to_numpy()
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
+    idf[BUCKETS:] = 1.0
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     total = known.count()

@@ -31,7 +31,10 @@ def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, in
     """(bands, rows): the most selective banding with at most `most` hashes that finds pairs at the threshold with this recall."""
     best = None
     for rows in range(1, most + 1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
+        missed = math.log1p(-(threshold**rows)) if threshold < 1 else -math.inf
+        if not missed or -math.log(1 - recall) > -missed * most:
+            break
+        bands = max(1, math.ceil(math.log(1 - recall) / missed))
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:

@@ -70,7 +70,7 @@ class Grid:
         rows = np.arange(len(u))
         far = d1[rows, cell // k] + d2[rows, cell % k]
         d2 = np.sort(d2, 1)
-        return np.array([np.searchsorted(d2[r], far[r] - d1[r], "left").sum() + 1 for r in rows])
+        return np.array([np.searchsorted(d2[r], far[r] - d1[r] - 1e-9, "left").sum() + 1 for r in rows])
 
 
 def unit(vectors) -> np.ndarray:

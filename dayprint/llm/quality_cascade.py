@@ -150,8 +150,8 @@ def judged(docs: DataFrame, cascade: Sequence[Rule], sample_rows: int = 2000) ->
 
 
 def kept(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    return judged(docs, rules(), sample_rows).where(F.col("rejected_by").isNull()).select(*docs.columns)
+    """The documents that no rule rejects, with their own columns whatever their names."""
+    return docs.where(rejected_by(ordered(estimates(docs, rules(), sample_rows))).isNull())
 
 
 #: The same verdicts in DuckDB.

@@ -208,3 +208,14 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     done = F.aggregate(spans, start, step)
     rest = let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(rest)
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """The documents with their own columns whatever their names, secrets in `text` replaced and n_chars, if there, made to follow."""
+    found = scanned(docs.select("text", F.struct(*docs.columns).alias("row")), keep=["row"])
+    text = redacted(F.col("row.text"), F.col("spans"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(text).cast(kind)).otherwise(F.col("row.n_chars"))
+    return found.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
