@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 #: Text bytes handled at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, BASE, np.uint64)
     up[0] = 1
@@ -23,7 +23,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(n, CHUNK_BYTES).bit_length())
+    return _powers(1 << max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1)).bit_length())
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

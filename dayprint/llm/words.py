@@ -2,7 +2,7 @@
 
 For tokenizers that drop white space and lower-case words (BPE with word ends): no token spans white space and
 Unicode normalisation never acts across it, so the ids of a text are those of its words in order. Each distinct word
-goes through the tokenizers library once per worker; `probe` checks at loading that both ways agree.
+goes through the tokenizers library about once per worker, cut where the tokenizer cuts; `probe` checks at loading that both ways agree.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words or pieces that a worker remembers; when full, the older half is forgotten (about 100 MB each).
-CACHE_WORDS = 500_000
+#: Pieces of words that a worker remembers; when full, the older half is forgotten (about 0.2 KB each).
+CACHE_PIECES = 480_000
 #: Text bytes handled at once.
 CHUNK_BYTES = 8 << 20
 
@@ -51,8 +51,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.ends_word = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: list[dict[bytes, bytes]] = [{}, {}]
-        self.pieces: list[dict[bytes, bytes]] = [{}, {}]
+        self.known: list[dict[bytes, bytes]] = [{}, {}]
         want = self.library.encode(PROBE, add_special_tokens=False).ids
         got, _ = self.encode(pa.array([PROBE]))
         if got.tolist() != want:
@@ -71,38 +70,45 @@ class WordTokenizer:
         raw, ends = ids.tobytes(), ends.tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
-    @staticmethod
-    def _cached(cache: list[dict], keys: list[bytes], make) -> list[bytes]:
-        values = list(map(cache[0].get, keys))
+    def _remembered(self, keys: list[bytes], make) -> list[bytes]:
+        young, old = self.known
+        values = list(map(young.get, keys))
         missing = [i for i, v in enumerate(values) if v is None]
         if missing:
             new = {}
             for i in missing:
-                v = values[i] = cache[1].get(keys[i])
+                v = values[i] = old.get(keys[i])
                 if v is not None:
                     new[keys[i]] = v
             missing = [i for i in missing if values[i] is None]
             for i, v in zip(missing, make([keys[i] for i in missing]) if missing else ()):
                 values[i] = new[keys[i]] = v
-            cache[0].update(new)
-            if len(cache[0]) > CACHE_WORDS // 2:
-                cache[1], cache[0] = cache[0], {}
+            young.update(new)
+            if len(young) > CACHE_PIECES // 2:
+                self.known = [{}, young]
         return values
 
-    def _new_words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         cut = list(map(_pieces, words))
         pieces = list({p for x in cut if x for p in x})
-        known = dict(zip(pieces, self._cached(self.pieces, pieces, self._piece_ids)))
-        coded = iter(self._library_ids([w for w, x in zip(words, cut) if x is None]))
-        return [next(coded) if x is None else known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
+        ids = dict(zip(pieces, self._remembered(pieces, self._piece_ids)))
+        whole = iter(self._remembered([w for w, x in zip(words, cut) if x is None], self._library_ids))
+        return [next(whole) if x is None else ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
+        gc.disable()  # many small byte strings and no cycles: collections only cost time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.cast(pa.binary()).to_pylist()
-        ids = self._cached(self.words, names, self._new_words)
+        ids = self._words(names)
         n_ids = np.array([len(x) >> 2 for x in ids], np.int64)
         starts = np.cumsum(n_ids) - n_ids
         pool = np.frombuffer(b"".join(ids), "<u4")
@@ -122,7 +128,6 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    gc.disable()  # millions of small byte strings and no cycles: collections only cost time
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
@@ -137,6 +142,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
