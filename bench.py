@@ -6,6 +6,7 @@ Reads $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS].
 import json
 import os
 import sys
+import tempfile
 import time
 
 from dayprint.plans.catalogue import QUERIES
@@ -52,6 +53,7 @@ def main() -> None:
         {
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="dayprint-bench-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -51,12 +51,18 @@ def input_summary() -> Column:
 
 
 def prediction_id(timestamp: Column, key: Column) -> Column:
-    """Stable id from the scoring time and a hash of the key."""
+    """Stable id from the scoring time and a hash of the key that any engine can compute."""
     return F.concat(
         F.lit("pred_"),
         F.date_format(timestamp, "yyyyMMdd_HHmmss"),
         F.lit("_"),
-        F.lpad(F.pmod(F.xxhash64(key), F.lit(10000)).cast("string"), 4, "0"),
+        F.lpad(
+            F.pmod(
+                F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("long"), F.lit(10000)
+            ).cast("string"),
+            4,
+            "0",
+        ),
     )
 
 

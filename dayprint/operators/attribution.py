@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dayprint.constants import FOOTPRINT
+from dayprint.constants import FEATURES, FOOTPRINT
 from dayprint.operators.stages import feature_names
 
 
@@ -151,10 +151,12 @@ def what_if(
     scorer: Callable[[DataFrame], DataFrame],
     plans: dict[str, Scenario] | None = None,
 ) -> DataFrame:
-    """Mean footprint before and after each scenario, over affected rows.
+    """Mean footprint of all rows under each scenario, and what it changes.
 
-    Each row is expanded into one copy per scenario plus the unchanged one, in
-    place, and scored; one aggregation then compares the copies.
+    ``mean_change`` is over all rows; ``affected_rows`` are those whose fields
+    the scenario changes. Each row is expanded into one copy per scenario plus
+    the unchanged one, in place, and scored; one aggregation then compares the
+    copies.
     """
     plans = scenarios() if plans is None else plans
     changed = sorted({c for overrides in plans.values() for c in overrides})
@@ -171,11 +173,18 @@ def what_if(
         return out.otherwise(F.col(column))
 
     # All overrides read the original values.
+    affected = F.lit(False)
+    for c in changed:
+        affected = affected | ~value(c).eqNullSafe(F.col(c))
     overridden = copies.select(
-        *[c for c in copies.columns if c not in changed], *[value(c).alias(c) for c in changed]
+        *[c for c in copies.columns if c not in changed],
+        *[value(c).alias(c) for c in changed],
+        affected.alias("is_affected"),
     )
     means = scorer(overridden).groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(FOOTPRINT).alias("mean_footprint")
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("is_affected").alias("affected_rows"),
+        F.avg(FOOTPRINT).alias("mean_footprint"),
     )
     baseline = (
         means.where(F.col("scenario") == "baseline").select("mean_footprint").scalar()
@@ -183,19 +192,57 @@ def what_if(
     return means.where(F.col("scenario") != "baseline").select(
         "scenario",
         "rows",
+        "affected_rows",
         "mean_footprint",
         (F.col("mean_footprint") - baseline).alias("mean_change"),
     )
 
 
-def explain_sample(spark: SparkSession, df: DataFrame, trained) -> DataFrame:
-    """Prediction, importances and field values of the given records.
+def record_attributions(encoded: DataFrame, trained, background: DataFrame) -> DataFrame:
+    """``encoded`` with ``attributions``: encoded feature name to its share of the prediction.
 
-    ``df`` holds the records to explain, usually one picked by its key.
-    Classification models add their probabilities. The ten largest importances
-    come as one map.
+    Exact for a linear model: coefficient times the distance to the background
+    mean; the shares of a record add up to its prediction minus the mean one.
     """
-    from dayprint.constants import FEATURES
+    from pyspark.ml.functions import vector_to_array
+
+    names = feature_names(trained.preprocessor)
+    weights = [float(v) for v in trained.model.coefficients]
+    values = vector_to_array("features")
+    means = background.select(values.alias("x")).agg(
+        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(names))])
+    ).scalar()
+    shares = [
+        F.lit(w) * (F.get("x", F.lit(i)) - F.get("mean_x", F.lit(i))) for i, w in enumerate(weights)
+    ]
+    return (
+        encoded.withColumns({"x": values, "mean_x": means})
+        .withColumn("attributions", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*shares)))
+        .drop("x", "mean_x")
+    )
+
+
+def explain_sample(
+    spark: SparkSession, df: DataFrame, trained, background: DataFrame | None = None
+) -> DataFrame:
+    """Prediction, attributions or importances, and field values of the given records.
+
+    ``df`` holds the records to explain, usually one picked by its key. Linear
+    models give each record its own attributions against ``background`` (by
+    default the records themselves); for tree models the ten largest importances
+    come as one map, and ``sampled_attribution`` gives shares per record.
+    Classification models add their probabilities.
+    """
+    if hasattr(trained.model, "coefficients"):
+        encoded = trained.encode(df)
+        mean = trained.encode(df if background is None else background)
+        explained = trained.apply(record_attributions(encoded, trained, mean))
+        return explained.select(
+            *df.columns,
+            f"{FOOTPRINT}_predicted",
+            F.col("attributions").alias("feature_contributions"),
+            F.to_json(F.struct(*FEATURES)).alias("feature_values"),
+        )
 
     top = importance_frame(spark, trained, 10).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "importance")))

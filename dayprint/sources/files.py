@@ -18,7 +18,7 @@ def read_activity(
 ) -> DataFrame:
     """Read activity records from csv (with header), json or parquet.
 
-    Unreadable cells become null. With ``keep_corrupt`` the text of a broken
+    Unreadable cells and NaN become null: both mean missing. With ``keep_corrupt`` the text of a broken
     csv or json line is kept in ``_corrupt_record``.
     """
     reader = spark.read.format(fmt)
@@ -28,14 +28,24 @@ def read_activity(
     if fmt == "csv":
         # A header that disagrees with the schema fails the read.
         reader = reader.option("header", True).option("enforceSchema", False)
-    return reader.schema(schema).option("mode", "PERMISSIVE").load(path)
+    return nan_as_null(reader.schema(schema).option("mode", "PERMISSIVE").load(path))
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN of all fractional columns as null."""
+    fractional = [f.name for f in df.schema if isinstance(f.dataType, T.FractionalType)]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fractional})
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read a csv file as text columns named by its header, whatever they are."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    require_columns(df)
-    return df
+    """Read csv files as text columns named by their header, whatever they are.
+
+    All files of a folder must have the same header; another order or another
+    name fails the read instead of mixing up columns.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    schema = reader.csv(path).schema
+    return require_columns(reader.schema(schema).option("enforceSchema", False).csv(path))
 
 
 def missing_columns(columns: list[str]) -> list[str]:

@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dayprint.sources.workdir import new_folder
 
 
 def read_stream(
@@ -29,21 +28,21 @@ def score_stream(
     records: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     output: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Score each record as it arrives and append it to a parquet table.
 
     Scoring keeps no state, so there is nothing to expire and late records
     need no watermark. The checkpoint and the sink's log make every record
-    appear once, also after a restart with the same ``checkpoint``.
+    appear once, also after a restart with the same ``checkpoint``, a folder
+    that outlives the job.
     """
-    spark = records.sparkSession
     writer = (
         score(records)
         .writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or new_folder(spark, "stream-checkpoint"))
+        .option("checkpointLocation", checkpoint)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -95,7 +95,7 @@ def test_service_and_explanations(spark, predictor):
     assert service["top_factors"][0]["description"]
     bad = predictor.validate_and_score(one.withColumn("distance_km", F.lit(150.0))).first()
     assert bad["error_messages"] == ["distance_km must be between 0 and 100"]
-    assert bad["explanation"] if "explanation" in bad else True
+    assert bad[FOOTPRINT] is None and bad[LEVEL] == "Error"
     with pytest.raises(ValueError, match="Model nonexistent not found"):
         predictor.score(one, "nonexistent")
 
@@ -319,3 +319,77 @@ def test_hot_inputs_are_scored_once(spark, sample, records):
     assert scored.where(f"{FOOTPRINT} != distance_km * 2").count() == 0
     stats = scoring.repeat_statistics(df).first()
     assert (stats["rows"], stats["distinct_inputs"], stats["hits"]) == (101, 62, 39)
+
+
+def test_score_distinct_keeps_every_row(spark):
+    """-0.0, null, NaN, one hot input and copies: as many rows out as in, scored as directly."""
+    values = [0.0, -0.0, None, float("nan"), float("inf"), 2.5] * 40 + [7.0] * 500 + [float(i) for i in range(30)]
+    df = spark.createDataFrame([(i, v, "a" if i % 2 else None) for i, v in enumerate(values)], "id bigint, x double, c string")
+    scorer = lambda d: d.withColumn("y", F.coalesce(F.nanvl("x", F.lit(-1.0)) + 1, F.lit(-2.0)))
+    got = {r["id"]: r["y"] for r in scoring.score_distinct(df, scorer, ["x", "c"]).collect()}
+    want = {r["id"]: r["y"] for r in scorer(df).collect()}
+    assert got == want and len(got) == len(values)
+
+
+def test_score_distinct_paths_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), "a") for i in range(200)], "id bigint, x double, c string")
+    scorer = lambda d: d.withColumn("y", F.col("x") * 2)
+    results = []
+    for share in (0.0, 0.1429, 2.0):  # all hot, some hot, none hot
+        monkeypatch.setattr(scoring, "HOT_SHARE", share)
+        results.append({r["id"]: r["y"] for r in scoring.score_distinct(df, scorer, ["x", "c"]).collect()})
+    assert results[0] == results[1] == results[2] and len(results[0]) == 200
+
+
+def test_deep_trees_are_refused():
+    for params in ({"max_depth": 64}, {"num_leaves": 2**40}):
+        with pytest.raises(ValueError, match="depth"):
+            T.build_estimator(T.ModelConfig("regression", "random_forest", params))
+
+
+def test_rows_outside_all_folds_are_refused(spark, rows):
+    config = T.ModelConfig("regression", "linear_regression", cv_folds=2)
+    encoded = rows.select(F.lit(None).cast("int").alias("fold"))
+    with pytest.raises(ValueError, match="folds"):
+        T.cross_validate(config, None, encoded)
+
+
+def test_auc_of_crowded_scores(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "SCORES_PER_RANGE", 2000)
+    df = spark.range(20_000).selectExpr(
+        "if(id % 3 = 0, 'High', 'Low') as y", "map('High', (id * 7919 % 20000 + if(id % 3 = 0, 3000, 0)) / 2e9) as p"
+    )
+    (got,) = evaluation.rank_auc(df, "y", "p").collect()
+    import pandas as pd
+
+    t = df.selectExpr("y", "p['High'] as s").toPandas()
+    rank = t["s"].rank()
+    pos = t["y"] == "High"
+    want = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert got["roc_auc"] == pytest.approx(want, abs=1e-12)
+
+
+def test_a_segment_in_one_fold_gets_the_other_folds_mean(spark):
+    from dayprint.plans.catalogue import _cross_validated
+
+    rows = [("Car", "Veg", 4.0, 0), ("Car", "Veg", 6.0, 1), ("Bus", "Veg", 9.0, 1), ("Sled", "Veg", 1.0, 0)]
+    df = spark.createDataFrame(rows, f"transport_mode string, food_type string, {FOOTPRINT} double, fold int")
+    got = {(r["transport_mode"], r["fold"]): r["pred"] for r in _cross_validated(df).collect()}
+    assert got == {("Car", 0): 6.0, ("Car", 1): 4.0, ("Bus", 1): 4.0, ("Sled", 0): 7.5}
+
+
+def test_clusters_need_a_shared_folder():
+    from dayprint.sources.workdir import shared_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Session())
