@@ -24,7 +24,6 @@ from dayprint.operators.evaluation import (
     confusion_counts,
     regression_metrics,
 )
-from dayprint.operators.profile import stat_rows
 from dayprint.operators.splits import contiguous_folds, stratified_folds
 from dayprint.operators.stages import create_preprocessor, index_level, level_index
 
@@ -390,27 +389,37 @@ def ml_scorer(regressor: TrainedModel, classifier: TrainedModel):
 
 
 def evaluate_all(models: dict[str, TrainedModel], test_df: DataFrame) -> DataFrame:
-    """Tidy test metrics (task, model, metric, value) of every model."""
+    """Tidy test metrics (task, model, metric, value) of every model.
+
+    The rows are read and encoded once for each preprocessor; all its models add
+    their prediction to the same rows, and one aggregation per task follows.
+    """
     frames = []
-    for m in models.values():
-        predicted = m.predict(test_df)
-        if m.config.model_type == "regression":
-            row = regression_metrics(predicted, FOOTPRINT, f"{FOOTPRINT}_predicted")
-            row = row.select("mse", "rmse", "r2")
-        else:
-            row = classification_metrics(
-                confusion_counts(predicted, LEVEL, f"{LEVEL}_predicted")
-            )
-        frames.append(
-            stat_rows(row, m.config.model_type).select(
-                F.col("section").alias("task"),
-                F.lit(m.config.algorithm).alias("model"),
-                F.col("name").alias("metric"),
-                "value",
-            )
-        )
+    for preprocessor in {id(m.preprocessor): m.preprocessor for m in models.values()}.values():
+        mine = [m for m in models.values() if m.preprocessor is preprocessor]
+        keep = [FOOTPRINT, LEVEL, "features"]
+        rows = preprocessor.transform(test_df).select(*keep)
+        for i, m in enumerate(mine):
+            found = FOOTPRINT if m.config.model_type == "regression" else LEVEL
+            rows = m.apply(rows).withColumnRenamed(f"{found}_predicted", f"of_{i}")
+            keep.append(f"of_{i}")
+            rows = rows.select(*keep)
+        for task in {m.config.model_type for m in mine}:
+            votes = [
+                F.struct(F.lit(m.config.algorithm).alias("model"), F.col(f"of_{i}").alias("prediction"))
+                for i, m in enumerate(mine)
+                if m.config.model_type == task
+            ]
+            long = rows.select(FOOTPRINT, LEVEL, F.inline(F.array(*votes)))
+            if task == "regression":
+                wide = regression_metrics(long, FOOTPRINT, "prediction", ["model"]).select("model", "mse", "rmse", "r2")
+            else:
+                cells = confusion_counts(long, LEVEL, "prediction", ["model"])
+                wide = classification_metrics(cells, ["model"])
+            names = [c for c in wide.columns if c != "model"]
+            tidy = wide.unpivot(["model"], names, "metric", "value")
+            frames.append(tidy.select(F.lit(task).alias("task"), "model", "metric", "value"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
-
