@@ -7,6 +7,7 @@ goes through the tokenizers library about once per worker, cut where the tokeniz
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of words that a worker remembers; when full, the older half is forgotten (about 0.2 KB each).
-CACHE_PIECES = 480_000
+CACHE_PIECES = 400_000
 #: Text bytes handled at once.
 CHUNK_BYTES = 8 << 20
 
@@ -133,6 +134,14 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about `most` bytes of text each, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -142,7 +151,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
