@@ -117,10 +117,49 @@ QUERIES = {
 }
 
 
+#: The words of each document in order.
+WORDS_SQL = r"""w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents)"""
+
+NEAR_DUPLICATES_SQL = (
+    "with recursive "
+    + WORDS_SQL
+    + """,
+  g as (select distinct doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) as h from w, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) as r(i)),
+  n as (select doc_id, count(*) as c from g group by doc_id),
+  p as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+  l as (select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 10 * k >= 8 * (nx.c + ny.c - k)),
+  reach as (select x, y from l union select reach.x, l.y from reach join l on reach.y = l.x)
+  select d.doc_id, least(d.doc_id, coalesce((select min(y) from reach where x = d.doc_id), d.doc_id)) as class_id,
+    (select count(*) from l where x = d.doc_id) as n_links from documents d"""
+)
+
+REPEATED_SPANS_SQL = (
+    "with "
+    + WORDS_SQL
+    + """,
+  win as (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) as h from w, unnest(range(1, len(ws) - 48)) as r(i)),
+  again as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as m from win) where m < doc_id),
+  cover as (select doc_id, list(distinct i + k) as gone from again, range(0, 50) as r(k) group by doc_id)
+  select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+    sha256(array_to_string([ws[j] for j in range(1, len(ws) + 1) if not coalesce(list_contains(gone, j), false)], ' ')) as kept_sha256
+  from w left join cover using (doc_id)"""
+)
+
+NEAR_VECTORS_SQL = """with recursive
+  v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+  l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach as (select x, y from l union select reach.x, l.y from reach join l on reach.y = l.x),
+  c as (select vec_id, least(vec_id, coalesce((select min(y) from reach where x = vec_id), vec_id)) as component_id from v)
+  select vec_id, (select count(*) from l where x = vec_id) as n_links, component_id, vec_id = component_id as kept from c"""
+
+
 def _oracles() -> dict[str, str]:
     from dayprint.llm.quality_cascade import VERDICTS_SQL
 
     return {
+        "op4_near_duplicates": NEAR_DUPLICATES_SQL,
+        "op8_repeated_spans": REPEATED_SPANS_SQL,
+        "op9_near_vectors": NEAR_VECTORS_SQL,
         "op5_quality": VERDICTS_SQL
         + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
              not base_failed and not method_failed as kept from v""",
