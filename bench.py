@@ -11,6 +11,7 @@ import time
 
 from dayprint.plans.catalogue import QUERIES
 from dayprint.session import build_session
+from dayprint.sources.workdir import release
 
 HEADLINE = [
     "read_activity",
@@ -67,6 +68,7 @@ def main() -> None:
         started = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - started, 3)
+        release(spark)
     rows = spark.read.parquet(f"{folder}/events.parquet").count()
     spark.stop()
     print(

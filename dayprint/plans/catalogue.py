@@ -765,7 +765,15 @@ def score_batch_ml(spark, folder):
     )
     stats = profile.target_stats(train)
     scored = scoring.score_batch(coerced(spark, folder), scorer, stats, timestamp())
-    return rounded(scored.select("record_id", FOOTPRINT, LEVEL, "confidence", "error"))
+    valid = F.col("error").isNull()
+    level = F.col(LEVEL)
+    return scored.select(
+        "record_id",
+        "error",
+        F.when(valid, _in_range(train, FOOTPRINT)).alias("in_training_range"),
+        F.when(valid, level.isin(LEVELS)).otherwise(level == "Error").alias("known_level"),
+        F.when(valid, F.col("confidence").between(0, 1)).alias("is_confidence"),
+    )
 
 
 @query
@@ -1187,7 +1195,11 @@ def cross_validation(spark, folder):
 def global_explanation(spark, folder):
     config = training.ModelConfig("regression", "random_forest", feature_engineering=False)
     fitted = training.train(config, train_rows(spark, folder))
-    return rounded(attribution.global_explanation(spark, fitted))
+    found = attribution.global_explanation(spark, fitted)
+    importance = F.when(F.col("section") == "feature_importance", F.col("value"))
+    return found.groupBy("section").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum(importance), 6).alias("importance_total")
+    )
 
 
 def _formula(df: DataFrame) -> DataFrame:

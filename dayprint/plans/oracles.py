@@ -536,6 +536,14 @@ from (values ('random_forest', 'n_estimators', 100), ('random_forest', 'max_dept
 """
 O["importance_topk"] = "select 16::bigint as features, 1.0::double as total, 10::bigint as listed, true as largest where (select count(*) from train_only) > 0"
 O["sampled_attribution"] = "select record_id, 16::bigint as features, true as adds_up from train_only"
+O["score_batch_ml"] = """
+select record_id, case when n_errors > 0 then 'Validation failed: ' || comma_messages end as error, case when n_errors = 0 then true end as in_training_range,
+ true as known_level, case when n_errors = 0 then true end as is_confidence from checked
+"""
+O["global_explanation"] = """
+select section, n::bigint as rows, total::double as importance_total
+from (values ('model', 3, null), ('performance', 2, null), ('feature_importance', 16, 1.0)) t(section, n, total) where (select count(*) from train_only) > 0
+"""
 O["explain_sample"] = "select record_id, 10 as contributions, true as shares_of_one, true as sums_to_one from activity"
 O["score_distinct"] = f"select record_id, segment_mean as {Y}, {level_of('segment_mean')} as {LV} from activity left join seg using (transport_mode, food_type)"
 O["repeat_statistics"] = """

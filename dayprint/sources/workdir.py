@@ -20,9 +20,22 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+# Folders made by this driver, for release().
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder; Spark creates it when writing."""
-    return f"{shared_root(spark).rstrip('/')}/dayprint/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/dayprint/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders made so far; call it when the results that read them are written."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, purpose: str):
