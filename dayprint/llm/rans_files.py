@@ -18,9 +18,9 @@ from dayprint.llm.words import chunks, tokenizer, with_end
 from dayprint.sources.workdir import new_folder
 
 #: A block ends with the document that reaches this many ids.
-BLOCK_TOKENS = 131_072
+BLOCK_TOKENS = 32_768
 #: Blocks coded side by side by a task: enough to keep numpy busy, little memory.
-BLOCKS_AT_ONCE = 24
+BLOCKS_AT_ONCE = 96
 
 
 def _tokenised(path: str, end: int):

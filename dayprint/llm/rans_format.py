@@ -21,7 +21,7 @@ import numpy as np
 
 MAGIC = b"RAN1"
 LANES = 32
-CHECKPOINT = 1024
+CHECKPOINT = 512
 TABLE_BITS = 20
 HEADER = struct.Struct("<4sIIIIII")
 LOW = np.uint64(1 << 32)
@@ -55,38 +55,41 @@ def encode(table: Table, blocks: list[tuple[np.ndarray, list[tuple]]]) -> list[b
     sizes = np.array([len(blocks[b][0]) for b in order])
     steps = -(-sizes // LANES)
     top = int(steps[0]) if len(steps) else 0
-    ids = np.zeros((len(order), top, LANES), np.uint32)
+    # [step, block, lane]: what one step touches lies together
+    ids = np.zeros((top, len(order), LANES), np.uint32)
     for k, b in enumerate(order):
-        ids[k].reshape(-1)[: sizes[k]] = blocks[b][0]
-        if sizes[k]:
-            ids[k].reshape(-1)[sizes[k] : steps[k] * LANES] = blocks[b][0][-1]  # fills up the last step
-    if top and (int(ids.max()) >= len(table.freq) or not all(table.freq[ids[k].reshape(-1)[: sizes[k]]].all() for k in range(len(order)))):
-        raise ValueError("a token is not in the frequency table")
+        flat = np.empty(steps[k] * LANES, np.uint32)
+        flat[: sizes[k]] = blocks[b][0]
+        flat[sizes[k] :] = blocks[b][0][-1] if sizes[k] else 0  # fills up the last step
+        if len(flat) and (int(flat.max()) >= len(table.freq) or not table.freq[flat].all()):
+            raise ValueError("a token is not in the frequency table")
+        ids[: steps[k], k] = flat.reshape(-1, LANES)
     x = np.full((len(order), LANES), LOW)
     words, out = np.zeros(ids.shape, np.uint32), np.zeros(ids.shape, bool)
-    states = np.zeros((len(order), -(-top // CHECKPOINT), LANES), np.uint64)
+    states = np.zeros((-(-top // CHECKPOINT), len(order), LANES), np.uint64)
     active = np.searchsorted(-steps, -np.arange(top), "left")  # blocks with more steps than t
     for t in range(top - 1, -1, -1):
         k = int(active[t])
-        s, y = ids[:k, t], x[:k]
+        s, y = ids[t, :k], x[:k]
         f = table.freq[s]
         full = y >= f << _ROOM
-        words[:k, t], out[:k, t] = y.astype(np.uint32), full
+        words[t, :k], out[t, :k] = y, full
         y = np.where(full, y >> _WORD, y)
         q = y // f
         x[:k] = (q << _BITS) + (y - q * f) + table.cum[s]
         if t % CHECKPOINT == 0:
-            states[:k, t // CHECKPOINT] = x[:k]
+            states[t // CHECKPOINT, :k] = x[:k]
     made: list[bytes] = [b""] * len(blocks)
     for k, b in enumerate(order):
         flat, docs = blocks[b]
         marks = -(-int(steps[k]) // CHECKPOINT)
-        before = np.cumsum(out[k, : steps[k]].sum(1)) if marks else np.zeros(0, int)
+        sent = out[: steps[k], k]
+        before = np.cumsum(sent.sum(1)) if marks else np.zeros(0, int)
         places = np.concatenate([[0], before[CHECKPOINT - 1 :: CHECKPOINT]])[:marks].astype("<u4")
-        stream = words[k, : steps[k]][out[k, : steps[k]]].astype("<u4")
+        stream = words[: steps[k], k][sent].astype("<u4")
         head = HEADER.pack(MAGIC, len(flat), len(docs), len(stream), marks, table.crc, zlib.crc32(np.asarray(flat, "<u4").tobytes()))
         index = [np.array([d[0] or 0 for d in docs], "<i8"), np.array([d[1] for d in docs], "<i8"), np.array([d[2] for d in docs], "<u4"), np.array([d[0] is None for d in docs], "u1")]
-        body = head + b"".join(a.tobytes() for a in index) + places.tobytes() + states[k, :marks].astype("<u8").tobytes() + stream.tobytes()
+        body = head + b"".join(a.tobytes() for a in index) + places.tobytes() + states[:marks, k].astype("<u8").tobytes() + stream.tobytes()
         made[b] = body + struct.pack("<I", zlib.crc32(body))
     return made
 
@@ -121,14 +124,14 @@ def decode(table: Table, payloads: list[bytes]) -> list[tuple[np.ndarray, list[t
     x = np.array([s[4] for s in stretches], np.uint64).reshape(-1, LANES)
     place = np.array([s[3] for s in stretches], np.int64)
     stream = np.concatenate([*streams, np.zeros(1, np.uint32)]).astype(np.uint64)
-    got = np.zeros((len(stretches), top, LANES), np.uint32)
+    got = np.zeros((top, len(stretches), LANES), np.uint32)
     active = np.searchsorted(-lengths, -np.arange(top), "left")
     for t in range(top):
         k = int(active[t])
         y = x[:k]
         slot = y & _SLOT
         s = table.slots[slot]
-        got[:k, t] = s
+        got[t, :k] = s
         y = table.freq[s] * (y >> _BITS) + slot - table.cum[s]
         need = y < LOW
         upto = need.cumsum(1)
@@ -137,7 +140,7 @@ def decode(table: Table, payloads: list[bytes]) -> list[tuple[np.ndarray, list[t
         place[:k] += upto[:, -1]
     whole = [np.zeros(steps * LANES, "<u4") for _, steps, _, _ in heads]
     for row, (length, b, k, _, _) in enumerate(stretches):
-        whole[b][k * CHECKPOINT * LANES : (k * CHECKPOINT + length) * LANES] = got[row, :length].reshape(-1)
+        whole[b][k * CHECKPOINT * LANES : (k * CHECKPOINT + length) * LANES] = got[:length, row].reshape(-1)
     out = []
     for flat, (n, _, ids_crc, docs) in zip(whole, heads):
         flat = flat[:n]
