@@ -116,12 +116,10 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFrame:
     """Replace nulls by the column's median over the frame."""
-    # One row per column name.
-    table = exact_medians(df, columns).agg(
-        F.map_from_entries(F.collect_list(F.struct("variable", "median"))).alias("m")
-    )
+    # One number per column.
+    medians = {r["variable"]: r["median"] for r in exact_medians(df, columns).collect()}
     return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), table.scalar()[c]) for c in columns}
+        {c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)).cast("double")) for c in columns}
     )
 
 
