@@ -150,7 +150,7 @@ def judged(docs: DataFrame, cascade: Sequence[Rule], sample_rows: int = 2000) ->
 
 
 def kept(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The documents that no rule rejects, with their own columns whatever their names."""
+    """The documents that no rule rejects, with their own columns whatever their names; null and empty texts are rejected."""
     return docs.where(rejected_by(ordered(estimates(docs, rules(), sample_rows))).isNull())
 
 
