@@ -103,6 +103,24 @@ def test_random_strings_are_found_and_words_are_not(with_secrets):
     assert sum(found[:12]) >= 10 and sum(found[12:]) == 0
 
 
+WORDS = "internationalization wheretheriverbendsandthehillsrise rechtsschutzversicherungsgesellschaften configurationmanagementservice2024 ELECTROENCEPHALOGRAPHICALLY".split()
+ALPHABETS = {
+    "base 36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper base 36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "lower base 32": "abcdefghijklmnopqrstuvwxyz234567",
+    "base 26": "abcdefghijklmnopqrstuvwxyz", "upper base 26": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base 32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+}
+
+
+def test_tokens_of_one_letter_case_are_found(spark, prose_of):
+    draw = random.Random(8)
+    tokens = ["".join(draw.choice(x) for _ in range(draw.choice((24, 32, 40)))) for x in ALPHABETS.values() for _ in range(40)]
+    rows = [(i, f"{prose_of(i, 12)} {t} end") for i, t in enumerate(tokens)] + [(1000 + i, f"see {w} here") for i, w in enumerate(WORDS * 48)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["all"] for r in s.scanned(docs).select("doc_id", s.listed(F.col("spans")).alias("all")).collect()}
+    for k, name in enumerate(ALPHABETS):
+        assert sum("random:" in found[40 * k + i] for i in range(40)) >= 37, name
+    assert not any("random:" in x for i, x in found.items() if i >= 1000)
+
+
 def test_rejection_bins():
     # ten strings: nine with p = 0.5, one with p = 1e-6; 1e-6 <= 0.01 / 10 is rejected alone
     low, high = int(6 * s.BINS), int(0.301 * s.BINS)
