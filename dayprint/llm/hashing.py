@@ -39,7 +39,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """raw: all bytes; offsets: where texts begin and end; starts, ends: places of the words; n: words of each text; first: index of a text's first word."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, letters: np.ndarray | None = None):
+        """`letters` says for each byte whether words hold it; without it words end at white space."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
@@ -47,7 +48,7 @@ class Words:
         if lower:  # A-Z alone
             self.raw = self.raw + ((self.raw >= 65) & (self.raw <= 90)) * np.uint8(32)
         at = self.offsets = offsets - offsets[0]
-        letter = ~((self.raw == 32) | ((self.raw >= 9) & (self.raw <= 13)))
+        letter = ~((self.raw == 32) | ((self.raw >= 9) & (self.raw <= 13))) if letters is None else letters[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[at] = True
         begins, stops = letter.copy(), letter.copy()
