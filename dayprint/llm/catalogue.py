@@ -103,6 +103,29 @@ def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.hyperplane_tree import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, low=80, high=100)
+
+
+def op12_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.order_minhash import edits
+
+    found = edits(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from dayprint.llm.block_max import ranked
+
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -114,6 +137,9 @@ QUERIES = {
     "op8_repeated_spans": op8_repeated_spans,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality_votes": op10_quality_votes,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_order_minhash": op12_order_minhash,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
@@ -153,6 +179,34 @@ NEAR_VECTORS_SQL = """with recursive
   select vec_id, (select count(*) from l where x = vec_id) as n_links, component_id, vec_id = component_id as kept from c"""
 
 
+HARD_NEGATIVES_SQL = """with
+  v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+          list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+        from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+  p as (select anchor_id, id as positive_id, score as positive_score from s where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+  select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank,
+    id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+  qualify rank <= 5"""
+
+RANKED_SQL = r"""with
+  t as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+  i as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+  g as (select count(distinct doc_id) as nd, count(*) as nt from t),
+  f as (select doc_id, term, count(*) as tf from t group by all),
+  m as (select doc_id, 50 + (50 * count(*) * nd) // nt as m from t, g group by doc_id, nd, nt),
+  w as (select term, cast(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) as bigint) as w from f, g group by term, nd),
+  s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+        from i join f using (term) join w using (term) join m using (doc_id) group by item_id, doc_id)
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from s where score > 0 qualify rank <= 50"""
+
+
 def _oracles() -> dict[str, str]:
     from dayprint.llm.quality_cascade import VERDICTS_SQL
 
@@ -160,6 +214,8 @@ def _oracles() -> dict[str, str]:
         "op4_near_duplicates": NEAR_DUPLICATES_SQL,
         "op8_repeated_spans": REPEATED_SPANS_SQL,
         "op9_near_vectors": NEAR_VECTORS_SQL,
+        "op11_hard_negatives": HARD_NEGATIVES_SQL,
+        "op13_ranked_search": RANKED_SQL,
         "op5_quality": VERDICTS_SQL
         + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
              not base_failed and not method_failed as kept from v""",
