@@ -160,7 +160,7 @@ class Shard:
         blocks = -(-lengths // BLOCK)
         block_at = np.concatenate([[0], np.cumsum(blocks)])
         begins = np.repeat(list_at, blocks) + BLOCK * (np.arange(block_at[-1]) - np.repeat(block_at[:-1], blocks))
-        ends = np.append(begins[1:], len(doc))
+        ends = np.append(begins[1:], len(doc))[: len(begins)]
         gaps = np.diff(doc, prepend=0)
         gaps[begins] = 0
         most = lambda at: np.maximum.reduceat(score, at) if len(at) else score[:0]
