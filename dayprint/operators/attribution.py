@@ -2,10 +2,13 @@
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dayprint.constants import FEATURES, FOOTPRINT
+from dayprint.constants import FEATURES, FOOTPRINT, LEVEL, LEVELS
+from dayprint.operators.kernel_shapley import KernelExplainer, kernel_columns, outputs_of
 from dayprint.operators.stages import feature_names
+from dayprint.operators.tree_tables import shapley_column, tree_ensemble
 
 
 def importance_frame(spark: SparkSession, trained, k: int | None = None) -> DataFrame:
@@ -67,7 +70,7 @@ def sampled_attribution(
     """
     import random
 
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     slots = len(centres[0][0])
     rng = random.Random(seed)
@@ -204,8 +207,6 @@ def record_attributions(encoded: DataFrame, trained, background: DataFrame) -> D
     Exact for a linear model: coefficient times the distance to the background
     mean; the shares of a record add up to its prediction minus the mean one.
     """
-    from pyspark.ml.functions import vector_to_array
-
     names = feature_names(trained.preprocessor)
     weights = [float(v) for v in trained.model.coefficients]
     values = vector_to_array("features")
@@ -225,12 +226,15 @@ def record_attributions(encoded: DataFrame, trained, background: DataFrame) -> D
 def explain_sample(
     spark: SparkSession, df: DataFrame, trained, background: DataFrame | None = None
 ) -> DataFrame:
-    """Prediction, attributions or importances, and field values of the given records.
+    """Prediction, contributions, Shapley values and field values of the given records.
 
     ``df`` holds the records to explain, usually one picked by its key. Linear
     models give each record its own attributions against ``background`` (by
-    default the records themselves); for tree models the ten largest importances
-    come as one map, and ``sampled_attribution`` gives shares per record.
+    default the records themselves). For tree models ``feature_contributions``
+    holds the ten largest importances, as published, and ``shap_values`` the
+    record's own values: they add up to ``explained_output`` minus
+    ``expected_output``. The output is the prediction, or for classes the
+    predicted level's probability (forests) or margin (boosting).
     Classification models add their probabilities.
     """
     if hasattr(trained.model, "coefficients"):
@@ -247,11 +251,53 @@ def explain_sample(
     top = importance_frame(spark, trained, 10).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "importance")))
     )
-    return trained.predict(df).withColumns(
-        {
-            "feature_contributions": top.scalar(),
-            "feature_values": F.to_json(F.struct(*FEATURES)),
-        }
+    ensemble = tree_ensemble(spark, trained.model)
+    names = feature_names(trained.preprocessor)
+    explained = trained.apply(trained.encode(df)).withColumn(
+        "shapley", shapley_column(spark, ensemble)
+    )
+    if trained.config.model_type == "regression":
+        output, own = F.lit(1), F.col(f"{FOOTPRINT}_predicted")
+        added = [f"{FOOTPRINT}_predicted"]
+    else:
+        output = F.array_position(F.array(*map(F.lit, LEVELS)), F.col(f"{LEVEL}_predicted")).cast("int")
+        column = "rawPrediction" if hasattr(trained.model, "models") else "probability"
+        own = F.element_at(vector_to_array(column), output)
+        added = [f"{LEVEL}_predicted", "class_probabilities"]
+    expected = F.array(*[F.lit(float(v)) for v in ensemble.expected()])
+    shap = F.map_from_arrays(F.array(*map(F.lit, names)), F.element_at("shapley", output))
+    return explained.select(
+        *df.columns,
+        *added,
+        top.scalar().alias("feature_contributions"),
+        F.to_json(F.struct(*FEATURES)).alias("feature_values"),
+        shap.alias("shap_values"),
+        own.alias("explained_output"),
+        F.element_at(expected, output).alias("expected_output"),
+    )
+
+
+def kernel_attribution(
+    encoded: DataFrame,
+    trained,
+    centres: list[tuple[list, int]],
+    budget: int = 512,
+    batches: int = 8,
+    seed: int = 42,
+) -> DataFrame:
+    """``encoded`` with ``shap_values``, ``shap_errors`` and ``base_values``: one array for each output.
+
+    ``centres`` is the background, see ``kmeans_background``; ``budget`` the
+    number of coalitions. Outputs are the prediction, class probabilities, or
+    the margins of a one-vs-rest model.
+    """
+    spark = encoded.sparkSession
+    explainer = KernelExplainer.of(outputs_of(spark, trained.model), centres, budget, batches, seed)
+    base = F.array(*[F.lit(float(v)) for v in explainer.base])
+    return (
+        encoded.withColumn("kernel", kernel_columns(spark, explainer))
+        .withColumns({"shap_values": F.col("kernel.values"), "shap_errors": F.col("kernel.errors"), "base_values": base})
+        .drop("kernel")
     )
 
 

@@ -1151,6 +1151,79 @@ def explain_sample(spark, folder):
     )
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _own_values(name: str, task: str, algorithm: str, parameters: dict) -> None:
+    """Every record's Shapley values of a tree model: do they add up, and do records differ?"""
+
+    def run(spark, folder):
+        config = training.ModelConfig(task, algorithm, parameters, feature_engineering=False)
+        fitted = training.train(config, train_rows(spark, folder))
+        out = attribution.explain_sample(spark, activity(spark, folder), fitted)
+        gap = _sum(F.map_values("shap_values")) + F.col("expected_output") - F.col("explained_output")
+        zero = F.forall(F.map_values("shap_values"), lambda v: v == 0)
+        return out.select(
+            "record_id", F.size("shap_values").alias("features"), (F.abs(gap) < 1e-6).alias("adds_up"), (~zero).alias("explained")
+        )
+
+    run.__name__ = name
+    query(run)
+
+
+_own_values("explain_forest", "regression", "random_forest", {"n_estimators": 50, "max_depth": 6})
+_own_values("explain_boosting", "regression", "xgboost", {"n_estimators": 30, "max_depth": 4, "learning_rate": 0.1})
+_own_values("explain_classes", "classification", "random_forest", {"n_estimators": 30, "max_depth": 5})
+
+
+@query
+def explain_stump(spark, folder):
+    """One split by one field: a record's share is its group's mean label minus the mean of all."""
+    train = train_rows(spark, folder)
+    config = training.ModelConfig("regression", "random_forest", {"n_estimators": 1, "max_depth": 1})
+    encoder = stages.create_preprocessor([], ["day_type"], scale=False).fit(train)
+    fitted = training.train(config, train, preprocessor=encoder)
+    out = attribution.explain_sample(spark, activity(spark, folder), fitted)
+    return out.select(
+        "record_id",
+        F.round(_sum(F.map_values("shap_values")), 5).alias("share"),
+        F.round("expected_output", 5).alias("expected"),
+    )
+
+
+@query
+def kernel_attribution(spark, folder):
+    """Least-squares Shapley values of a boosted model against ten centres, and their error."""
+    train = train_rows(spark, folder)
+    parameters = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}
+    config = training.ModelConfig("regression", "xgboost", parameters, feature_engineering=False)
+    fitted = training.train(config, train)
+    encoded = fitted.encode(train)
+    centres = attribution.kmeans_background(encoded)
+    out = fitted.apply(attribution.kernel_attribution(encoded, fitted, centres, budget=300))
+    values, errors = F.get("shap_values", F.lit(0)), F.get("shap_errors", F.lit(0))
+    gap = _sum(values) + F.get("base_values", F.lit(0)) - F.col(f"{FOOTPRINT}_predicted")
+    # The error of the largest value is a small part of the values' spread.
+    small = F.array_max(errors) < 0.1 * F.greatest(F.array_max(values) - F.array_min(values), F.lit(0.1))
+    return out.select(
+        "record_id", F.size(values).alias("features"), (F.abs(gap) < 1e-6).alias("adds_up"), small.alias("small_error")
+    )
+
+
+@query
+def kernel_linear(spark, folder):
+    """Of a linear model the least-squares values are exact: coefficient times the distance to the background."""
+    train = train_rows(spark, folder)
+    config = training.ModelConfig("regression", "linear_regression")
+    encoder = stages.create_preprocessor(["electricity_kwh", "distance_km"], [], scale=False).fit(train)
+    fitted = training.train(config, train, preprocessor=encoder)
+    mean = train.agg(F.avg("electricity_kwh"), F.avg("distance_km")).first()
+    out = attribution.kernel_attribution(fitted.encode(activity(spark, folder)), fitted, [(list(mean), 1)])
+    values = F.get("shap_values", F.lit(0))
+    return out.select("record_id", *[F.round(F.get(values, F.lit(i)), 4).alias(f"share_{n}") for i, n in enumerate(("electricity", "distance"))])
+
+
 @query
 def explain_linear(spark, folder):
     """Exact attributions of a linear model for every record."""

@@ -545,6 +545,20 @@ select section, n::bigint as rows, total::double as importance_total
 from (values ('model', 3, null), ('performance', 2, null), ('feature_importance', 16, 1.0)) t(section, n, total) where (select count(*) from train_only) > 0
 """
 O["explain_sample"] = "select record_id, 10 as contributions, true as shares_of_one, true as sums_to_one from activity"
+for _name in ("explain_forest", "explain_boosting", "explain_classes"):
+    O[_name] = "select record_id, 16 as features, true as adds_up, true as explained from activity"
+O["kernel_attribution"] = "select record_id, 16 as features, true as adds_up, true as small_error from train_only"
+O["explain_stump"] = f"""
+select a.record_id, round(g.m - t.m, 5) as share, round(t.m, 5) as expected
+from activity a join (select day_type, avg({Y}) as m from train_only group by day_type) g using (day_type), (select avg({Y}) as m from train_only) t
+"""
+# Two coefficients from the moments, by the normal equations.
+CTES["plane"] = f"""
+select (cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) as k1, (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) as k2, m1, m2
+from (select covar_pop({Y}, electricity_kwh) as cy1, covar_pop({Y}, distance_km) as cy2, covar_pop(electricity_kwh, distance_km) as c12,
+      var_pop(electricity_kwh) as v1, var_pop(distance_km) as v2, avg(electricity_kwh) as m1, avg(distance_km) as m2 from train_only)
+"""
+O["kernel_linear"] = "select record_id, round(k1 * (electricity_kwh - m1), 4) as share_electricity, round(k2 * (distance_km - m2), 4) as share_distance from activity, plane"
 O["score_distinct"] = f"select record_id, segment_mean as {Y}, {level_of('segment_mean')} as {LV} from activity left join seg using (transport_mode, food_type)"
 O["repeat_statistics"] = """
 select sum(n)::bigint as rows, count(*) as distinct_inputs, sum(n-1)::bigint as hits, round(sum(n-1)/sum(n),6) as hit_rate
