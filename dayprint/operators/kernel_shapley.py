@@ -18,9 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, SparkSession, functions as F
 
+from dayprint.operators.kernel_features import FourierMap
 from dayprint.operators.tree_tables import tree_ensemble
 
 #: Combined rows that a task holds at once.
@@ -43,8 +45,23 @@ class LinearOutputs:
         return out
 
 
+@dataclass
+class Mapped:
+    """Outputs of a model behind a feature map."""
+
+    mapped: object
+    inner: object
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.inner.predict(self.mapped(x))
+
+
 def outputs_of(spark: SparkSession, model):
     """An object whose ``predict`` turns encoded rows into (rows, outputs)."""
+    if isinstance(model, PipelineModel):
+        front, solver = model.stages
+        settings = [front.getOrDefault(k) for k in ("components", "gamma", "seed")]
+        return Mapped(FourierMap(*settings), outputs_of(spark, solver))
     if hasattr(model, "coefficientMatrix"):
         return LinearOutputs(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), softmax=True)
     if hasattr(model, "coefficients"):

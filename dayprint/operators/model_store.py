@@ -56,7 +56,7 @@ def save_model(spark: SparkSession, trained: TrainedModel, folder: str, name: st
     _write_text(
         spark,
         f"{path}/settings",
-        json.dumps({"config": trained.config.to_dict(), "metrics": trained.metrics}),
+        json.dumps({"config": trained.config.to_dict(), "metrics": trained.metrics, "calibration": trained.calibration}),
     )
     return path
 
@@ -70,6 +70,7 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
         PipelineModel.load(f"{path}/preprocessor"),
         DefaultParamsReader.loadParamsInstance(f"{path}/model", spark),
         settings["metrics"],
+        settings.get("calibration"),
     )
 
 

@@ -245,7 +245,8 @@ def create_preprocessor(
         if interactions:
             numeric += ["transport_electricity_interaction", "renewable_waste_interaction"]
         numeric.append("is_weekend")
-    stages.append(NumericPreparer(columns=numeric) if scale else NumericFiller(columns=numeric))
+    if numeric:
+        stages.append(NumericPreparer(columns=numeric) if scale else NumericFiller(columns=numeric))
     slots = [f"{c}_scaled" for c in numeric]
     if categorical:
         stages += [

@@ -4,7 +4,9 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.ml import PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from dayprint.constants import FOOTPRINT, LEVEL, LEVELS
+from dayprint.operators.calibration import out_of_fold_margins, platt_scaling, scaled_probabilities
 from dayprint.operators.evaluation import (
     classification_metrics,
     classification_report,
     confusion_counts,
     regression_metrics,
 )
+from dayprint.operators.kernel_features import FourierFeatures
 from dayprint.operators.splits import contiguous_folds, stratified_folds
 from dayprint.operators.stages import create_preprocessor, index_level, level_index
 
@@ -113,11 +117,27 @@ def _tree_depth(params: dict, default: int) -> int:
     return depth
 
 
+def _kernel(params: dict, features: str, seed: int) -> tuple[list, str]:
+    """The stages before a linear solver, and the column that they fill."""
+    kernel = params.get("kernel", "rbf")
+    if kernel == "linear":
+        return [], features
+    if kernel != "rbf":
+        raise ValueError(f"Unknown kernel: {kernel}")
+    gamma = params.get("gamma", "scale")
+    stage = FourierFeatures(
+        inputCol=features, components=int(params.get("components", 256)),
+        gamma=0.0 if gamma == "scale" else float(gamma), seed=seed,
+    )
+    return [stage], stage.getOrDefault("outputCol")
+
+
 def build_estimator(config: ModelConfig, features: str = "features", label: str = "label"):
     """The Spark ML estimator of a configuration.
 
     Boosting families share Spark's gradient-boosted trees and differ in their
-    presets; the kernel machines become their linear, robust counterparts.
+    presets. Kernel machines are linear solvers (Huber loss, support vectors)
+    behind random Fourier features; ``kernel="linear"`` leaves the features out.
     """
     params = dict(config.hyperparameters)
     algorithm = config.algorithm.lower()
@@ -153,9 +173,14 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
         if algorithm in ("xgboost", "lightgbm", "catboost"):
             return GBTRegressor(**common, **boosting)
         if algorithm == "svr":
-            return LinearRegression(
-                **common, loss="huber", epsilon=float(params.get("epsilon", 1.35)), maxIter=100
+            front, columns = _kernel(params, features, config.random_state)
+            solver = LinearRegression(
+                featuresCol=columns, labelCol=label, loss="huber",
+                epsilon=float(params.get("epsilon", 1.35)), maxIter=100,
+                # A wide map needs a little regularisation.
+                regParam=1e-4 / float(params.get("C", 1.0)) if front else 0.0,
             )
+            return Pipeline(stages=[*front, solver]) if front else solver
         raise ValueError(f"Unknown regression algorithm: {algorithm}")
     if config.model_type == "classification":
         if algorithm == "random_forest":
@@ -170,8 +195,12 @@ def build_estimator(config: ModelConfig, features: str = "features", label: str
         if algorithm == "svc":
             # A little regularisation keeps the solver stable on separable classes.
             penalty = 0.01 / float(params.get("C", 1.0))
+            front, columns = _kernel(params, features, config.random_state)
+            if front:
+                penalty /= 100
             svm = LinearSVC(maxIter=int(params.get("max_iter", 50)), regParam=penalty)
-            return OneVsRest(classifier=svm, **common, **one_vs_rest)
+            solver = OneVsRest(classifier=svm, featuresCol=columns, labelCol=label, **one_vs_rest)
+            return Pipeline(stages=[*front, solver]) if front else solver
         raise ValueError(f"Unknown classification algorithm: {algorithm}")
     raise ValueError(f"Unknown model type: {config.model_type}")
 
@@ -181,15 +210,21 @@ def with_label(df: DataFrame, model_type: str) -> DataFrame:
     return df.withColumn("label", label)
 
 
-def class_probabilities(model, raw: str = "rawPrediction", probability: str = "probability"):
+def class_probabilities(
+    model, raw: str = "rawPrediction", probability: str = "probability", calibration: list | None = None
+):
     """Array of class probabilities of a prediction.
 
     One-vs-rest models give margins only. Those of boosted trees are turned
-    into probabilities per class and scaled to sum to one; those of linear
-    support vectors give none (null).
+    into probabilities per class and scaled to sum to one; those of support
+    vectors go through the curves of ``calibration`` (null without them).
     """
     from pyspark.ml.classification import GBTClassificationModel, OneVsRestModel
 
+    if calibration:
+        return scaled_probabilities(vector_to_array(raw), calibration)
+    if isinstance(model, PipelineModel):
+        model = model.stages[-1]
     if not isinstance(model, OneVsRestModel):
         return vector_to_array(probability)
     if not isinstance(model.models[0], GBTClassificationModel):
@@ -210,6 +245,8 @@ class TrainedModel:
     preprocessor: PipelineModel
     model: object
     metrics: dict = field(default_factory=dict)
+    # (slope, intercept) of each class's probability over its margin.
+    calibration: list | None = None
 
     @property
     def name(self) -> str:
@@ -227,7 +264,7 @@ class TrainedModel:
             return out.withColumnRenamed("prediction", f"{FOOTPRINT}_predicted")
         return out.withColumns(
             {
-                "class_probabilities": class_probabilities(self.model),
+                "class_probabilities": class_probabilities(self.model, calibration=self.calibration),
                 f"{LEVEL}_predicted": index_level(F.col("prediction")),
             }
         ).drop("prediction")
@@ -272,6 +309,8 @@ def cross_validate(
     if outside.limit(1).count():
         raise ValueError("Rows outside all folds would be left out of cross-validation")
     metric = "r2" if config.model_type == "regression" else "accuracy"
+    if (config.model_type, config.algorithm) == ("regression", "linear_regression"):
+        return _summary(linear_fold_scores(encoded, config.cv_folds, fold))
     estimator = build_estimator(config)
 
     def one(i: int) -> float:
@@ -280,12 +319,67 @@ def cross_validate(
         return _score(config, held)[metric]
 
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(one, range(config.cv_folds)))
+        return _summary(list(pool.map(one, range(config.cv_folds))))
+
+
+def linear_fold_scores(encoded: DataFrame, folds: int, fold: str = "fold") -> list[float]:
+    """r2 of each fold under least squares on the other folds, from one pass over the rows.
+
+    Every fold's products of (1, x, label) are added up by Spark; the fit without
+    a fold is solved from the sum of all products less the fold's own, and the
+    fold's error follows from its products too. Rows are shifted by their mean
+    first, so that large values lose no digits.
+    """
+    rows = encoded.where("label is not null").select(F.col(fold).cast("int").alias("fold"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
+    width = rows.select(F.max(F.size("x"))).first()[0]
+    if not width:
+        return [float("nan")] * folds
+    means = rows.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(width)], F.avg("y")).first()
+    shift, size = np.array(means, float), width + 2
+
+    def products(batches):
+        total = np.zeros((folds, size, size))
+        for batch in batches:
+            at = batch.column("fold").to_numpy()
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            z = np.column_stack([np.ones(len(at)), x - shift[:-1], batch.column("y").to_numpy() - shift[-1]])
+            for k in np.unique(at):
+                mine = z[at == k]
+                total[k] += mine.T @ mine
+        where = np.arange(total.size)
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.reshape(-1))], ["at", "value"])
+
+    # folds * (slots + 2)^2 numbers, whatever the rows
+    sums = rows.mapInArrow(products, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    gram = np.zeros(folds * size * size)
+    for r in sums:
+        gram[r["at"]] = r["value"]
+    gram = gram.reshape(folds, size, size)
+    whole = gram.sum(0)
+    scores = []
+    for held in gram:
+        fit = whole - held
+        beta = np.append(-np.linalg.pinv(fit[:-1, :-1], rcond=1e-11, hermitian=True) @ fit[:-1, -1], 1.0)
+        spread = held[-1, -1] - held[0, -1] ** 2 / held[0, 0] if held[0, 0] else 0.0
+        scores.append(float(1 - beta @ held @ beta / spread) if spread > 0 else float("nan"))
+    return scores
+
+
+def _summary(scores: list[float]) -> dict:
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return {"cv_mean": mean, "cv_std": spread, "cv_scores": scores}
 
 
+def _calibration(config: ModelConfig, encoded: DataFrame) -> list | None:
+    """Probability curves of support vectors; other models have probabilities of their own."""
+    if (config.model_type, config.algorithm.lower()) != ("classification", "svc"):
+        return None
+    if not config.hyperparameters.get("probability", True):
+        return None
+    return platt_scaling(out_of_fold_margins(build_estimator(config), encoded), len(LEVELS))
+
+
 def train(
     config: ModelConfig,
     train_df: DataFrame,
@@ -314,6 +408,7 @@ def train(
     try:
         metrics = cross_validate(config, preprocessor, encoded) if cross else {}
         fitted = TrainedModel(config, preprocessor, build_estimator(config).fit(encoded), metrics)
+        fitted.calibration = _calibration(config, encoded)
         metrics.update(
             {f"train_{k}": v for k, v in _score(config, fitted.apply(encoded)).items()}
         )
@@ -358,8 +453,9 @@ def train_all(
     )
 
     def fit(config: ModelConfig) -> TrainedModel:
-        model = build_estimator(config).fit(with_label(encoded, config.model_type))
-        return TrainedModel(config, preprocessor, model)
+        labelled = with_label(encoded, config.model_type)
+        model = build_estimator(config).fit(labelled)
+        return TrainedModel(config, preprocessor, model, calibration=_calibration(config, labelled))
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:

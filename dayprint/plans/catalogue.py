@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from dayprint.constants import (
     CATEGORICAL_FEATURES,
@@ -464,10 +464,10 @@ def validation_metrics(spark, folder):
 # --- Estimators --------------------------------------------------------------
 
 
-def _fit_and_score(spark, folder, task: str, algorithm: str):
-    """Test rows with the prediction of a model in the library's settings."""
+def _fit_and_score(spark, folder, task: str, algorithm: str, parameters: dict | None = None):
+    """Test rows with the prediction of a model in the library's settings, or with the given ones."""
     rows = baseline.split_activity(activity(spark, folder))
-    config = training.ModelConfig(task, algorithm, feature_engineering=False)
+    config = training.ModelConfig(task, algorithm, dict(parameters or {}), feature_engineering=False)
     fitted = training.train(config, rows.where("split = 'train'"))
     return fitted.predict(rows.where("split = 'test'"))
 
@@ -538,9 +538,18 @@ def gbt_regressor(spark, folder):
 
 @query
 def robust_regressor(spark, folder):
-    out = _fit_and_score(spark, folder, "regression", "svr")
-    error = F.abs(F.col(f"{FOOTPRINT}_predicted") - F.col(FOOTPRINT))
-    return out.select("record_id", (error < 1e6).alias("is_number"))
+    """Robust fits, linear and with a kernel: nearer to the labels than the training mean, and the kernel nearer still."""
+    rows = baseline.split_activity(activity(spark, folder))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    encoder = stages.create_preprocessor().fit(train)
+    mean = train.agg(F.avg(FOOTPRINT)).scalar()
+    for kernel in ("linear", "rbf"):
+        config = training.ModelConfig("regression", "svr", {"kernel": kernel}, feature_engineering=False)
+        fitted = training.train(config, train, preprocessor=encoder)
+        test = fitted.predict(test).withColumnRenamed(f"{FOOTPRINT}_predicted", kernel)
+    off = lambda c: F.avg(F.abs(F.col(FOOTPRINT) - c))
+    found = test.withColumn("mean", mean).agg(F.count(F.lit(1)).alias("n"), *[off(F.col(c)).alias(c) for c in ("mean", "linear", "rbf")])
+    return found.select("n", (F.col("linear") < F.col("mean")).alias("linear_beats_mean"), (F.col("rbf") < F.col("mean")).alias("kernel_beats_mean"))
 
 
 @query
@@ -561,8 +570,46 @@ def logistic_regression(spark, folder):
 
 @query
 def linear_svc(spark, folder):
-    out = _fit_and_score(spark, folder, "classification", "svc")
-    return out.select("record_id", F.col(f"{LEVEL}_predicted").isin(LEVELS).alias("known_level"))
+    out = _fit_and_score(spark, folder, "classification", "svc", {"kernel": "linear"})
+    p = F.col("class_probabilities")
+    return out.select(
+        "record_id", F.col(f"{LEVEL}_predicted").isin(LEVELS).alias("known_level"), _sums_to_one(p).alias("sums_to_one")
+    )
+
+
+@query
+def kernel_svc(spark, folder):
+    """A kernel machine with probabilities: per level its mean probability and its share of the test rows."""
+    out = _fit_and_score(spark, folder, "classification", "svc", {"components": 64})
+    hits = F.avg((F.col(f"{LEVEL}_predicted") == F.col(LEVEL)).cast("double"))
+    own = F.get("class_probabilities", F.array_position(F.array(*[F.lit(v) for v in LEVELS]), F.col(LEVEL)).cast("int") - 1)
+    return out.agg(
+        F.count(F.lit(1)).alias("n"),
+        (hits > 0.5).alias("beats_half"),
+        F.count_if(_sums_to_one(F.col("class_probabilities"))).alias("sum_to_one"),
+        (F.avg(own) > 1 / 3).alias("own_class_likelier"),
+    )
+
+
+@query
+def svc_probabilities(spark, folder):
+    """The two equations of each class's logistic curve over out-of-fold margins: residuals add up to zero, also times the margin."""
+    train = train_rows(spark, folder)
+    config = training.ModelConfig("classification", "svc", {"kernel": "linear"}, feature_engineering=False)
+    encoder = stages.create_preprocessor().fit(train)
+    encoded = training.with_label(encoder.transform(train), "classification").select("label", "features")
+    margins = training.out_of_fold_margins(training.build_estimator(config), encoded)
+    curves = training.platt_scaling(margins, len(LEVELS))
+    classes = F.array(*[F.struct(F.lit(v).alias("level"), F.lit(float(i)).alias("class"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (v, (a, b)) in enumerate(zip(LEVELS, curves))])
+    rows = margins.select("label", "margins", F.inline(classes))
+    margin = F.get("margins", F.col("class").cast("int"))
+    residual = 1 / (1 + F.exp(-(F.col("a") * margin + F.col("b")))) - (F.col("label") == F.col("class")).cast("double")
+    return rows.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("label") == F.col("class")).alias("of_level"),
+        F.round(F.abs(F.avg(residual)), 4).alias("mean_residual"),
+        F.round(F.abs(F.avg(residual * margin)), 4).alias("mean_weighted_residual"),
+    )
 
 
 @query
@@ -1181,7 +1228,7 @@ _own_values("explain_classes", "classification", "random_forest", {"n_estimators
 def explain_stump(spark, folder):
     """One split by one field: a record's share is its group's mean label minus the mean of all."""
     train = train_rows(spark, folder)
-    config = training.ModelConfig("regression", "random_forest", {"n_estimators": 1, "max_depth": 1})
+    config = training.ModelConfig("regression", "xgboost", {"n_estimators": 1, "max_depth": 1})
     encoder = stages.create_preprocessor([], ["day_type"], scale=False).fit(train)
     fitted = training.train(config, train, preprocessor=encoder)
     out = attribution.explain_sample(spark, activity(spark, folder), fitted)
@@ -1256,6 +1303,40 @@ def cross_validation(spark, folder):
     )
 
 
+@query
+def linear_folds(spark, folder):
+    """All folds of a linear model with two features from one pass of products."""
+    rows = splits.contiguous_folds(activity(spark, folder), "record_id")
+    encoder = stages.create_preprocessor(["electricity_kwh", "distance_km"], [], scale=False).fit(rows)
+    encoded = training.with_label(encoder.transform(rows), "regression")
+    scores = training.linear_fold_scores(encoded, 5)
+    frame = spark.createDataFrame(list(enumerate(scores)), "fold int, r2 double")
+    # Five rows.
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(F.broadcast(frame), "fold").select("fold", "n", F.round("r2", 5).alias("r2"))
+
+
+@query
+def catalog_cross_validation(spark, folder):
+    """Every named configuration cross-validated on five folds, with fewer trees."""
+    train = train_rows(spark, folder)
+    encoder = stages.create_preprocessor(engineer=True).fit(train)
+    scores = []
+    for name in training.default_configs():
+        config = training.create_config(name, {"hyperparameters": {"n_estimators": 5}})
+        found = training.train(config, train, None, encoder, key="record_id").metrics
+        scores += [(name, i, float(s), float(found["cv_mean"]), float(found["cv_std"])) for i, s in enumerate(found["cv_scores"])]
+    frame = spark.createDataFrame(scores, "name string, fold int, score double, cv_mean double, cv_std double")
+    # The folds' own sizes and what guessing the commonest level would reach.
+    guess = splits.stratified_folds(train, "record_id").groupBy("fold", LEVEL).agg(F.count(F.lit(1)).alias("n"))
+    guess = guess.groupBy("fold").agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("guess"))
+    least = F.when(F.col("name").endswith("_clf"), F.col("guess")).otherwise(F.lit(0.0))
+    return frame.join(F.broadcast(guess), "fold").select(
+        "name", "fold", F.col("score").between(least, F.lit(1.0)).alias("beats_guessing"),
+        (F.abs(F.avg("score").over(Window.partitionBy("name")) - F.col("cv_mean")) < 1e-9).alias("mean_is_mean"),
+    )
+
+
 @query
 def global_explanation(spark, folder):
     config = training.ModelConfig("regression", "random_forest", feature_engineering=False)

@@ -515,11 +515,30 @@ O["cross_validation"] = "select fold, n, round(r2, 5) as r2, round(avg(r2) over
 # What every fit promises, for each record.
 O["rf_regressor"] = "select record_id, true as in_training_range from test"
 O["gbt_regressor"] = f"select count(*) as n, round(avg({Y}),4) as mean_prediction, round(avg({Y}),4) as mean_label from train_only"
-O["robust_regressor"] = "select record_id, true as is_number from test"
+O["robust_regressor"] = "select count(*) as n, true as linear_beats_mean, true as kernel_beats_mean from test"
+O["kernel_svc"] = "select count(*) as n, true as beats_half, count(*) as sum_to_one, true as own_class_likelier from test"
+O["svc_probabilities"] = f"""
+select level, (select count(*) from train_only) as n, count(*) as of_level, 0.0::double as mean_residual, 0.0::double as mean_weighted_residual
+from (select {LV} as level from train_only) group by level
+"""
+CTES["fold_plane"] = f"""
+select fold, (cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) as k1, (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) as k2, m1, m2, my
+from (select a.fold, covar_pop({Y}, electricity_kwh) as cy1, covar_pop({Y}, distance_km) as cy2, covar_pop(electricity_kwh, distance_km) as c12,
+      var_pop(electricity_kwh) as v1, var_pop(distance_km) as v2, avg(electricity_kwh) as m1, avg(distance_km) as m2, avg({Y}) as my
+      from (select distinct fold from folded) a join folded b on a.fold <> b.fold group by a.fold)
+"""
+O["linear_folds"] = f"""
+select fold, count(*) as n, round(1 - sum(({Y} - my - k1 * (electricity_kwh - m1) - k2 * (distance_km - m2)) ** 2) / (var_pop({Y}) * count(*)), 5) as r2
+from folded join fold_plane using (fold) group by fold
+"""
+O["catalog_cross_validation"] = """
+select f || t as name, fold::integer as fold, true as beats_guessing, true as mean_is_mean
+from (values ('random_forest'), ('xgboost'), ('lightgbm')) a(f), (values ('_reg'), ('_clf')) b(t), range(5) r(fold) where (select count(*) from train_only) > 0
+"""
 for _name in ("rf_classifier", "gbt_classifier"):
     O[_name] = "select record_id, true as known_level, true as sums_to_one, true as likeliest from test"
 O["logistic_regression"] = f"select {LV} as level, count(*) as n, true as meets_count from train_only group by {LV}"
-O["linear_svc"] = "select record_id, true as known_level from test"
+O["linear_svc"] = "select record_id, true as known_level, true as sums_to_one from test"
 O["score_level"] = "select record_id, true as known_level, true as confidence_is_its_probability from test"
 O["ensemble_predict"] = "select record_id, true as mean_is_mean, true as weighted_is_between from test"
 O["train_all"] = """
