@@ -247,3 +247,12 @@ def test_votes_without_labels(spark, hard_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in latent_votes.scored(hard_docs, none).collect()} == {0.5}
     assert latent_votes.scored(no_docs, none).count() == 0
+
+
+def test_mixing_keeps_the_number_of_rows(spark):
+    """One text under two sources, repeated rows and null ids."""
+    from dayprint.llm.fair_mix import mixed
+
+    rows = [(1, "same", "a"), (1, "same", "b"), (1, "same", None), (2, "x", "a"), (2, "x", "a"), (None, "y", "a"), (None, "y", "b"), (None, None, "a"), (None, None, None)]
+    got = mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
