@@ -64,13 +64,13 @@ class Grid:
         return cells, np.take_along_axis(sums, first, 1)
 
     def rank(self, u: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """How many cells each vector visits up to the given cell."""
+        """How many cells each vector visits up to the given cell and those as near as it, in whatever order ties come."""
         d1, d2 = self.distances(u)
         k = d2.shape[1]
         rows = np.arange(len(u))
         far = d1[rows, cell // k] + d2[rows, cell % k]
         d2 = np.sort(d2, 1)
-        return np.array([np.searchsorted(d2[r], far[r] - d1[r] - 1e-9, "left").sum() + 1 for r in rows])
+        return np.array([np.searchsorted(d2[r], far[r] - d1[r] + 1e-9, "right").sum() for r in rows])
 
 
 def unit(vectors) -> np.ndarray:
@@ -147,12 +147,13 @@ def _compared(grid, n, threshold):
                 continue
             # a stored vector that would not visit the query's cell gets the link from here
             one, two = np.nonzero(links)
-            _, reach = grid.value.visits(v, n)
-            d1, d2 = grid.value.distances(v)
+            linked = np.unique(two)
+            cells, _ = grid.value.visits(v[linked], n)
+            total = len(grid.value.books[0]) * len(grid.value.books[1])
+            visited = (linked[:, None] * total + cells).reshape(-1)
             home = queries["home"].to_numpy()
-            k = d2.shape[1]
             unseen = np.zeros(links.shape, bool)
-            unseen[one, two] = d1[two, home[one] // k] + d2[two, home[one] % k] > reach[two, -1] + 1e-12
+            unseen[one, two] = ~np.isin(two * total + home[one], visited)
             of_a, of_b = _least(links, a, b)
             some, some_b = links.any(1), links.any(0)
             out.append(pd.DataFrame({"rep": a[some], "other": of_a[some], "n_links": (links @ rows["copies"].to_numpy())[some]}))
@@ -197,8 +198,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     needed = ranks[int(np.searchsorted(met, recall * met[-1]))]["rank"] if ranks else 1
     cells = int(min(k * k, max(LEAST_CELLS, needed)))
 
-    index = stored(reps.select("rep", "copies", "embedding").mapInPandas(_placed(grid), "rep long, copies long, embedding array<float>, cell long"), "index")
-    asked = stored(index.mapInPandas(_asked(grid, cells), "rep long, copies long, embedding array<float>, home long, cell long"), "asked")
+    kind = reps.schema["embedding"].dataType.simpleString()  # as precise as the input
+    index = stored(reps.select("rep", "copies", "embedding").mapInPandas(_placed(grid), f"rep long, copies long, embedding {kind}, cell long"), "index")
+    asked = stored(index.mapInPandas(_asked(grid, cells), f"rep long, copies long, embedding {kind}, home long, cell long"), "asked")
     # crowded cells: stored vectors and queries are dealt out, and each part of one meets each part of the other
     sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / STORED).cast("int").alias("parts"))
     shares = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))
