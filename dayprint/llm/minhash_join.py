@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from dayprint.llm.components import components
 from dayprint.llm.hashing import CHUNK_BYTES, Words, mixed, windows
 from dayprint.llm.store import sized, stored
-from dayprint.llm.words import chunks
+from dayprint.llm.words import chunks, give_back
 
 #: Volume of a block: n-grams plus MEMBER for each text.
 BLOCK = 120_000
@@ -212,18 +212,32 @@ def _verified(threshold: float):
             links = linked(sets, bands, part["block"].to_numpy(), threshold)
             reps = part["rep"].to_numpy()
             out.append(pd.DataFrame({"rep": reps, "other": reps[_least_labels(links)], "n_links": links @ part["copies"].to_numpy()}))
+        give_back()
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "other": [], "n_links": []}, dtype="int64")
 
     return run
 
 
+def _named(classes: DataFrame) -> DataFrame:
+    """Classes (digest, digest2, least, ...) with a name `rep` of their own.
+
+    The name is the class's least doc_id. Where one doc_id has several texts, the text of the least digest keeps it and
+    the others are named by a hash of their digests.
+    """
+    several = classes.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "digest2")).alias("first")).where("n > 1")
+    several = sized(stored(several.select(F.col("least").alias("of"), "first"), "repeated"), 32)
+    own = F.col("first").isNull() | (F.struct("digest", "digest2") == F.col("first"))
+    name = F.when(own, F.col("least")).otherwise(F.xxhash64("digest", "digest2")).alias("rep")
+    return classes.join(several, F.col("least") == F.col("of"), "left").select(*classes.columns, name)
+
+
 def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, n_links of every row of (doc_id, text): its class's least doc_id, and the other rows it is linked to.
 
     Rows are linked if the sets of their `width`-word n-grams have a Jaccard similarity of at least `threshold`; pairs
     below it never are, and those at it are found with probability `recall` or more. Words end at white space, case and
     signs count. Texts without words (null, empty) link with nothing; shorter texts count as one n-gram. Rows with the
-    same words are linked; different texts under one doc_id share its class; a null doc_id links with nothing; further
+    same words are linked; different texts under one doc_id are classes of their own, both named by it; a null doc_id links with nothing; further
     columns are ignored; an empty table gives an empty result.
     """
     bands, rows = bands_for(threshold, recall)
@@ -231,9 +245,10 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     signs = stored(docs.select("doc_id", "text").mapInArrow(_signatures(width, bands, rows), schema), "signatures")
     full = signs.where("n_grams > 0 and doc_id is not null")
     classes = stored(
-        full.groupBy("digest", "digest2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
+        full.groupBy("digest", "digest2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
         "classes",
     )
+    classes = stored(_named(classes), "named")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     meetings = banded.join(met, "band").select(F.col("rep").alias("a"), F.col("least").alias("b"))
@@ -241,8 +256,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     members = classes.drop("bands").join(proposed, F.col("rep") == F.col("node")).drop("node")
     volume = members.groupBy("component").agg(F.ceil(F.sum(F.col("n_grams") + MEMBER) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
-    members = stored(members.join(volume, "component").select("rep", "copies", "component", "blocks", "digest", "digest2", block), "members")
-    chosen = docs.select(F.col("doc_id").alias("rep"), "text").join(sized(members, 64), "rep")
+    members = stored(members.join(volume, "component").select("rep", "least", "copies", "component", "blocks", "digest", "digest2", block), "members")
+    chosen = docs.select(F.col("doc_id").alias("least"), "text").join(sized(members, 72), "least")
     carried = chosen.select("text", "rep", "copies", "component", "blocks", "block", "digest", "digest2")
     sets = carried.mapInArrow(_sets(width, bands, rows), "rep long, copies long, component long, blocks int, block int, grams binary, bands binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -254,9 +269,12 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     found = stored(pairs.groupBy("piece").applyInPandas(_verified(threshold), "rep long, other long, n_links long"), "links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    named = classes.select("digest", "digest2", "rep", "copies").join(links, "rep", "left")
+    # the least doc_id of each component: its name may be a text's hash
+    joined = stored(joined.join(members.select("rep", "least").distinct(), F.col("rep") == F.col("node")).select("node", "component", "least"), "joined")
+    joined = joined.join(joined.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("node", "class_id")
+    named = classes.select("digest", "digest2", "rep", "least", "copies").join(links, "rep", "left")
     named = named.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "digest", "digest2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "digest", "digest2", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     alone = signs.where("n_grams = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.select("doc_id", "digest", "digest2").join(named, ["digest", "digest2"]).select("doc_id", "class_id", "n_links").union(alone)

@@ -212,3 +212,28 @@ def test_visits_are_the_nearest_cells():
     assert np.allclose(far, np.sort(full, 1)[:, :10])
     assert np.allclose(np.take_along_axis(full, cells, 1), far)
     assert (grid.rank(x[:20], grid.cell(x[:20])) == 1).all()
+
+
+def test_two_texts_under_one_id(spark, prose_of):
+    """Near copies of both texts find theirs."""
+    one, two = prose_of(1, 120), prose_of(2, 120)
+    change = lambda t, w: t.replace(t.split()[60], w, 1)
+    rows = [(1, one), (1, two), (2, change(one, "other")), (3, change(two, "thing")), (4, prose_of(3, 120))]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
+
+
+@pytest.mark.parametrize("step, kind", [(1e-4, "float"), (1e-9, "double")])
+def test_ties_between_cells(spark, step, kind):
+    """Vectors that lie as near to several centroids: every link counts for both sides."""
+    rows = [(i, [1.0, 0.1 + step * i]) for i in range(5)]
+    got = near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    assert [r["n_links"] for r in got] == [4] * 5 and {r["component_id"] for r in got} == {0}
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair just below the threshold that single precision would lift."""
+    angle = math.acos(0.95) + 1e-9
+    rows = [(0, [1.0, 0.0]), (1, [math.cos(angle), math.sin(angle)])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r["n_links"] for r in got] == [0, 0]
