@@ -22,9 +22,9 @@ from dayprint.llm.hashing import CHUNK_BYTES, Words, mixed, windows
 from dayprint.llm.store import sized, stored
 from dayprint.llm.words import chunks, give_back
 
-#: Volume of a block: n-grams plus MEMBER for each text.
+#: Volume of a block: n-grams plus MEMBER for each text, so that a pair of blocks has fewer than a thousand texts.
 BLOCK = 120_000
-MEMBER = 64
+MEMBER = 256
 
 
 def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
