@@ -1,6 +1,6 @@
 """Profiles of activity tables and of scored batches."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dayprint.constants import (
     DOMAINS,
@@ -12,6 +12,8 @@ from dayprint.constants import (
 )
 from dayprint.functions.text import text_list
 from dayprint.operators.order_statistics import exact_quantiles, long_numeric
+from dayprint.operators.splits import HASH_DIGITS, hash_number, key_hash
+from dayprint.sources.workdir import materialise
 
 CORRELATED = NUMERIC_FEATURES + [FOOTPRINT]
 CATEGORICALS = ["day_type", "transport_mode", "food_type", LEVEL]
@@ -200,6 +202,38 @@ def scatter_grid(
     )
 
 
+def scatter_sample(
+    df: DataFrame,
+    key: str,
+    k: int,
+    x: str = "renewable_usage_pct",
+    y: str = FOOTPRINT,
+    stratum: str = LEVEL,
+) -> DataFrame:
+    """Real points for a scatter plot: of each stratum the ``k`` rows with the least key hashes.
+
+    Hashes are spread evenly, so a stratum of n rows has its k least ones below
+    a share of k / n, and a margin of six deviations more, of their range. Only the
+    few rows below that limit are ranked; the table is not sorted. A stratum where
+    the limit turns out too low is taken whole. Rows without x or y are no points;
+    rows with one key are ordered by x and y.
+    """
+    points = df.where(f"{x} is not null and {y} is not null").selectExpr(
+        key, stratum, x, y, f"{key_hash(key)} as digest", f"{hash_number(key_hash(key))} / pow(16D, {HASH_DIGITS}) as place"
+    )
+    margin = f"({k} + 6 * sqrt({k}D) + 6)"
+    sizes = points.groupBy(F.expr(f"{stratum} as of")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per stratum; strata are counted again below their limit.
+    limits = F.broadcast(materialise(sizes.selectExpr("of", f"{margin} / n as most"), "limits"))
+    near = points.join(limits, F.expr(f"{stratum} <=> of"))
+    below = near.groupBy("of").agg(F.count_if(F.col("place") < F.col("most")).alias("found"))
+    settled = limits.join(below.withColumnRenamed("of", "found_of"), F.expr("of <=> found_of"))
+    settled = settled.selectExpr("of", f"if(found >= {k}, most, 2D) as most")
+    order = Window.partitionBy(stratum).orderBy("digest", key, x, y)
+    chosen = points.join(F.broadcast(settled), F.expr(f"{stratum} <=> of and place < most"))
+    return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, stratum, x, y, "rank")
+
+
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Long profile (section, name, value): size, target statistics, counts."""
     sizes = df.agg(

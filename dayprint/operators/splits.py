@@ -17,7 +17,7 @@ def key_hash(key: str, seed: int = SEED) -> str:
     return f"md5(concat(string({key}), ':{seed}'))"
 
 
-def _hash_number(digest: str) -> str:
+def hash_number(digest: str) -> str:
     return f"bigint(conv(substr({digest}, 1, {HASH_DIGITS}), 16, 10))"
 
 
@@ -60,7 +60,7 @@ def stratified_split(
         stratum,
         f"{key} as key",
         f"{digest} as digest",
-        f"{_hash_number(digest)} as number",
+        f"{hash_number(digest)} as number",
     )
     size = f"bigint(round(n * {float(test_size)!r}D))"
     last_rank = f"filter(array({size} - 1), r -> r >= 0)"
@@ -92,7 +92,7 @@ def stratified_split(
 def _ordered_key(df: DataFrame, key: str) -> str:
     """A number to lay rows out by: the key itself, or its hash when it is text."""
     kind = df.selectExpr(key).schema[0].dataType
-    return key if isinstance(kind, T.NumericType) else _hash_number(key_hash(key))
+    return key if isinstance(kind, T.NumericType) else hash_number(key_hash(key))
 
 
 def _fold_from_ends(df: DataFrame, key: str, ends: DataFrame, match: str, folds: int) -> DataFrame:

@@ -1517,6 +1517,11 @@ def scatter_grid(spark, folder):
     return profile.scatter_grid(activity(spark, folder))
 
 
+@query
+def scatter_sample(spark, folder):
+    return profile.scatter_sample(activity(spark, folder), "record_id", 100)
+
+
 @query
 def dataset_profile(spark, folder):
     return rounded(profile.dataset_profile(activity(spark, folder)))

@@ -841,6 +841,10 @@ O["segment_means"] = " union all ".join(
     for c, m in [("transport_mode", Y), ("food_type", Y), ("day_type", Y), (LV, "renewable_usage_pct")]
 )
 O["scatter_grid"] = f"select floor(renewable_usage_pct/5)*5 as x, floor({Y}) as y, count(*) as n from activity group by all"
+O["scatter_sample"] = f"""
+select record_id, {LV}, renewable_usage_pct, {Y}, cast(row_number() over (partition by {LV} order by md5(record_id::varchar || ':42'), record_id) as integer) as rank
+from activity where renewable_usage_pct is not null and {Y} is not null qualify rank <= 100
+"""
 O["dataset_profile"] = " union all ".join(
     [
         "select 'size' as section, 'n_samples' as name, count(*)::double as value from activity",

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,3 +395,18 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(Session())
+
+
+def test_scatter_sample_takes_the_least_hashes(spark):
+    """A large stratum through its limit, a small one and a null one whole, rows without a value left out."""
+    rows = [(i, "Low" if i % 10 else "High", float(i), 1.0) for i in range(3000)]
+    rows += [(5000 + i, None, 1.0, 2.0) for i in range(3)] + [(6000, "Low", None, 1.0)]
+    df = spark.createDataFrame(rows, f"record_id long, {LEVEL} string, renewable_usage_pct double, {FOOTPRINT} double")
+    got = {(r[LEVEL], r["rank"]): r["record_id"] for r in profile.scatter_sample(df, "record_id", 40).collect()}
+    want = {}
+    for level in ("Low", "High", None):
+        keys = [i for i, s, x, _ in rows if s == level and x is not None]
+        keys.sort(key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+        want.update({(level, n + 1): i for n, i in enumerate(keys[:40])})
+    assert got == want and len(got) == 83
+    assert profile.scatter_sample(df.limit(0), "record_id", 5).count() == 0
