@@ -17,7 +17,7 @@ def con():
 # Fits of hundreds of boosted trees take minutes even on few rows; check.py runs
 # them, and test_models.py fits the same families with fewer trees. The text
 # operators have tests of their own.
-SLOW = {"gbt_regressor", "gbt_classifier", "train_all", "model_catalog"}
+SLOW = {"gbt_regressor", "gbt_classifier", "train_all", "model_catalog", "catalog_cross_validation"}
 OWN_TESTS = {n for n in entry.queries() if n not in QUERIES}
 
 
