@@ -1,15 +1,13 @@
-"""Exact order statistics and quantiles without a global sort.
-
-The wanted ranks are narrowed down by counting: each round splits the value
-span that holds a rank into bins and keeps the one bin with the rank. A round
-moves only (keys, bin, count) rows, combined before the shuffle, so its cost
-does not depend on how many rows share a key. Bins are equal on a logarithmic
-scale of both signs while a span covers more than a factor of two, and equal
-in width below that; a bin's own least and largest value are the next span.
-Rounds go on until every span holds one value or at most FEW rows, which is
-read off the small table of spans; those are ordered. One round reaches a
-factor of two from any span of doubles, and each further one divides the width
-by BINS, so at most six rounds are needed whatever the distribution.
+"""Exact order statistics and quantiles in two passes over the rows, without a global sort.
+
+The first pass counts the rows of every key and summarises their values in a mergeable rank sketch (the summary behind
+``percentile_approx``), which gives cut points with a known error in rank. Every wanted rank then lies in a bracket of a
+few neighbouring cut points. The second pass counts the rows outside the brackets, and the rows of every value inside
+them; about ``4 / STEPS`` of the rows lie inside for each wanted rank, and that tally is stored. All the rest happens on
+the tally: the counts say which ranks each bracket really holds (if one missed its rank, the whole span of values is
+tallied instead), and brackets with more than FEW rows are narrowed by rounds of BINS bins until a span holds one value
+or at most FEW rows, which are ordered. Bins are equal on a logarithmic scale of both signs while a span covers more than
+a factor of two, and equal in width below that, so at most six rounds are needed whatever the distribution.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,11 +17,14 @@ from dayprint.sources.workdir import materialise
 BINS = 8192
 # Rows of a span that may be ordered against each other.
 FEW = 10_000
+# Cut points of the sketch; its error in rank is half a step.
+STEPS = 2000
 _LARGEST = "1.7976931348623157E308D"
+_GRID = "array(" + ", ".join(f"{i / STEPS!r}D" for i in range(STEPS + 1)) + ")"
 
 
 def rank_targets(df: DataFrame, keys: list[str], value: str, ranks: str) -> DataFrame:
-    """Value span, row count ``n`` and wanted 0-based ``ranks`` per key.
+    """Value span, row count ``n``, cut points and wanted 0-based ``ranks`` per key.
 
     ``ranks`` is SQL text over ``n`` that gives an array of bigint. Null and
     NaN have no rank.
@@ -35,6 +36,7 @@ def rank_targets(df: DataFrame, keys: list[str], value: str, ranks: str) -> Data
             F.expr(f"min({number}) as lo"),
             F.expr(f"max({number}) as hi"),
             F.expr(f"count({number}) as n"),
+            F.expr(f"percentile_approx({number}, {_GRID}, {2 * STEPS}) as cuts"),
         )
         .withColumn("ranks", F.expr(ranks))
     )
@@ -89,6 +91,50 @@ def _bin(value: str, bins: int) -> str:
         else coalesce(greatest(least(floor({share} * {bins}), {bins - 1}), 0), 0) end as bin"""
 
 
+# Brackets of neighbouring cut points around the wanted ranks, joined where they meet: array of (lo, hi), rising. A rank's
+# share of the rows is off by half a step at most in the sketch, so one step more on each side is room enough.
+_NEAR = f"""transform(filter(ranks, r -> r >= 0 and r < n), r -> struct(
+    cuts[int(greatest(floor(r / n * {STEPS}) - 1, 0))] as lo,
+    cuts[int(least(ceil((r + 1) / n * {STEPS}) + 1, {STEPS}))] as hi))"""
+_BRACKETS = f"""aggregate(array_sort(array_distinct({_NEAR})), slice({_NEAR}, 1, 0), (done, x) ->
+    case when size(done) > 0 and element_at(done, -1).hi >= x.lo
+    then concat(slice(done, 1, size(done) - 1),
+        array(struct(element_at(done, -1).lo as lo, greatest(element_at(done, -1).hi, x.hi) as hi)))
+    else concat(done, array(x)) end)"""
+_WHOLE = "array(struct(lo, hi))"
+
+
+def _tally(df: DataFrame, targets: DataFrame, keys: list[str], value: str, brackets: str) -> DataFrame:
+    """Second pass: ``cnt`` per key, place and, in odd places (inside a bracket), value."""
+    small = F.broadcast(
+        targets.withColumn("b", F.expr(brackets)).selectExpr(
+            *[f"{k} as span_{k}" for k in keys], "transform(b, x -> x.lo) as los", "transform(b, x -> x.hi) as his"
+        )
+    )
+    place = f"size(filter(los, e -> {value} >= e)) + size(filter(his, e -> {value} > e)) as place"
+    placed = df.join(small, F.expr(" and ".join(f"{k} = span_{k}" for k in keys))).selectExpr(*keys, value, place)
+    inside = F.expr(f"if(place % 2 = 1, {value}, null) as {value}")
+    return materialise(placed.groupBy(*keys, "place", inside).agg(F.expr("count(1) as cnt")), "tally")
+
+
+def _first_spans(tally: DataFrame, targets: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The brackets with the wanted ranks that they really hold."""
+    places = tally.groupBy(*keys, "place").agg(
+        F.expr("sum(cnt) as cnt"), F.expr(f"min({value}) as lo"), F.expr(f"max({value}) as hi")
+    )
+    before = f"""sum(cnt) over (partition by {", ".join(keys)} order by place
+        rows between unbounded preceding and 1 preceding)"""
+    wanted = F.broadcast(targets.select(*keys, "n", "ranks"))
+    return (
+        places.withColumn("below", F.expr(f"coalesce({before}, 0)"))
+        .where("place % 2 = 1")
+        .join(wanted, keys)
+        .withColumn("ranks", F.expr("filter(ranks, r -> r >= below and r < below + cnt)"))
+        .where("size(ranks) > 0")
+        .select(*keys, "lo", "hi", "below", "n", "ranks", "cnt")
+    )
+
+
 def order_statistics(
     df: DataFrame,
     keys: list[str],
@@ -99,33 +145,47 @@ def order_statistics(
 ) -> DataFrame:
     """Values at the wanted ranks: one row per key and rank.
 
-    ``keys`` must come from closed domains (categories, column names), because
-    the spans being narrowed are broadcast; more than ``MOST_SPANS`` of them
-    are refused. Null and NaN values have no rank.
-    Returns the keys, ``n``, ``rank`` and ``value``.
+    ``targets`` comes from ``rank_targets`` over the same rows. ``keys`` must
+    come from closed domains (categories, column names), because the spans
+    being narrowed are broadcast; more than ``MOST_SPANS`` of them are refused.
+    Null and NaN values have no rank. Rows are read once here, whatever the
+    number of rounds. Returns the keys, ``n``, ``rank`` and ``value``.
     """
-    df = df.select(*keys, value).where(f"not isnan({value})")
-    spans = materialise(targets.withColumn("below", F.expr("0L")).withColumn("cnt", F.col("n")), "spans")
+    df = df.select(*keys, value).where(f"{value} is not null and not isnan({value})")
+    targets = materialise(targets, "targets")
+    valid = "coalesce(sum(size(filter(ranks, r -> r >= 0 and r < n))), 0)"
+    size = targets.agg(F.count(F.lit(1)), F.expr(valid)).first()
+    if size[0] > MOST_SPANS:
+        raise ValueError(f"{size[0]} keys; order statistics need keys of a closed domain")
+    for brackets in (_BRACKETS, _WHOLE):
+        tally = _tally(df, targets, keys, value, brackets)
+        spans = materialise(_first_spans(tally, targets, keys, value), "spans")
+        # The sketch rounds whole numbers beyond 2**53, so its brackets are checked.
+        if spans.agg(F.expr("coalesce(sum(size(ranks)), 0)")).first()[0] == size[1]:
+            break
+    inside = tally.where("place % 2 = 1").drop("place")
     for _ in range(8):
-        left = spans.agg(F.count(F.lit(1)), F.expr(f"count_if(cnt > {few} and lo < hi and size(ranks) > 0)")).first()
+        left = spans.agg(F.count(F.lit(1)), F.expr(f"count_if(cnt > {few} and lo < hi)")).first()
         if left[0] > MOST_SPANS:
             raise ValueError(f"{left[0]} spans; order statistics need keys of a closed domain")
         if not left[1]:
             break
         counts = (
-            _in_span(df, spans, keys, value)
+            _in_span(inside, spans, keys, value)
             .groupBy(*keys, *_SPAN, F.expr(_bin(value, bins)))
             .agg(
-                F.expr("count(1) as cnt"),
+                F.expr("sum(cnt) as cnt"),
                 F.expr(f"min({value}) as bin_lo"),
                 F.expr(f"max({value}) as bin_hi"),
             )
         )
         spans = materialise(_keep_hit_bins(counts, keys, "bin"), "spans")
+    else:
+        raise RuntimeError("spans of values could not be narrowed in eight rounds")
     distinct_values = (
-        _in_span(df, spans, keys, value)
+        _in_span(inside, spans, keys, value)
         .groupBy(*keys, *_SPAN, F.expr(f"{value} as bin_lo"))
-        .agg(F.expr("count(1) as cnt"), F.expr(f"max({value}) as bin_hi"))
+        .agg(F.expr("sum(cnt) as cnt"), F.expr(f"max({value}) as bin_hi"))
     )
     return _keep_hit_bins(distinct_values, keys, "bin_lo").selectExpr(
         *keys, "n", "explode(ranks) as rank", "lo as value"

@@ -115,8 +115,9 @@ def test_wide_distributions_stay_narrow(spark, kind, monkeypatch):
     df = spark.createDataFrame(__import__("pandas").DataFrame({"v": values})).withColumn("g", F.lit("all"))
     df = df.union(spark.createDataFrame([(float("nan"), "all"), (None, "all")], "v double, g string"))
     spans = []
-    kept = order_statistics_module._keep_hit_bins
-    monkeypatch.setattr(order_statistics_module, "_keep_hit_bins", lambda c, k, o: spans.append(kept(c, k, o)) or spans[-1])
+    for name in ("_first_spans", "_keep_hit_bins"):
+        kept = getattr(order_statistics_module, name)
+        monkeypatch.setattr(order_statistics_module, name, lambda *a, kept=kept: spans.append(kept(*a)) or spans[-1])
     (row,) = exact_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()
     assert row["n"] == 300_000
     assert [row["q1"], row["median"], row["q3"]] == pytest.approx(np.percentile(values, [25, 50, 75]).tolist(), rel=1e-12)
@@ -146,3 +147,32 @@ def test_folds_of_text_keys_and_rows_without_a_key(spark):
     for folded in (contiguous_folds(df, "k"), stratified_folds(df, "k")):
         folds = [r["fold"] for r in folded.collect()]
         assert len(folds) == 300 and set(folds) == set(range(5))
+
+
+def test_rows_are_read_twice_and_few_are_kept(spark, monkeypatch):
+    """One pass for the sketch, one for the tally; the tally is a small part of the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return float(x * 7919 % 100_003)
+
+    kept = []
+    tally = order_statistics_module._tally
+    monkeypatch.setattr(order_statistics_module, "_tally", lambda *a: kept.append(tally(*a)) or kept[-1])
+    df = spark.range(0, 100_000, 1, 4).select(F.lit("a").alias("g"), watched.asNondeterministic()("id").alias("v"))
+    (row,) = exact_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()
+    want = np.percentile([float(x * 7919 % 100_003) for x in range(100_000)], [25, 50, 75])
+    assert [row["q1"], row["median"], row["q3"]] == pytest.approx(want.tolist(), rel=1e-12)
+    assert seen.value == 200_000
+    assert len(kept) == 1 and kept[0].count() < 2_000
+
+
+def test_long_values_beyond_doubles(spark):
+    """The sketch rounds them; the counts of the second pass do not."""
+    base = 2**60
+    df = spark.range(500).selectExpr("'a' as g", f"{base}L + id % 300 as v")
+    found = order_statistics(df, ["g"], "v", rank_targets(df, ["g"], "v", "array(0L, 250L, n - 1)"))
+    values = sorted(base + i % 300 for i in range(500))
+    assert {r["rank"]: r["value"] for r in found.collect()} == {k: values[k] for k in (0, 250, 499)}
