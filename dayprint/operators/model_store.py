@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from dayprint.constants import LEVEL, LEVELS, REQUIRED_ARTEFACTS
 from dayprint.operators.training import ModelConfig, TrainedModel
 from dayprint.schema import METRIC_SCHEMA
+from dayprint.sources.published import new_part, part_path, publish, published
 
 REGISTRY_SCHEMA = T.StructType(
     [
@@ -100,6 +101,52 @@ def save_models(
         save_model(spark, models[name], folder, f"best_{task}_model")
 
 
+def publish_models(
+    spark: SparkSession,
+    models: dict[str, TrainedModel],
+    folder: str,
+    best: dict[str, str] | None = None,
+    metrics: DataFrame | None = None,
+) -> str:
+    """Save a whole set as a new version of ``folder`` and gives its name.
+
+    The version is visible once everything, its metrics too, is written.
+    Earlier versions stay as they are, for readers that hold on to them.
+    """
+    version = new_part()
+    path = part_path(folder, version)
+    save_models(spark, models, path, best)
+    if metrics is not None:
+        write_metrics(metrics, f"{path}/metrics")
+    publish(spark, folder, version)
+    return version
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Versions of a model folder in the order of their publication; the last one is current."""
+    return published(spark, folder)
+
+
+def roll_back(spark: SparkSession, folder: str, version: str) -> None:
+    """Make an earlier version the current one."""
+    if version not in versions(spark, folder):
+        raise ValueError(f"No such version: {version}")
+    publish(spark, folder, version)
+
+
+def version_path(spark: SparkSession, folder: str, version: str | None = None) -> str:
+    """Where a version (the current one by default) lies; a reader keeps this path while it works.
+
+    A folder without versions is a plain set of saved models.
+    """
+    known = versions(spark, folder)
+    if version is None:
+        return part_path(folder, known[-1]) if known else folder
+    if version not in known:
+        raise ValueError(f"No such version: {version}")
+    return part_path(folder, version)
+
+
 def load_all(spark: SparkSession, folder: str) -> dict[str, TrainedModel]:
     """Every saved model; the best ones are named ``best_<task>``."""
     found = {}

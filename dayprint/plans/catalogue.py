@@ -28,7 +28,7 @@ from dayprint.sources import files
 from dayprint.sources.activity import EVENTS_SCHEMA, activity, activity_raw, from_events
 from dayprint.sources.samples import sample_suggestions
 from dayprint.sources.workdir import materialise, new_folder
-from dayprint.streaming.score_stream import read_stream, score_stream
+from dayprint.streaming.score_stream import read_stream, running_counts, score_stream, score_stream_once, scored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,33 @@ def save_load_models(spark, folder):
     )
 
 
+@query
+def model_versions(spark, folder):
+    """A reader that holds the first version, and one that comes after the second was published."""
+    rows = baseline.split_activity(activity(spark, folder))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    store = new_folder(spark, "versions")
+
+    def publish(column: str) -> str:
+        encoder = stages.create_preprocessor([column], []).fit(train)
+        config = training.ModelConfig("regression", "linear_regression")
+        fitted = training.train(config, train, preprocessor=encoder)
+        return model_store.publish_models(spark, {fitted.name: fitted}, store)
+
+    publish("electricity_kwh")
+    held = model_store.version_path(spark, store)
+    publish("distance_km")
+    read = []
+    for version, path in enumerate((held, model_store.version_path(spark, store)), 1):
+        model = model_store.load_all(spark, path)["regression_linear_regression"]
+        read.append(
+            model.predict(test).select(
+                F.lit(version).alias("version"), "record_id", F.round(f"{FOOTPRINT}_predicted", 5).alias("prediction")
+            )
+        )
+    return read[0].unionByName(read[1])
+
+
 def baseline_metrics(spark, folder) -> DataFrame:
     """Tidy test metrics of both simple models."""
     rows = baseline.long_predictions(activity(spark, folder)).where("split = 'test'")
@@ -872,6 +899,30 @@ def score_distinct(spark, folder):
     return rounded(scored.select("record_id", FOOTPRINT, LEVEL))
 
 
+def _two_batches(spark, folder) -> list[tuple[DataFrame, DataFrame]]:
+    """Rows of even and of odd days scored one after the other through one cache, and their figures."""
+    rows = activity(spark, folder).withColumn("distance_km", F.floor(F.col("distance_km") / 10) * 10.0)
+    columns = ["transport_mode", "food_type", "distance_km", "renewable_usage_pct"]
+    scorer = baseline.segment_scorer(train_rows(spark, folder))
+    cache = scoring.ResultCache(spark, new_folder(spark, "result-cache"), "segments", columns)
+    rows = rows.drop(FOOTPRINT, LEVEL)
+    return [cache.score(rows.where(F.dayofmonth("activity_date") % 2 == day), scorer) for day in (0, 1)]
+
+
+@query
+def cached_scores(spark, folder):
+    """Rows of both batches; the second one scores only inputs that the first has not met."""
+    (first, _), (second, _) = _two_batches(spark, folder)
+    both = first.unionByName(second)
+    return rounded(both.select("record_id", FOOTPRINT, LEVEL))
+
+
+@query
+def cache_statistics(spark, folder):
+    figures = [f.withColumn("batch", F.lit(i)) for i, (_, f) in enumerate(_two_batches(spark, folder))]
+    return rounded(figures[0].unionByName(figures[1]))
+
+
 @query
 def repeat_statistics(spark, folder):
     rows = activity(spark, folder)
@@ -1023,6 +1074,36 @@ def stream_score(spark, folder):
     )
 
 
+def _replayed_stream(spark, folder) -> str:
+    """All events arrive twice; the folder of the rows and counts."""
+    scorer = baseline.segment_scorer(train_rows(spark, folder), store=True)
+
+    def score(events: DataFrame) -> DataFrame:
+        scored = scorer(from_events(events).drop(FOOTPRINT, LEVEL))
+        return scored.select("record_id", F.round(FOOTPRINT, 6).alias(FOOTPRINT), LEVEL)
+
+    def arriving() -> DataFrame:
+        return read_stream(spark, folder, EVENTS_SCHEMA, "parquet", "events.parquet")
+
+    records = arriving().unionByName(arriving()).withColumn("event_time", F.col("ts").cast("timestamp"))
+    output = new_folder(spark, "stream-once")
+    score_stream_once(records, score, output, "event_id", "event_time").awaitTermination()
+    return output
+
+
+@query
+def stream_score_once(spark, folder):
+    schema = f"record_id long, {FOOTPRINT} double, {LEVEL} string"
+    return scored_once(spark, _replayed_stream(spark, folder), schema).drop("batch")
+
+
+@query
+def stream_level_counts(spark, folder):
+    """Running counts after the last micro-batch with records of the level."""
+    counts = running_counts(spark, _replayed_stream(spark, folder))
+    return counts.groupBy(LEVEL).agg(F.max_by("total", "batch").alias("total"))
+
+
 # --- Row rules ---------------------------------------------------------------
 
 

@@ -340,6 +340,11 @@ select record_id, pf as {Y}, pl as {LV}, {decimal_round('(rc+cc)/2', 6)} as conf
 """
 _line = f"(select regr_intercept({Y}, electricity_kwh) from sp where split='train') + (select regr_slope({Y}, electricity_kwh) from sp where split='train')*electricity_kwh"
 O["save_load_models"] = f"select record_id, round({_line},5) as prediction from sp where split='test'"
+_far = _line.replace("electricity_kwh", "distance_km")
+O["model_versions"] = f"""
+select v::int as version, record_id, round(case v when 1 then {_line} else {_far} end, 5) as prediction
+from sp cross join (values (1), (2)) t(v) where split='test'
+"""
 O["metrics_store"] = "select * from base_metrics"
 _required = ["regression_linear", "regression_segment", "preprocessor", "label_encoder",
              "best_regression_model", "best_classification_model"]
@@ -579,6 +584,16 @@ from (select covar_pop({Y}, electricity_kwh) as cy1, covar_pop({Y}, distance_km)
 """
 O["kernel_linear"] = "select record_id, round(k1 * (electricity_kwh - m1), 4) as share_electricity, round(k2 * (distance_km - m2), 4) as share_distance from activity, plane"
 O["score_distinct"] = f"select record_id, segment_mean as {Y}, {level_of('segment_mean')} as {LV} from activity left join seg using (transport_mode, food_type)"
+O["cached_scores"] = O["score_distinct"]
+CTES["seen"] = """
+select day(activity_date) % 2 as batch, transport_mode, food_type, floor(distance_km/10) as d, renewable_usage_pct, count(*) as n from activity group by all
+"""
+O["cache_statistics"] = """
+select batch::int as batch, sum(n)::bigint as rows, count(*) as distinct_inputs, count(*) filter (hit) as hits,
+ count(*) filter (not hit) as misses, round(count(*) filter (hit) / count(*), 6) as hit_rate
+from (select *, batch = 1 and count(*) over (partition by transport_mode, food_type, d, renewable_usage_pct) = 2 as hit from seen)
+group by 1
+"""
 O["repeat_statistics"] = """
 select sum(n)::bigint as rows, count(*) as distinct_inputs, sum(n-1)::bigint as hits, round(sum(n-1)/sum(n),6) as hit_rate
 from (select count(*) as n from activity group by day_type, transport_mode, food_type, eco_actions)
@@ -628,6 +643,11 @@ O["stream_score"] = f"""
 select record_id, pf as {Y}, pl as {LV}, {decimal_round(f"({bell('pf', 'm', 's', 'lo', 'hi')}+cc)/2", 6)} as confidence from clean_scored cross join stats
 """
 
+O["stream_score_once"] = O["score_distinct"]
+O["stream_level_counts"] = f"""
+select {LV}, count(*) as total from ({O["score_distinct"]}) group by 1
+"""
+
 O["suggestions_core"] = f"select record_id, to_json({suggestion_list(LV, 'core')})::varchar as suggestions from activity"
 O["suggestions_service"] = f"select record_id, to_json({suggestion_list(LV, 'service')})::varchar as suggestions from activity"
 O["contributions"] = "select record_id, feature, value from core_parts"

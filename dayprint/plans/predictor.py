@@ -30,7 +30,9 @@ class Predictor:
     metrics: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> "Predictor":
+    def load(cls, spark: SparkSession, folder: str, version: str | None = None) -> "Predictor":
+        """The current version of a model folder, or the one named; later publications do not change it."""
+        folder = model_store.version_path(spark, folder, version)
         metrics = model_store.read_metrics(spark, f"{folder}/metrics")
         found = metrics.where("task = 'target' and model = 'profile'")
         # At most four rows.

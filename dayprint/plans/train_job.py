@@ -50,7 +50,7 @@ def run(
     algorithms: tuple[str, ...] = TRAIN_ALL,
     hyperparameters: dict | None = None,
 ) -> dict[str, TrainedModel]:
-    """Train and save everything under ``output_dir``; gives the models.
+    """Train and publish everything as a new version of ``output_dir``; gives the models.
 
     ``key`` identifies a row and decides its side of the split.
     """
@@ -67,11 +67,9 @@ def run(
         "regression": choose_best(metrics, "regression", "r2"),
         "classification": choose_best(metrics, "classification", "accuracy"),
     }
-    model_store.save_models(
-        spark, models, output_dir, {task: f"{task}_{name}" for task, name in best.items()}
-    )
     stored = spark.createDataFrame(metrics).unionByName(target_profile(train))
-    model_store.write_metrics(stored, f"{output_dir}/metrics")
+    names = {task: f"{task}_{name}" for task, name in best.items()}
+    model_store.publish_models(spark, models, output_dir, names, stored)
     return models
 
 
