@@ -23,7 +23,7 @@ def rows(spark):
 
 
 @pytest.fixture(scope="module")
-def store(spark, rows, tmp_path_factory):
+def model_folder(spark, rows, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("models"))
     train_job.run(
         spark, train_job.prepare_features(rows.drop("split")), folder, "record_id",
@@ -33,8 +33,13 @@ def store(spark, rows, tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def predictor(spark, store):
-    return Predictor.load(spark, store)
+def store(spark, model_folder):
+    return model_store.version_path(spark, model_folder)
+
+
+@pytest.fixture(scope="module")
+def predictor(spark, model_folder):
+    return Predictor.load(spark, model_folder)
 
 
 def test_store_is_complete(spark, store):
