@@ -123,3 +123,17 @@ def test_pack(hard_docs, no_docs):
     long = rows[rows["doc_id"] == 6].sort_values("piece")
     assert np.frombuffer(b"".join(long["ids"]), "<u4").tolist() == library_ids(next(r["text"] for r in texts if r["doc_id"] == 6)) + [0]
     assert pack(no_docs, vocabulary()).count() == 0
+
+
+def test_plain_words_with_marks_equal_the_library():
+    """Words that are cut as a column: letters, one mark, several marks, marks alone, and what looks like them."""
+    from tokenizers import Tokenizer
+
+    from dayprint.llm.words import WordTokenizer
+
+    coder, library = WordTokenizer(vocabulary()), Tokenizer.from_file(vocabulary())
+    texts = ["", None, "Word word, WORD. word! word? word; word: a, I", "word,, word.!? ... , , x1, 1. it's, don't. É, été. <|endoftext|>.", "q" * 5000 + ",", "\t \n", "a.b, c,d ,e"]
+    for batch in (texts, texts[::-1], [], [None], [""]):
+        ids, n = coder.encode(pa.array(batch, pa.string()))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in batch]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
