@@ -2,8 +2,13 @@
 
 Each half of the vectors has its own codebook; a vector lies in the cell (i, j) of the product grid given by its nearest
 centroids. A query visits cells in the order of rising distance d1[i] + d2[j] (the multi-sequence order) up to a number
-of cells learnt beforehand: exact neighbours of a bounded sample of queries among all rows tell how many cells reach the
-target recall. Vectors met in visited cells are compared by their cosine in double precision.
+of cells learnt beforehand. Vectors met in visited cells are compared by their cosine in double precision; each pair is
+looked for from both sides.
+
+The number of cells rests on two kinds of evidence. Real: a sample of queries is compared with all rows, itself left
+out, and each query that has neighbours counts alike. Made: beside each sampled vector a partner is set in a random
+direction at exactly the threshold, the farthest that a link can be. With ENOUGH real queries the visits reach the
+target recall on them and FLOOR on made partners; with fewer they reach the target on made partners too.
 """
 
 from __future__ import annotations
@@ -16,11 +21,16 @@ from pyspark.sql import functions as F
 from dayprint.llm.components import components
 from dayprint.llm.store import sized, stored
 
-#: Vectors that the codebooks are fitted on, and queries that the number of visited cells is learnt from.
-FIT_ROWS, TRIAL_QUERIES = 20_000, 512
+#: Vectors that the codebooks are fitted on.
+FIT_ROWS = 20_000
+#: Queries of a first and, where few of them have neighbours, of a second trial, and how many with neighbours are enough.
+TRIALS, ENOUGH = (2048, 8192), 100
+#: Recall that partners at the threshold must have even where real neighbours are found in fewer cells.
+FLOOR = 0.9
+#: Numbers that one step of a task holds at once.
+STEP = 4_000_000
 #: Rows of a cell that one piece of work compares: stored vectors, queries.
 STORED, ASKED = 1024, 2048
-LEAST_CELLS = 8
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -51,6 +61,12 @@ class Grid:
 
     def visits(self, u: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest n cells of each vector, nearest first, and their distances."""
+        # about n * log(n) sums are held for each vector
+        rows = max(1, int(STEP / (n * (1 + np.log(n)))))
+        parts = [self._visits(u[i : i + rows], n) for i in range(0, max(len(u), 1), rows)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _visits(self, u: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         d1, d2 = self.distances(u)
         o1, o2 = (np.argsort(d, 1, kind="stable")[:, :n] for d in (d1, d2))
         s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
@@ -91,31 +107,72 @@ def _placed(shared):
 
 
 def _trial_ranks(grid, queries, threshold):
+    """(query, rank, n): how many neighbours of each trial query lie in the cell that it visits at this rank."""
+
     def run(frames):
-        q = queries.value
-        total: dict[int, int] = {}
+        keys, q = queries.value
         for f in frames:
-            if not len(f):
-                continue
-            u = unit(f["embedding"])
-            mine, other = np.nonzero(q @ u.T >= threshold)
-            if len(mine):
-                cells = grid.value.cell(u)[other]
-                for r, n in zip(*np.unique(grid.value.rank(q[mine], cells), return_counts=True)):
-                    total[int(r)] = total.get(int(r), 0) + int(n)
-        yield pd.DataFrame({"rank": list(total), "n": list(total.values())}, dtype="int64")
+            step = max(1, STEP // len(q))
+            for part in (f.iloc[i : i + step] for i in range(0, len(f), step)):
+                u, key = unit(part["embedding"]), part["key"].to_numpy()
+                mine, other = np.nonzero(q @ u.T >= threshold)
+                real = keys[mine] != key[other]
+                mine, other = mine[real], other[real]
+                if not len(mine):
+                    continue
+                pairs, n = np.unique(np.stack([mine, grid.value.cell(u)[other]]), axis=1, return_counts=True)
+                yield pd.DataFrame({"query": pairs[0], "rank": grid.value.rank(q[pairs[0]], pairs[1]), "n": n})
 
     return run
 
 
-def _asked(grid, n):
+def partner_ranks(grid: Grid, q: np.ndarray, threshold: float, seed: int = 7) -> np.ndarray:
+    """Cells to visit until each vector and a partner at the threshold, in a random direction, meet from either side."""
+    away = np.random.default_rng(seed).standard_normal(q.shape)
+    away -= (away * q).sum(1)[:, None] * q
+    far = np.linalg.norm(away, axis=1)[:, None]
+    partner = threshold * q + np.sqrt(max(0.0, 1 - threshold**2)) * away / np.where(far > 0, far, 1)
+    return np.minimum(grid.rank(q, grid.cell(partner)), grid.rank(partner, grid.cell(q)))
+
+
+def depth(real: list[tuple[int, float]], queries: int, made: np.ndarray, recall: float) -> int:
+    """The number of visited cells: `real` are (rank, recall gained there) added up over `queries`, `made` ranks of partners."""
+    ranks = np.sort(made)
+    at = lambda share: int(ranks[min(len(ranks) - 1, int(np.ceil(share * len(ranks))) - 1)])
+    needed = at(FLOOR if queries >= ENOUGH else recall)
+    if queries:
+        order = sorted(real)
+        met = np.cumsum([w for _, w in order]) / queries
+        needed = max(needed, order[int(min(np.searchsorted(met, recall - 1e-9), len(met) - 1))][0])
+    return needed
+
+
+def _learnt_depth(reps: DataFrame, grid, total: int, threshold: float, recall: float) -> int:
+    spark = reps.sparkSession
+    for seed, wanted in enumerate(TRIALS):
+        drawn = reps.sample(min(1.0, wanted / total), 11 + seed).limit(2 * wanted).select("key", "embedding").collect() or [reps.select("key", "embedding").first()]
+        q = unit([r["embedding"] for r in drawn])
+        shared = spark.sparkContext.broadcast((np.array([r["key"] for r in drawn], np.int64), q))
+        found = reps.select("key", "embedding").mapInPandas(_trial_ranks(grid, shared, threshold), "query long, rank long, n long")
+        found = stored(found.groupBy("query", "rank").agg(F.sum("n").alias("n")), "trial")
+        each = found.groupBy("query").agg(F.sum("n").alias("all"))
+        queries = each.count()
+        if queries >= ENOUGH or wanted >= total:
+            break
+    # one row for each rank met, as many as there are cells at most
+    real = found.join(F.broadcast(each), "query").groupBy("rank").agg(F.sum(F.col("n") / F.col("all")).alias("gain")).collect()
+    return depth([(r["rank"], r["gain"]) for r in real], queries, partner_ranks(grid.value, q, threshold), recall)
+
+
+def _asked(grid, n, occupied):
     def run(frames):
         for f in frames:
-            if not len(f):
-                continue
-            cells, _ = grid.value.visits(unit(f["embedding"]), n)
-            flat = f.loc[f.index.repeat(cells.shape[1]), ["rep", "copies", "embedding"]]
-            yield flat.assign(home=np.repeat(f["cell"].to_numpy(), cells.shape[1]), cell=cells.reshape(-1))
+            step = max(1, STEP // (64 * n))
+            for part in (f.iloc[i : i + step] for i in range(0, len(f), step)):
+                cells, _ = grid.value.visits(unit(part["embedding"]), n)
+                row, nth = np.nonzero(occupied.value[cells])
+                flat = part.iloc[row][["rep", "copies", "embedding"]]
+                yield flat.assign(home=part["cell"].to_numpy()[row], cell=cells[row, nth])
 
     return run
 
@@ -191,16 +248,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     fit = unit([r[0] for r in reps.sample(min(1.0, FIT_ROWS / total), 5).limit(2 * FIT_ROWS).select("embedding").collect()] or [reps.first()["embedding"]])
     k = int(min(1024, max(4, 2 ** round(np.log2(np.sqrt(total / 16))))))
     grid = spark.sparkContext.broadcast(Grid(fit, k))
-    queries = reps.sample(min(1.0, TRIAL_QUERIES / total), 11).limit(2 * TRIAL_QUERIES).select("embedding").collect()
-    trial = spark.sparkContext.broadcast(unit([r[0] for r in queries]) if queries else fit[:1])
-    ranks = reps.select("embedding").mapInPandas(_trial_ranks(grid, trial, threshold), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    met = np.cumsum([r["n"] for r in ranks])
-    needed = ranks[int(np.searchsorted(met, recall * met[-1]))]["rank"] if ranks else 1
-    cells = int(min(k * k, max(LEAST_CELLS, needed)))
+    cells = min(k * k, _learnt_depth(reps, grid, total, threshold, recall))
 
     kind = reps.schema["embedding"].dataType.simpleString()  # as precise as the input
     index = stored(reps.select("rep", "copies", "embedding").mapInPandas(_placed(grid), f"rep long, copies long, embedding {kind}, cell long"), "index")
-    asked = stored(index.mapInPandas(_asked(grid, cells), f"rep long, copies long, embedding {kind}, home long, cell long"), "asked")
+    # empty cells are not visited; there are k * k cells at most, about a million
+    filled = np.zeros(len(grid.value.books[0]) * len(grid.value.books[1]), bool)
+    filled[[r["cell"] for r in index.select("cell").distinct().collect()]] = True
+    occupied = spark.sparkContext.broadcast(filled)
+    asked = stored(index.mapInPandas(_asked(grid, cells, occupied), f"rep long, copies long, embedding {kind}, home long, cell long"), "asked")
     # crowded cells: stored vectors and queries are dealt out, and each part of one meets each part of the other
     sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / STORED).cast("int").alias("parts"))
     shares = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))
@@ -218,3 +274,39 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     named = reps.select("key", "key2", "rep", "copies").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     named = named.select("key", "key2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.where("key is not null").select("vec_id", "key", "key2").join(named, ["key", "key2"]).select("vec_id", "n_links", "component_id").union(alone)
+
+
+def link_recall(vectors: DataFrame, links: DataFrame, threshold: float = 0.95, every: int = 20) -> tuple[int, int]:
+    """(links found, links there are) of the vectors whose vec_id is divisible by `every`, by exact comparison with all rows.
+
+    `links` is the result of `near_vectors`. Queries are compared in blocks, a brute-force measurement for judging an
+    index; `every` sets its cost. Each vec_id must occur once.
+    """
+    spark = vectors.sparkSession
+    rows = _unit_rows(vectors).where("sound").select("vec_id", "embedding")
+    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).join(links.select("vec_id", "n_links"), "vec_id").orderBy("vec_id")
+    found = there = 0
+    block: list = []
+
+    def compared(block) -> int:
+        ids = np.array([r["vec_id"] for r in block], np.int64)
+        shared = spark.sparkContext.broadcast((ids, unit([r["embedding"] for r in block])))
+
+        def run(frames):
+            ids, q = shared.value
+            for f in frames:
+                step = max(1, STEP // len(q))
+                for part in (f.iloc[i : i + step] for i in range(0, len(f), step)):
+                    part = part[part["embedding"].map(len) == q.shape[1]]
+                    if len(part):
+                        close = q @ unit(part["embedding"]).T >= threshold
+                        yield pd.DataFrame({"n": [int((close & (ids[:, None] != part["vec_id"].to_numpy()[None, :])).sum())]})
+
+        return rows.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    for r in asked.toLocalIterator():
+        if block and (len(r["embedding"]) != len(block[0]["embedding"]) or len(block) == TRIALS[-1]):
+            there, block = there + compared(block), []
+        block.append(r)
+        found += r["n_links"]
+    return found, there + (compared(block) if block else 0)

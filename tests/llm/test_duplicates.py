@@ -9,7 +9,7 @@ import pytest
 from dayprint.llm import debruijn_dedup, minhash_join
 from dayprint.llm.components import components
 from dayprint.llm.minhash_join import bands_for, linked, representatives, similar
-from dayprint.llm.multi_index import Grid, near_vectors
+from dayprint.llm.multi_index import Grid, depth, link_recall, near_vectors
 
 
 def groups(nodes, links):
@@ -237,3 +237,37 @@ def test_doubles_are_compared_as_doubles(spark):
     rows = [(0, [1.0, 0.0]), (1, [math.cos(angle), math.sin(angle)])]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [r["n_links"] for r in got] == [0, 0]
+
+
+def test_rare_pairs_are_found(spark):
+    """300 pairs just above the threshold among 12,000 vectors without neighbours."""
+    draw = np.random.default_rng(9)
+    x = draw.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = draw.standard_normal((300, 32))
+    away -= (away * x[:300]).sum(1)[:, None] * x[:300]
+    cosine = draw.uniform(0.952, 0.99, 300)[:, None]
+    near = cosine * x[:300] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(rows).collect()}
+    met = [i for i in range(300) if got[12_000 + i]["component_id"] == i]
+    assert len(met) >= 299
+    assert sum(r["n_links"] for r in got.values()) == 2 * len(met)
+
+
+def test_link_recall_counts_against_brute_force(spark, vectors):
+    rows = vectors.where("vec_id < 870")  # without the odd ones
+    found, there = link_recall(rows, near_vectors(rows), every=5)
+    u = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert there == close[::5].sum() and 0.99 * there <= found <= there
+
+
+def test_depth_follows_the_evidence():
+    made = np.arange(1, 1001)
+    assert depth([], 0, made, 0.999) == 999  # nothing real: partners at the threshold
+    assert depth([(1, 199.0), (3000, 1.0)], 200, made, 0.999) == 3000  # a query alone counts as much as any other
+    assert depth([(1, 200.0)], 200, made, 0.999) == 900  # enough real ones: partners need 0.9
+    assert depth([(1, 20.0)], 20, made, 0.999) == 999
