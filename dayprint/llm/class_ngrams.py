@@ -4,10 +4,15 @@ Texts are stored in shards: each shard numbers its own words, so the text is rea
 move. The shards' dictionaries are joined with the corpus counts on the word (a 64-bit hash of its bytes) and come back
 to their shard; nothing of the vocabulary's size is collected or broadcast.
 
-Classes are learnt for UNITS word units: the most frequent words one by one, every other word (unknown ones too) by its
-ending. Each word belongs to one unit, so the bigram counts of units cover every bigram of the training texts in a
-table of fixed size, which is added up by Spark; the exchange algorithm moves units between classes until no move
-raises the likelihood of the class bigrams. The end of a text is a unit and a class of its own.
+Classes are learnt in two steps. UNITS word units (the most frequent words one by one, every other word by its ending)
+give a bigram table of fixed size, which is added up by Spark; the exchange algorithm moves units between classes until
+no move raises the likelihood of the class bigrams (or SWEEPS are over). Then every other training word gets the class
+of its own contexts: its counts after and before each class are added up by Spark in buckets of words, each word takes
+the class in which they are likeliest, the classes' statistics follow, and so on until the likelihood settles. Only
+words unseen in training are classed by their ending. The end of a text is a unit and a class of its own.
+
+The neighbours in a word's contexts keep the class of their unit while words are classed; the transitions of the model
+are counted anew from the final classes of all words.
 """
 
 from __future__ import annotations
@@ -29,14 +34,18 @@ from dayprint.llm.words import chunks
 ENDINGS, FREQUENT = 128, 895
 UNITS = 1 + ENDINGS + FREQUENT
 CLASSES = 48
-SWEEPS = 6
+SWEEPS = 30
+#: Rounds of classing words by their contexts; they end when a round gains less than this share of the likelihood.
+ROUNDS, SETTLED = 10, 1e-3
+#: Words of a bucket and of a stored piece of one, and contexts that a task gathers before it adds them up.
+BUCKET_WORDS, PIECE_WORDS, GATHERED = 200_000, 20_000, 4_000_000
 #: Weight of the class frequencies behind the class bigrams, and the count taken from each word for unknown ones.
 PRIOR, DISCOUNT = 20.0, 0.5
 #: Text bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 END = np.int64(-1)
-#: Count and unit travel as count * PACK + unit.
-PACK = 2048
+#: Count and class travel as count * PACK + class; unknown words have CLASSES + ending in its place.
+PACK = 256
 
 
 def _shards(batches):
@@ -166,10 +175,148 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return own
 
 
+CONTEXTS = "bucket int, words binary, sizes binary, codes binary, counts binary"
+
+
+def _rows(bucket: int, words: np.ndarray, word: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row of a bucket: `word` numbers each context's word in ascending order."""
+    sizes = np.bincount(word, minlength=len(words)).astype(np.uint8)
+    parts = (words.astype("<i8"), sizes, codes.astype(np.uint8), counts.astype("<i8"))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["bucket", "words", "sizes", "codes", "counts"])
+
+
+def _read(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, number of each context's word, codes, counts of a row."""
+    words, sizes, codes, counts = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("words", "<i8"), ("sizes", "u1"), ("codes", "u1"), ("counts", "<i8")))
+    return words, np.repeat(np.arange(len(words)), sizes), codes, counts
+
+
+def _contexts(shared):
+    """How often each word without a unit of its own follows (code: class) and precedes (CLASSES + class) each class in training."""
+
+    def run(batches):
+        frequent, unit_class, buckets = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[k].as_py(), "<u4")
+                words, endings, held, lengths = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("words", "endings", "held", "lengths"))
+                units = _units(words, endings, frequent)
+                cls = unit_class[units][ids]
+                rare = (units >= 1) & (units <= ENDINGS)
+                at = np.flatnonzero(np.repeat(~held.astype(bool), lengths) & rare[ids])
+                if not len(at):
+                    continue
+                # a text begins after the end of another, which is class 0; each word is followed by one or by an end
+                before = np.where(at > 0, cls[at - 1], 0)
+                of = ids[at].astype(np.int64) * PACK
+                keys, counts = np.unique(np.concatenate([of + before, of + CLASSES + cls[at + 1]]), return_counts=True)
+                bucket = (mixed(words.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[keys // PACK]
+                order = np.argsort(bucket, kind="stable")
+                keys, counts, bucket = keys[order], counts[order], bucket[order]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    local, word = np.unique(keys[i:j] // PACK, return_inverse=True)
+                    yield _rows(int(bucket[i]), words[local], word, keys[i:j] % PACK, counts[i:j])
+
+    return run
+
+
+def _added_contexts(batches):
+    """The rows of each bucket added up, in pieces of PIECE_WORDS words; rows come sorted by bucket."""
+
+    def settle(parts):
+        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        keys, at = np.unique(word * PACK + np.concatenate([p[1] for p in parts]), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, at, np.concatenate([p[2] for p in parts]))
+        return words[keys // PACK], (keys % PACK).astype(np.uint8), counts
+
+    def pieces(bucket, parts):
+        own, codes, counts = settle(parts)
+        words, word = np.unique(own, return_inverse=True)
+        for i in range(0, len(words), PIECE_WORDS):
+            a, b = np.searchsorted(word, [i, i + PIECE_WORDS])
+            yield _rows(bucket, words[i : i + PIECE_WORDS], word[a:b] - i, codes[a:b], counts[a:b])
+
+    now, parts, limit = None, [], GATHERED
+    for batch in batches:
+        for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now:
+                if parts:
+                    yield from pieces(now, parts)
+                now, parts, limit = bucket, [], GATHERED
+            words, word, codes, counts = _read(batch, k)
+            parts.append((words[word], codes, counts))
+            if sum(len(p[1]) for p in parts) > limit:
+                parts = [settle(parts)]
+                limit = max(GATHERED, 2 * len(parts[0][1]))
+    if parts:
+        yield from pieces(now, parts)
+
+
+def context_weights(follows: np.ndarray, precedes: np.ndarray) -> np.ndarray:
+    """w[code, g]: the log likelihood that one context adds to a word's being in class g.
+
+    follows[h, g] counts words of class g after class h, precedes[g, h] before it. A word of class g has P(g | h) / N(g)
+    after h, and class h follows it with P(h | g).
+    """
+    a, b = follows + 0.5, precedes + 0.5
+    after = np.log(a / a.sum(1)[:, None]) - np.log(a.sum(0))[None, :]
+    w = np.concatenate([after, np.log(b / b.sum(1)[:, None]).T])
+    w[:, 0] = -np.inf  # the end of a text stays alone
+    return w
+
+
+def _table(batch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    words, word, codes, counts = _read(batch, k)
+    wide = 2 * CLASSES
+    return words, np.bincount(word * wide + codes, counts, len(words) * wide).reshape(len(words), wide)
+
+
+def _best(table: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    score = table @ w[:, 1:]
+    return score.argmax(1) + 1, float(score.max(1).sum())
+
+
+def _class_sums(shared):
+    """For each class its contexts, number of words and their likelihood, as rows."""
+
+    def run(batches):
+        total = np.zeros((CLASSES, 2 * CLASSES + 2))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, table = _table(batch, k)
+                best, gain = _best(table, shared.value)
+                member = np.eye(CLASSES)[best]
+                total[:, : 2 * CLASSES] += member.T @ table
+                total[:, -2] += member.sum(0)
+                total[0, -1] += gain
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int64()), pa.array([r.tobytes() for r in total.astype("<f8")], pa.binary())], ["unit", "row"])
+
+    return run
+
+
+def _added_floats(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(r, "<f8") for r in group["row"])
+    return pd.DataFrame({"unit": [group["unit"].iloc[0]], "row": [total.tobytes()]})
+
+
+def _classed(shared):
+    """(word, code) of each word."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, table = _table(batch, k)
+                code = table[:, :CLASSES].sum(1).astype(np.int64) * PACK + _best(table, shared.value)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(code, pa.int64())], ["word", "code"])
+
+    return run
+
+
 @dataclass
 class Model:
-    unit_class: np.ndarray
-    transition: np.ndarray  # log10 P(class | class before)
+    ending_class: np.ndarray
     class_count: np.ndarray
     class_words: np.ndarray
     total: int
@@ -185,18 +332,13 @@ class Model:
         return np.log10(np.where(count > 0, known, (DISCOUNT * v + 1) / (n + 1) / (v + 1)))
 
 
-def _model(n: np.ndarray, unit_count: np.ndarray, unit_words: np.ndarray) -> Model:
-    own = exchange(n, CLASSES)
-    member = np.eye(CLASSES)[own]
-    pairs = member.T @ n @ member
-    count, words = unit_count @ member, unit_words @ member
+def transitions(pairs: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from the counted pairs, smoothed by the classes' own counts."""
     share = (count + 1) / (count.sum() + CLASSES)
-    transition = np.log10((pairs + PRIOR * share[None, :]) / (pairs.sum(1)[:, None] + PRIOR))
-    # the end of a text is the only word of its class
-    return Model(own, transition, count, words, int(unit_count.sum()), int(unit_words.sum()))
+    return np.log10((pairs + PRIOR * share[None, :]) / (pairs.sum(1)[:, None] + PRIOR))
 
 
-def _scored(shared):
+def _emitted(shared):
     def run(shard: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
         out = []
@@ -204,13 +346,13 @@ def _scored(shared):
         for row in shard.itertuples():
             words = words.sort_values("pos")
             code = words["code"].to_numpy()
-            units, count = code % PACK, code // PACK
-            cls = m.unit_class[units]
-            emit = np.where(units == 0, 0.0, m.emission(count, cls))
+            tag, count = code % PACK, code // PACK
+            cls = np.where(tag < CLASSES, tag, m.ending_class[np.maximum(tag - CLASSES, 0)])
+            # the end of a text is the only word of its class
+            emit = np.where(tag == 0, 0.0, m.emission(count, cls))
             plain = np.log10((count + 1) / (m.total + m.distinct + 1))
             ids = np.frombuffer(row.ids, "<u4")
-            k = cls[ids]
-            model = m.transition[np.concatenate([[0], k[:-1]]), k] + emit[ids]
+            k = cls.astype(np.uint8)[ids]
             ends = np.cumsum(row.lengths)
             starts = ends - row.lengths
             add = lambda x: np.add.reduceat(x, starts)
@@ -219,7 +361,7 @@ def _scored(shared):
                     {
                         "doc_id": pd.array(row.doc_ids, "Int64"), "held_out": row.held, "n_tokens": row.lengths.astype(np.int64),
                         "n_known": add((count > 0).astype(np.int64)[ids]), "train_tokens": m.total,
-                        "base_score": add(plain[ids]), "score": add(model),
+                        "base_score": add(plain[ids]), "emitted": add(emit[ids]), "classes": [k[a:b].tobytes() for a, b in zip(starts, ends)],
                     }
                 )
             )
@@ -228,6 +370,60 @@ def _scored(shared):
     return run
 
 
+def _class_pairs(batches):
+    total = np.zeros((CLASSES, CLASSES), np.int64)
+    for batch in batches:
+        for classes, held in zip(batch.column("classes"), batch.column("held_out").to_pylist()):
+            if not held:
+                k = np.frombuffer(classes.as_py(), np.uint8).astype(np.int64)
+                total += np.bincount(np.concatenate([[0], k[:-1]]) * CLASSES + k, minlength=total.size).reshape(total.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int64()), pa.array([r.astype("<i8").tobytes() for r in total], pa.binary())], ["unit", "row"])
+
+
+def _scored(shared):
+    def run(batches):
+        for batch in batches:
+            moved = []
+            for classes in batch.column("classes"):
+                k = np.frombuffer(classes.as_py(), np.uint8)
+                moved.append(shared.value[np.concatenate([[0], k[:-1]]), k].sum())
+            score = batch.column("emitted").to_numpy() + np.array(moved, np.float64)
+            kept = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score, pa.float64())], [*kept, "score"])
+
+    return run
+
+
+def _collected(rows: DataFrame, shape: tuple[int, int], kind: str) -> np.ndarray:
+    """The table that (unit, row) rows add up to; it has as many rows as units or classes."""
+    add = _added if kind == "<i8" else _added_floats
+    out = np.zeros(shape, kind)
+    for r in rows.groupBy("unit").applyInPandas(add, "unit long, row binary").collect():
+        out[r["unit"]] = np.frombuffer(r["row"], kind)
+    return out
+
+
+def _context_classes(contexts: DataFrame, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights that class the words of `contexts`, and count and number of words of each class, frequent words included."""
+    spark = contexts.sparkSession
+    member = np.eye(CLASSES)[own]
+    named = np.r_[0, 1 + ENDINGS : UNITS]
+    follows = member.T @ n[:, named] @ member[named]
+    precedes = member[named].T @ n[named] @ member
+    words = (n.sum(0)[named] > 0) @ member[named]
+    weights, before = context_weights(member.T @ n @ member, member.T @ n @ member), None
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(weights)
+        sums = _collected(contexts.mapInArrow(_class_sums(shared), "unit long, row binary"), (CLASSES, 2 * CLASSES + 2), "<f8")
+        after, ahead, gain = sums[:, :CLASSES], sums[:, CLASSES:-2], sums[0, -1]
+        a, b = follows + after.T, precedes + ahead
+        if before is not None and gain - before <= SETTLED * abs(before):
+            break
+        before, used, weights = gain, weights, context_weights(a, b)
+        counted = a.sum(0), words + sums[:, -2]
+    return used, *counted
+
+
 def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of (doc_id, text).
 
@@ -247,31 +443,27 @@ def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     top = vocabulary.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()
     frequent = np.sort(np.array([r["word"] for r in top], np.int64))
     shared = spark.sparkContext.broadcast(frequent)
-    pairs = shards.select("ids", "words", "endings", "held", "lengths").mapInArrow(_bigrams(shared), "unit long, row binary")
-    found = pairs.groupBy("unit").applyInPandas(_added, "unit long, row binary").collect()  # UNITS rows at most
-    n = np.zeros((UNITS, UNITS), np.int64)
-    for r in found:
-        n[r["unit"]] = np.frombuffer(r["row"], "<i8")
-    # counts and words of each unit: frequent words are units of their own, the others are added up by ending
-    by_ending = vocabulary.where(~F.col("word").isin([int(END)])).groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    named = {r["word"]: (r["n"], r["ending"]) for r in vocabulary.join(F.broadcast(spark.createDataFrame([(int(w),) for w in [*frequent, END]], "word long")), "word").collect()}
-    unit_count, unit_words = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-    for r in by_ending:
-        unit_count[1 + r["ending"]], unit_words[1 + r["ending"]] = r["n"], r["v"]
-    for w, (count, ending) in named.items():
-        u = 0 if w == END else int(_units(np.array([w]), np.array([0]), frequent)[0])
-        unit_count[u], unit_words[u] = count, 1
-        if u:
-            unit_count[1 + ending] -= count
-            unit_words[1 + ending] -= 1
-    model = spark.sparkContext.broadcast(_model(n, unit_count, unit_words))
-    # Rows that move are kept narrow: place and ending in one number, count and unit in another.
-    units = spark.createDataFrame([(int(w), 1 + ENDINGS + i) for i, w in enumerate(frequent)] + [(int(END), 0)], "word long, named int")
-    coded = vocabulary.join(F.broadcast(units), "word", "left")
-    coded = coded.select("word", (F.col("n") * PACK + F.coalesce("named", F.col("ending") + 1)).alias("code"))
+    seen = shards.select("ids", "words", "endings", "held", "lengths")
+    n = _collected(seen.mapInArrow(_bigrams(shared), "unit long, row binary"), (UNITS, UNITS), "<i8")
+    own = exchange(n, CLASSES)
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(1, -(-distinct // BUCKET_WORDS))
+    shared = spark.sparkContext.broadcast((frequent, own, buckets))
+    contexts = seen.mapInArrow(_contexts(shared), CONTEXTS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    contexts = stored(contexts.mapInArrow(_added_contexts, CONTEXTS), "contexts")
+    weights, count, words = _context_classes(contexts, n, own)
+    # the places of words move narrow: place and ending in one number, count and class in another
+    units = [0, *range(1 + ENDINGS, 1 + ENDINGS + len(frequent))]
+    named = spark.createDataFrame([(int(w), int(n[:, u].sum()) * PACK + int(own[u])) for w, u in zip([END, *frequent], units) if n[:, u].sum()], "word long, code long")
+    coded = contexts.mapInArrow(_classed(spark.sparkContext.broadcast(weights)), "word long, code long").union(named)
     places = entries.select("word", "shard", (F.col("pos").cast("long") * ENDINGS + F.col("ending")).alias("place"))
-    code = F.coalesce("code", F.col("place") % ENDINGS + 1)
+    code = F.coalesce("code", F.col("place") % ENDINGS + CLASSES)
     counted = places.join(coded, "word", "left").select("shard", F.floor(F.col("place") / ENDINGS).cast("int").alias("pos"), code.alias("code"))
     texts = shards.select(F.col("shard").alias("own_shard"), "doc_ids", "held", "lengths", "ids")
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("own_shard").cogroup(counted.groupBy("shard")).applyInPandas(_scored(model), result)
+    model = spark.sparkContext.broadcast(Model(own[1 : 1 + ENDINGS], count, words, total, distinct))
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+    emitted = texts.groupBy("own_shard").cogroup(counted.groupBy("shard")).applyInPandas(_emitted(model), result + ", emitted double, classes binary")
+    emitted = stored(emitted, "emitted")
+    pairs = _collected(emitted.select("classes", "held_out").mapInArrow(_class_pairs, "unit long, row binary"), (CLASSES, CLASSES), "<i8")
+    moves = spark.sparkContext.broadcast(transitions(pairs, count))
+    return emitted.mapInArrow(_scored(moves), result + ", score double")

@@ -72,17 +72,124 @@ def test_exchange_stops_where_no_single_move_gains():
 
 def test_probabilities_add_up():
     draw = np.random.default_rng(1)
-    n = draw.poisson(0.05, (class_ngrams.UNITS, class_ngrams.UNITS))
-    count = n.sum(0)
-    m = class_ngrams._model(n, count, np.minimum(count, 1))
-    assert np.allclose((10**m.transition).sum(1), 1)
-    for cls in range(1, class_ngrams.CLASSES):
-        mine = count[(m.unit_class == cls) & (count > 0)]
-        known = (10 ** m.emission(mine, np.full(len(mine), cls))).sum()
-        unseen = 10 ** m.emission(np.zeros(1), np.array([cls]))[0] * (m.class_words[cls] + 1)
+    pairs = draw.poisson(0.5, (class_ngrams.CLASSES, class_ngrams.CLASSES))
+    assert np.allclose((10 ** class_ngrams.transitions(pairs, pairs.sum(0))).sum(1), 1)
+    cls, count = draw.integers(1, class_ngrams.CLASSES, 900), draw.integers(1, 9, 900)
+    totals = np.bincount(cls, count, class_ngrams.CLASSES)
+    m = class_ngrams.Model(cls[:9], totals, np.bincount(cls, minlength=class_ngrams.CLASSES), int(count.sum()), 900)
+    for g in range(1, class_ngrams.CLASSES):
+        known = (10 ** m.emission(count[cls == g], cls[cls == g])).sum()
+        unseen = 10 ** m.emission(np.zeros(1), np.array([g]))[0] * (m.class_words[g] + 1)
         assert known + unseen == pytest.approx(1)
 
 
+def plain_model(rows):
+    """The whole model but for the exchange, over dictionaries of words: {doc_id: score}."""
+    c_n, discount, prior = class_ngrams.CLASSES, class_ngrams.DISCOUNT, class_ngrams.PRIOR
+    from dayprint.llm.hashing import Words
+
+    import pyarrow as pa
+
+    texts = [(i, lowered(t).split(), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    train = [w for _, w, held in texts if not held]
+    counts = collections.Counter(x for w in train for x in w)
+    coded = {x: int(Words(pa.array([x]), True).hashes().view(np.int64)[0]) for _, w, _ in texts for x in w}
+    frequent = sorted(sorted(counts, key=lambda x: (-counts[x], coded[x]))[: class_ngrams.FREQUENT], key=coded.get)
+
+    def ending(x):
+        b = x.encode()
+        return int(class_ngrams.mixed(np.array([(b[-2] if len(b) > 1 else 0) * 257 + b[-1] + 1], np.uint64))[0] % class_ngrams.ENDINGS)
+
+    place = {x: 1 + class_ngrams.ENDINGS + k for k, x in enumerate(frequent)}
+    unit = lambda x: 0 if x is None else place.get(x, 1 + ending(x))
+    n = np.zeros((class_ngrams.UNITS, class_ngrams.UNITS), np.int64)
+    for w in train:
+        for a, b in itertools.pairwise([None, *w, None]):
+            n[unit(a), unit(b)] += 1
+    own = class_ngrams.exchange(n, c_n)
+    seed = lambda x: own[unit(x)]
+    contexts = collections.defaultdict(collections.Counter)
+    for w in train:
+        for a, x, b in zip([None, *w], w, [*w[1:], None]):
+            if x not in place:
+                contexts[x].update([seed(a), c_n + seed(b)])
+    cls, before = None, None
+    for _ in range(class_ngrams.ROUNDS):
+        follows, precedes = np.zeros((c_n, c_n)), np.zeros((c_n, c_n))
+        of = lambda x: seed(x) if cls is None else cls.get(x, seed(x))
+        for w in train:
+            for a, b in itertools.pairwise([None, *w, None]):
+                follows[seed(a), of(b)] += 1
+                precedes[of(a), seed(b)] += 1
+        weights = class_ngrams.context_weights(follows, precedes)
+        new, gain = {}, 0.0
+        for x, context in contexts.items():
+            score = [sum(k * weights[code, g] for code, k in context.items()) for g in range(1, c_n)]
+            new[x] = 1 + int(np.argmax(score))
+            gain += max(score)
+        if before is not None and gain - before <= class_ngrams.SETTLED * abs(before):
+            break
+        cls, before = new, gain
+    of = lambda x: cls.get(x, seed(x))
+    total, kinds, pairs = np.zeros(c_n), np.zeros(c_n), np.zeros((c_n, c_n))
+    for w in train:
+        for a, b in itertools.pairwise([None, *w, None]):
+            pairs[of(a), of(b)] += 1
+            total[of(b)] += 1
+    for x in counts:
+        kinds[of(x)] += 1
+    out = {}
+    for i, w, _ in texts:
+        score = 0.0
+        for a, b in itertools.pairwise([None, *w, None]):
+            g, h = of(a), of(b)
+            score += math.log10((pairs[g, h] + prior * (total[h] + 1) / (total.sum() + c_n)) / (pairs[g].sum() + prior))
+            if b is not None:
+                known = max(counts[b] - discount, discount) if counts[b] else (discount * kinds[h] + 1) / (kinds[h] + 1)
+                score += math.log10(known / (total[h] + 1))
+        out[i] = score
+    return out, cls
+
+
+def test_score_equals_plain_model(spark, monkeypatch):
+    """Small numbers of frequent words and of words in a bucket, so that most words are classed by their contexts."""
+    for name, value in (("FREQUENT", 40), ("UNITS", 1 + class_ngrams.ENDINGS + 40), ("BUCKET_WORDS", 100)):
+        monkeypatch.setattr(class_ngrams, name, value)
+    draw = random.Random(4)
+    groups = [[f"{a}{k}{b}" for k in range(90)] for a, b in (("n", "xa"), ("v", "xb"), ("d", "xc"))]
+    rows = [(i, " ".join(draw.choice(groups[k % 3][: draw.choice((5, 20, 90))]) for k in range(draw.randint(0, 60)))) for i in range(150)]
+    want, cls = plain_model(rows)
+    assert len(cls) > 100
+    got = {r["doc_id"]: r["score"] for r in class_ngrams.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_contexts_of_a_bucket_add_up(monkeypatch):
+    """Contexts gathered in several steps and stored in several pieces."""
+    monkeypatch.setattr(class_ngrams, "GATHERED", 50)
+    monkeypatch.setattr(class_ngrams, "PIECE_WORDS", 7)
+    draw = np.random.default_rng(3)
+    want, batches = collections.Counter(), []
+    for bucket in (0, 0, 0, 1, 1, 4):
+        words = np.unique(draw.integers(-(2**62), 2**62, 3)[draw.integers(0, 3, 20)] + draw.integers(0, 9, 20))
+        keys = np.unique(draw.integers(0, len(words), 60) * class_ngrams.PACK + draw.integers(0, 2 * class_ngrams.CLASSES, 60))
+        # every word has a context
+        keys = np.unique(np.concatenate([keys, np.arange(len(words)) * class_ngrams.PACK]))
+        counts = draw.integers(1, 2**33, len(keys))
+        for _ in range(2):
+            want.update({(bucket, int(words[k // class_ngrams.PACK]), int(k % class_ngrams.PACK)): int(c) for k, c in zip(keys, counts)})
+            batches.append(class_ngrams._rows(bucket, words, keys // class_ngrams.PACK, keys % class_ngrams.PACK, counts))
+    got = collections.Counter()
+    pieces = list(class_ngrams._added_contexts(batches))
+    for piece in pieces:
+        words, word, codes, counts = class_ngrams._read(piece, 0)
+        assert len(words) <= 7
+        for w, code, c in zip(words[word].tolist(), codes.tolist(), counts.tolist()):
+            assert (piece.column("bucket")[0].as_py(), w, code) not in got
+            got[piece.column("bucket")[0].as_py(), w, code] = c
+    assert got == want and len(pieces) > 3
+
+
 def test_model_beats_single_words(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     r = class_ngrams.scored(rows).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
