@@ -38,7 +38,7 @@ SWEEPS = 30
 #: Rounds of classing words by their contexts; they end when a round gains less than this share of the likelihood.
 ROUNDS, SETTLED = 10, 1e-3
 #: Words of a bucket and of a stored piece of one, and contexts that a task gathers before it adds them up.
-BUCKET_WORDS, PIECE_WORDS, GATHERED = 200_000, 20_000, 4_000_000
+BUCKET_WORDS, PIECE_WORDS, GATHERED = 40_000, 20_000, 1_000_000
 #: Weight of the class frequencies behind the class bigrams, and the count taken from each word for unknown ones.
 PRIOR, DISCOUNT = 20.0, 0.5
 #: Text bytes of a shard.
@@ -225,11 +225,14 @@ def _added_contexts(batches):
     """The rows of each bucket added up, in pieces of PIECE_WORDS words; rows come sorted by bucket."""
 
     def settle(parts):
-        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        keys, at = np.unique(word * PACK + np.concatenate([p[1] for p in parts]), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, at, np.concatenate([p[2] for p in parts]))
-        return words[keys // PACK], (keys % PACK).astype(np.uint8), counts
+        words, keys = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        keys *= PACK
+        keys += np.concatenate([p[1] for p in parts])
+        order = np.argsort(keys)
+        keys, counts = keys[order], np.concatenate([p[2] for p in parts])[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys = keys[starts]
+        return words[keys // PACK], (keys % PACK).astype(np.uint8), np.add.reduceat(counts, starts)
 
     def pieces(bucket, parts):
         own, codes, counts = settle(parts)
