@@ -59,7 +59,8 @@ def with_contributions(df: DataFrame, name: str = "contributions") -> DataFrame:
     """
     raw = list(raw_contributions().values())
     total = " + ".join(["0.0D", *[f"abs(raw_parts[{i}])" for i in range(len(raw))]])
-    scaled = {k: f"round(raw_parts[{i}] * parts_scale, 3)" for i, k in enumerate(CORE_FACTORS)}
+    # Thousandths are rounded as doubles: rounding the shortest text of 2.0475 would lift a number just below the tie.
+    scaled = {k: f"round(raw_parts[{i}] * parts_scale * 1000.0D) / 1000.0D" for i, k in enumerate(CORE_FACTORS)}
     return (
         df.withColumn("raw_parts", F.expr(f"array({', '.join(raw)})"))
         .withColumn("parts_total", F.expr(total))

@@ -29,6 +29,15 @@ def test_contributions_of_the_sample(records, sample):
     assert sum(abs(e["value"]) for e in row["c"]) == pytest.approx(8, abs=0.01)
 
 
+def test_a_contribution_just_below_a_tie_is_rounded_down(records, sample):
+    # 0.819 * 8 / 3.2 is 2.0474999999999998757, although its shortest text is 2.0475.
+    near = {**sample, "transport_mode": "Bus", "distance_km": 9.42, "electricity_kwh": 7.0, "renewable_usage_pct": 61.0,
+            "food_type": "Mixed", "screen_time_hours": 3.5, "waste_generated_kg": 0.1 + 1.8, "eco_actions": 2}
+    row = contrib.with_ranked_shares(contrib.with_contributions(records(near), "c"), "c").first()
+    assert {e["feature"]: e["value"] for e in row["c"]}["energy"] == 2.047
+    assert [(s["factor"], s["percentage"]) for s in row["shares"]][:2] == [("energy", 25.6), ("waste", 23.8)]
+
+
 def test_unknown_categories_and_empty_record(records, sample):
     odd = {**sample, "transport_mode": "Rocket", "food_type": "Pizza", "day_type": "Holiday"}
     df = records(odd)
