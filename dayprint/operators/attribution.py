@@ -1,12 +1,15 @@
 """Importances and attributions of fitted models, and what-if scenarios."""
 
+import random
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dayprint.constants import FEATURES, FOOTPRINT, LEVEL, LEVELS
-from dayprint.operators.kernel_shapley import KernelExplainer, kernel_columns, outputs_of
+from dayprint.operators.kernel_shapley import BLOCK_ROWS, KernelExplainer, kernel_columns, outputs_of
 from dayprint.operators.spread import spread
 from dayprint.operators.stages import feature_names
 from dayprint.operators.tree_tables import shapley_column, tree_ensemble
@@ -64,15 +67,12 @@ def sampled_attribution(
 
     For each of ``permutations`` fixed feature orders and each background
     centre, features switch one by one from the centre to the row; the change
-    of the prediction goes to the feature just switched. The rows needed for
-    that are expanded in place, scored in one pass and summed up per key and
-    slot; the fan-out per row is ``permutations * centres * (slots + 1)``,
-    whatever the size of the table.
+    of the prediction (of classes: their number) goes to the feature just
+    switched. The ``permutations * centres * (slots + 1)`` mixtures of a row
+    exist only inside a task, a block at a time; one row per record and slot
+    comes out: ``key``, ``slot``, ``attribution``.
     """
-    import random
-
-    from pyspark.ml.functions import array_to_vector
-
+    spark = encoded.sparkSession
     slots = len(centres[0][0])
     rng = random.Random(seed)
     total = float(sum(n for _, n in centres))
@@ -81,48 +81,32 @@ def sampled_attribution(
         order = list(range(slots))
         rng.shuffle(order)
         # Place of each slot in the order in which features switch.
-        plans.append([order.index(s) for s in range(slots)])
-    places = F.array(*[F.array(*[F.lit(p) for p in plan]) for plan in plans])
-    weighted = F.array(
-        *[
-            F.struct(
-                F.array(*[F.lit(v) for v in c]).alias("centre"),
-                F.lit(n / total / permutations).alias("weight"),
-            )
-            for c, n in centres
-        ]
-    )
-    expanded = (
-        spread(encoded).select(key, vector_to_array("features").alias("x"))
-        .select(key, "x", F.explode(places).alias("place"))
-        .select(key, "x", "place", F.inline(weighted))
-        .select(key, "x", "place", "centre", "weight",
-                F.explode(F.sequence(F.lit(0), F.lit(slots))).alias("step"))
-        .withColumn(
-            "features",
-            array_to_vector(
-                F.transform(
-                    "x",
-                    lambda v, i: F.when(
-                        F.get(F.col("place"), i) < F.col("step"), v
-                    ).otherwise(F.get(F.col("centre"), i)),
-                )
-            ),
-        )
-    )
-    predicted = trained.model.transform(expanded)
-    # A prediction after `step` switches counts for the slot switched last and
-    # against the slot switched next.
-    signed = F.array(
-        F.struct((F.col("step") - 1).alias("at"), F.col("prediction").alias("gain")),
-        F.struct(F.col("step").alias("at"), (-F.col("prediction")).alias("gain")),
-    )
-    return (
-        predicted.select(key, "place", "weight", F.col("step"), F.inline(signed))
-        .where(F.col("at").between(0, slots - 1))
-        .withColumn("slot", F.array_position("place", F.col("at")).cast("int") - 1)
-        .groupBy(key, "slot")
-        .agg(F.sum(F.col("gain") * F.col("weight")).alias("attribution"))
+        plans.append(np.argsort(order))
+    points = np.array([c for c, _ in centres], float)
+    weights = np.array([n / total / permutations for _, n in centres])
+    shared = spark.sparkContext.broadcast(outputs_of(spark, trained.model))
+    block = max(1, BLOCK_ROWS // (len(points) * (slots + 1)))
+
+    def predictions(x: np.ndarray) -> np.ndarray:
+        out = shared.value.predict(x)
+        return out[:, 0] if out.shape[1] == 1 else out.argmax(1).astype(float)
+
+    @F.pandas_udf("array<double>")
+    def shares(features: pd.Series) -> pd.Series:
+        rows = np.stack(features.to_numpy()) if len(features) else np.zeros((0, slots))
+        out = np.zeros(rows.shape)
+        for at in range(0, len(rows), block):
+            mine = rows[at : at + block, None, None, :]
+            for place in plans:
+                switched = place < np.arange(slots + 1)[:, None]
+                mixed = np.where(switched, mine, points[:, None, :])
+                found = predictions(mixed.reshape(-1, slots)).reshape(mixed.shape[:3])
+                gains = np.einsum("rcs,c->rs", np.diff(found, axis=2), weights)
+                out[at : at + block] += gains[:, place]
+        return pd.Series(list(out))
+
+    return spread(encoded).select(key, shares(vector_to_array("features")).alias("shares")).select(
+        key, F.posexplode("shares").alias("slot", "attribution")
     )
 
 

@@ -166,9 +166,9 @@ def tree_ensemble(spark: SparkSession, model) -> TreeEnsemble:
                     if r.split["numCategories"] >= 0:
                         if r.split["numCategories"] != 2 or len(r.split["leftCategoriesOrThreshold"]) != 1:
                             raise ValueError("Splits by category are supported for slots of 0 and 1 only")
-                        # the slot's value that goes left is 0 or 1
-                        left, right = (left, right) if threshold == 0 else (right, left)
-                        threshold = 0.5
+                        # Only the listed value, 0 or 1, goes left; a share between them, as a centre has, goes right.
+                        if threshold == 1:
+                            left, right, threshold = right, left, np.nextafter(1.0, 0.0)
                 for key, v in (("feature", feature), ("threshold", threshold), ("left", left), ("right", right), ("cover", float(r.rawCount)), ("value", value)):
                     columns[key].append(v)
             columns["depth"].append(int(depth.max()))
