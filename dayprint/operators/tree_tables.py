@@ -9,6 +9,10 @@ fitting. A leaf then plays a product game: each feature on its path brings a fac
 not. The Shapley value of a factor in a product is an integral of the other factors over t in [0, 1], each mixed as
 z * (1 - t) + known * t; Gauss-Legendre nodes solve it exactly, because it is a polynomial of known degree. One walk over a
 tree carries the products at the nodes t down and the sums over leaves back up, for all records of a batch at once.
+
+A record's values depend only on which way it goes at each node. For ensembles of shallow trees the values of each lowest part
+of a tree (two levels of splits) are therefore computed once for every combination of the path's features and the part's
+splits, and a record adds up one row of a table for each part. Trees whose tables would be too large are walked.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,6 +31,10 @@ from dayprint.sources.workdir import new_folder
 MOST_NODES = 1_000_000
 #: Records that one walk takes along.
 ROWS_AT_ONCE = 4096
+#: Levels of splits in the lowest parts of a tree.
+PART_LEVELS = 2
+#: Numbers in the tables of all parts at most (8 bytes each, sent to every executor).
+MOST_TABLE = 8_000_000
 
 
 @dataclass
@@ -42,6 +50,8 @@ class TreeEnsemble:
     value: np.ndarray
     depth: int
     intercept: np.ndarray
+    # The lowest parts by their top node, if `tabulate` found room for them: its table.
+    parts: dict[int, np.ndarray] | None = None
 
     @property
     def outputs(self) -> int:
@@ -87,6 +97,9 @@ class TreeEnsemble:
         nodes, weights = np.polynomial.legendre.leggauss(max(1, math.ceil(degree / 2)))
         t, w = (nodes + 1) / 2, weights / 2
         for at in range(0, len(x), ROWS_AT_ONCE):
+            if self.parts is not None:
+                self._look_up(x[at : at + ROWS_AT_ONCE], out[at : at + ROWS_AT_ONCE])
+                continue
             for root in self.roots:
                 self._walk(root, x[at : at + ROWS_AT_ONCE], np.ones((min(len(x) - at, ROWS_AT_ONCE), len(t))), {}, t, w, out[at : at + ROWS_AT_ONCE])
         return out
@@ -121,6 +134,91 @@ class TreeEnsemble:
         return total
 
 
+    def tabulate(self, features: int) -> TreeEnsemble:
+        """Fill `parts` for records of ``features`` slots, unless their tables are larger than `MOST_TABLE`."""
+        tops, size = [], 0
+        for root in self.roots:
+            todo = [(root, {})]
+            while todo:
+                node, path = todo.pop()
+                inside = self._splits(node)
+                if inside is not None:
+                    tops.append((node, path, inside))
+                    size += (features * self.outputs) << (len(path) + len(inside))
+                    if size > MOST_TABLE:
+                        return self
+                    continue
+                f = int(self.feature[node])
+                for child in (self.left[node], self.right[node]):
+                    todo.append((child, {**path, f: path.get(f, 1.0) * self._share(child, node)}))
+        self.parts = {int(node): self._table(node, path, inside, features) for node, path, inside in tops}
+        return self
+
+    def _splits(self, top) -> list[int] | None:
+        """The splits below and at a node; None if they fill more than `PART_LEVELS` levels."""
+        level, found = [top], []
+        for _ in range(PART_LEVELS):
+            level = [n for n in level if self.feature[n] >= 0]
+            found += level
+            level = [child for n in level for child in (self.left[n], self.right[n])]
+        return found if all(self.feature[n] < 0 for n in level) else None
+
+    def _table(self, top, path: dict, inside: list[int], features: int) -> np.ndarray:
+        """(combinations, features * outputs): bit i is the path's i-th feature being known to lead here, then each split going left."""
+        bits = (np.arange(1 << (len(path) + len(inside)))[:, None] >> np.arange(len(path) + len(inside))) & 1 == 1
+        left = {node: bits[:, len(path) + i] for i, node in enumerate(inside)}
+        out = np.zeros((len(bits), features, self.outputs))
+        todo = [(top, {f: (z, bits[:, i]) for i, (f, z) in enumerate(path.items())})]
+        while todo:
+            node, known = todo.pop()
+            if self.feature[node] < 0:
+                self._add_leaf(self.value[node], known, out)
+                continue
+            f = int(self.feature[node])
+            z, above = known.get(f, (1.0, True))
+            for child, here in ((self.left[node], left[node]), (self.right[node], ~left[node])):
+                todo.append((child, {**known, f: (z * self._share(child, node), here & above)}))
+        return out.reshape(len(bits), -1)
+
+    @staticmethod
+    def _add_leaf(value, known: dict, out) -> None:
+        """The Shapley values of one leaf's product game."""
+        if not known:
+            return
+        t, w = np.polynomial.legendre.leggauss(max(1, math.ceil(len(known) / 2)))
+        t, w = (t + 1) / 2, w / 2
+        factors = [z * (1 - t) + is_known[:, None] * t for z, is_known in known.values()]
+        product = math.prod(factors)
+        for (f, (z, is_known)), factor in zip(known.items(), factors):
+            out[:, f] += ((is_known - z) * ((product / factor) @ w))[:, None] * value
+
+    def _look_up(self, x, out) -> None:
+        """The rows of the parts' tables, added to ``out``."""
+        columns = np.ascontiguousarray(x.T)
+        total = np.zeros((len(x), out.shape[1] * out.shape[2]))
+        found = np.empty_like(total)
+        for root in self.roots:
+            todo = [(root, np.zeros(len(x), np.intp), {})]
+            while todo:
+                node, mask, place = todo.pop()
+                table = self.parts.get(int(node))
+                if table is None:
+                    f = int(self.feature[node])
+                    left = columns[f] <= self.threshold[node]
+                    for child, here in ((self.left[node], left), (self.right[node], ~left)):
+                        if f in place:
+                            todo.append((child, np.where(here, mask, mask & ~(1 << place[f])), place))
+                        else:
+                            todo.append((child, mask + (here.astype(np.intp) << len(place)), {**place, f: len(place)}))
+                    continue
+                at = mask.copy()
+                for i, split in enumerate(self._splits(node)):
+                    at += (columns[self.feature[split]] <= self.threshold[split]).astype(np.intp) << (len(place) + i)
+                np.take(table, at, axis=0, out=found, mode="clip")
+                total += found
+        out += total.reshape(out.shape)
+
+
 def _nodes(spark: SparkSession, model) -> DataFrame:
     """(tree, weight, id, ...) of a forest or boosted model, from its own saved form."""
     path = new_folder(spark, "trees")
@@ -176,13 +274,15 @@ def tree_ensemble(spark: SparkSession, model) -> TreeEnsemble:
     return TreeEnsemble(roots=np.array(roots), depth=max(columns["depth"]), intercept=np.zeros(classes), **arrays)
 
 
-def shapley_column(spark: SparkSession, ensemble: TreeEnsemble, features: str = "features") -> Column:
-    """Array of outputs, each an array of the features' Shapley values."""
-    shared = spark.sparkContext.broadcast(ensemble)
+def shapley_column(spark: SparkSession, ensemble: TreeEnsemble, slots: int, features: str = "features") -> Column:
+    """Array of outputs, each an array of the ``slots`` features' Shapley values."""
+    shared = spark.sparkContext.broadcast(ensemble.tabulate(slots))
 
-    @F.pandas_udf("array<array<double>>")
-    def values(x: pd.Series) -> pd.Series:
-        found = shared.value.shapley(np.stack(x.to_numpy())) if len(x) else np.zeros((0, 1, 1))
-        return pd.Series([list(map(list, r.T)) for r in found])
+    @F.arrow_udf("array<array<double>>")
+    def values(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+        found = shared.value.shapley(rows).transpose(0, 2, 1)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, slots, dtype=np.int32)), pa.array(found.reshape(-1)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, found.shape[1], dtype=np.int32)), inner)
 
     return values(vector_to_array(features))
