@@ -238,7 +238,7 @@ def explain_sample(
     )
     ensemble = tree_ensemble(spark, trained.model)
     names = feature_names(trained.preprocessor)
-    explained = trained.apply(trained.encode(spread(df))).withColumn(
+    explained = trained.apply(trained.ordered(trained.encode(spread(df)))).withColumn(
         "shapley", shapley_column(spark, ensemble, len(names))
     )
     if trained.config.model_type == "regression":
