@@ -100,6 +100,21 @@ class ModelEnsemble:
         ]
         return vote_soft(given, self.ensemble_type, self.weights())
 
+    def with_votes(self, df: DataFrame, votes: dict[str, str]) -> DataFrame:
+        """``df`` with ``member_0``, ``member_1`` ... and the named regression votes, each member scored once.
+
+        ``votes`` maps a column's name to the ensemble type of its vote.
+        """
+        for ensemble_type in votes.values():
+            check_ensemble_type(ensemble_type)
+        if self.task != "regression":
+            raise ValueError("with_votes is only available for regression models")
+        out, names = self._members(df)
+        return out.withColumns({name: self._vote([F.col(n) for n in names], kind) for name, kind in votes.items()})
+
+    def _vote(self, columns: list[Column], ensemble_type: str) -> Column:
+        return vote_mean(columns) if ensemble_type == "voting" else vote_weighted(columns, self.weights())
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Mean or weighted mean; for classes majority or weighted soft vote."""
         check_ensemble_type(self.ensemble_type)
@@ -112,11 +127,7 @@ class ModelEnsemble:
                 else most_likely(self._mean_probabilities(names))
             )
             return out.select(*df.columns, vote.alias(f"{LEVEL}_predicted"))
-        vote = (
-            vote_mean(columns)
-            if self.ensemble_type == "voting"
-            else vote_weighted(columns, self.weights())
-        )
+        vote = self._vote(columns, self.ensemble_type)
         return out.select(*df.columns, vote.alias(f"{FOOTPRINT}_predicted"))
 
     def predict_proba(self, df: DataFrame) -> DataFrame:

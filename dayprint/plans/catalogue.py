@@ -1019,16 +1019,13 @@ def ensemble_predict(spark, folder):
         )
         for algorithm in ("linear_regression", "random_forest")
     ]
-    mean = ensemble.ModelEnsemble(members).predict(test)
-    weighted = ensemble.ModelEnsemble(members, "weighted").predict(
-        mean.withColumnRenamed(f"{FOOTPRINT}_predicted", "mean_vote")
-    )
-    votes = [m.predict(test).select("record_id", F.col(f"{FOOTPRINT}_predicted").alias(f"v{i}")) for i, m in enumerate(members)]
-    both = weighted.join(votes[0], "record_id").join(votes[1], "record_id")
-    between = F.col(f"{FOOTPRINT}_predicted").between(F.least("v0", "v1") - 1e-6, F.greatest("v0", "v1") + 1e-6)
-    return both.select(
+    # The members' own predictions, the mean and the weighted vote come from one pass of each member.
+    votes = ensemble.ModelEnsemble(members).with_votes(test, {"mean_vote": "voting", "weighted_vote": "weighted"})
+    v0, v1 = F.col("member_0"), F.col("member_1")
+    between = F.col("weighted_vote").between(F.least(v0, v1) - 1e-6, F.greatest(v0, v1) + 1e-6)
+    return votes.select(
         "record_id",
-        (F.abs(F.col("mean_vote") - (F.col("v0") + F.col("v1")) / 2) < 1e-6).alias("mean_is_mean"),
+        (F.abs(F.col("mean_vote") - (v0 + v1) / 2) < 1e-6).alias("mean_is_mean"),
         between.alias("weighted_is_between"),
     )
 
