@@ -8,6 +8,10 @@ matrix for each batch: a record's values are a product with it. The mean over th
 standard error; where all coalitions are listed the values are exact and the error is zero.
 
 Records stay where they are. The combinations of a record with the centres exist only inside a task, a block at a time.
+
+Of a tree with few splits a record matters only by the side it takes at each split, and the least squares are linear in the coalition
+values. So what every combination of sides adds to a record's values, for all coalitions and centres, is worked out once; a record then
+adds up one row of a table for each tree. Ensembles whose tables would be too large are predicted on the combined rows.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, SparkSession, functions as F
 
 from dayprint.operators.kernel_features import FourierMap
-from dayprint.operators.tree_tables import tree_ensemble
+from dayprint.operators.tree_tables import MOST_TABLE, ROWS_AT_ONCE, TreeEnsemble, tree_ensemble
 
 #: Combined rows that a task holds at once.
 BLOCK_ROWS = 50_000
+#: Splits of a tree whose combinations of sides are listed at most.
+LISTED_SPLITS = 10
 
 
 @dataclass
@@ -124,6 +130,8 @@ class KernelExplainer:
     centres: np.ndarray
     shares: np.ndarray
     plans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    # For each tree its splits and the rows (combinations of sides, batches * features * outputs), if `tabulate` found room for them.
+    tables: list[tuple[list[int], np.ndarray]] | None = None
 
     @classmethod
     def of(cls, model, centres: list[tuple[list, int]], budget: int = 512, batches: int = 8, seed: int = 42) -> KernelExplainer:
@@ -151,11 +159,82 @@ class KernelExplainer:
 
     def explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values and standard errors, each (rows, features, outputs)."""
+        if self.tables is not None:
+            parts = [self._look_up(x[at : at + ROWS_AT_ONCE]) for at in range(0, len(x), ROWS_AT_ONCE)]
+            return self._joined(parts)
         rows = max(1, BLOCK_ROWS // len(self.centres) // 64)
         parts = [self._explain(x[at : at + rows]) for at in range(0, len(x), rows)]
+        return self._joined(parts)
+
+    def _joined(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         empty = np.zeros((0, self.centres.shape[1], len(self.base)))
         return tuple(np.concatenate([p[k] for p in parts]) if parts else empty for k in (0, 1))
 
+    def tabulate(self) -> KernelExplainer:
+        """Fill `tables` for an ensemble of trees, unless they are larger than `MOST_TABLE`."""
+        if not isinstance(self.model, TreeEnsemble) or self.centres.shape[1] == 1:
+            return self
+        splits = [self._splits(root) for root in self.model.roots]
+        width = len(self.plans) * self.centres.shape[1] * len(self.model.intercept)
+        if any(len(s) > LISTED_SPLITS for s in splits) or sum(width << len(s) for s in splits) > MOST_TABLE:
+            return self
+        self.tables = [(s, self._table(root, s)) for root, s in zip(self.model.roots, splits)]
+        return self
+
+    def _splits(self, root: int) -> list[int]:
+        found, todo = [], [int(root)]
+        while todo:
+            node = todo.pop()
+            if self.model.feature[node] >= 0:
+                found.append(node)
+                todo += [int(self.model.left[node]), int(self.model.right[node])]
+        return found
+
+    def _table(self, root: int, splits: list[int]) -> np.ndarray:
+        """(combinations, batches * features * outputs); bit i is whether the record goes left at the i-th split."""
+        model = self.model
+        sides = (np.arange(1 << len(splits))[:, None] >> np.arange(len(splits))) & 1 == 1
+        centre_sides = np.stack([model.goes_left(n, self.centres) for n in splits], 1) if splits else np.zeros((len(self.centres), 0), bool)
+        place = {n: i for i, n in enumerate(splits)}
+        features = self.centres.shape[1]
+
+        def values(z: np.ndarray) -> np.ndarray:
+            """(combinations, outputs): the tree's mean output over the centres where a coalition z comes from the record."""
+
+            def below(node: int, here: np.ndarray) -> np.ndarray:
+                if model.feature[node] < 0:
+                    return (here @ self.shares)[:, None] * model.value[node]
+                i = place[node]
+                left = sides[:, i : i + 1] if z[model.feature[node]] else centre_sides[None, :, i]
+                return below(int(model.left[node]), here & left) + below(int(model.right[node]), here & ~left)
+
+            return below(int(root), np.ones((len(sides), len(self.centres)), bool))
+
+        full, known = values(np.ones(features, bool)), {}
+        out = []
+        for z, a, b in self.plans:
+            mine = [known[k] if (k := row.tobytes()) in known else known.setdefault(k, values(row)) for row in z]
+            out.append(np.einsum("fz,zpk->pfk", a, np.stack(mine)) + b[None, :, None] * full[:, None, :])
+        return np.stack(out, 1).reshape(len(sides), -1)
+
+    def _look_up(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        model, columns = self.model, np.ascontiguousarray(x.T)
+        left_over = model.intercept - self.base
+        constant = [(a.sum(1) + b)[:, None] * left_over for _, a, b in self.plans]
+        total = np.tile(np.stack(constant).reshape(1, -1), (len(x), 1))
+        for splits, table in self.tables:
+            at = np.zeros(len(x), np.intp)
+            for i, node in enumerate(splits):
+                at += (columns[model.feature[node]] <= model.threshold[node]).astype(np.intp) << i
+            total += table[at]
+        return self._summary(total.reshape(len(x), len(self.plans), x.shape[1], -1).swapaxes(0, 1))
+
+    @staticmethod
+    def _summary(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean over the batches and its standard error."""
+        spread = found.std(0, ddof=1) / math.sqrt(len(found)) if len(found) > 1 else np.zeros(found.shape[1:])
+        return found.mean(0), spread
+
     def _explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base, full = self.base, self.model.predict(x)
         shared = 0
@@ -168,19 +247,22 @@ class KernelExplainer:
         for z, a, b in self.plans:
             values = np.concatenate([common, self.coalition_values(x, z[shared:])], 1) - base
             found.append(np.einsum("fz,rzk->rfk", a, values) + b[None, :, None] * (full - base)[:, None, :])
-        found = np.stack(found)
-        spread = found.std(0, ddof=1) / math.sqrt(len(found)) if len(found) > 1 else np.zeros(found.shape[1:])
-        return found.mean(0), spread
+        return self._summary(np.stack(found))
 
 
 def kernel_columns(spark: SparkSession, explainer: KernelExplainer, features: str = "features") -> Column:
     """struct(values, errors): for each output an array over the features."""
-    shared = spark.sparkContext.broadcast(explainer)
+    shared = spark.sparkContext.broadcast(explainer.tabulate())
+
+    @F.arrow_udf("values array<array<double>>, errors array<array<double>>")
+    def explained(x: pa.Array) -> pa.Array:
+        slots = shared.value.centres.shape[1]
+        rows = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+
+        def listed(found: np.ndarray) -> pa.Array:
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, slots, dtype=np.int32)), pa.array(np.ascontiguousarray(found.swapaxes(1, 2)).reshape(-1)))
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, found.shape[2], dtype=np.int32)), inner)
 
-    @F.pandas_udf("values array<array<double>>, errors array<array<double>>")
-    def explained(x: pd.Series) -> pd.DataFrame:
-        values, errors = shared.value.explain(np.stack(x.to_numpy()) if len(x) else np.zeros((0, shared.value.centres.shape[1])))
-        listed = lambda found: [list(map(list, r.T)) for r in found]
-        return pd.DataFrame({"values": listed(values), "errors": listed(errors)})
+        return pa.StructArray.from_arrays([listed(found) for found in shared.value.explain(rows)], ["values", "errors"])
 
     return explained(vector_to_array(features))
