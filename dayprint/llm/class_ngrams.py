@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayprint.llm.hashing import Words, mixed
-from dayprint.llm.store import stored
+from dayprint.llm.store import batches_of, stored
 from dayprint.llm.words import chunks
 
 #: Units: the end of a text, word endings, and the most frequent words.
@@ -43,6 +43,8 @@ BUCKET_WORDS, PIECE_WORDS, GATHERED = 40_000, 20_000, 1_000_000
 PRIOR, DISCOUNT = 20.0, 0.5
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
+#: Bytes of the rows that a reader of shards and contexts holds at once; a row has megabytes.
+WIDE_BYTES = 32 << 20
 END = np.int64(-1)
 #: Count and class travel as count * PACK + class; unknown words have CLASSES + ending in its place.
 PACK = 256
@@ -435,11 +437,16 @@ def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     often as they occur; a null doc_id counts as an empty one; an empty table gives an empty result; further columns
     are ignored.
     """
+    with batches_of(docs.sparkSession, WIDE_BYTES):
+        return _scored_texts(docs, folds, fold)
+
+
+def _scored_texts(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(crc, F.lit(folds)) == fold).alias("held_out"))
     schema = "shard long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words array<long>, endings array<int>, counts array<long>"
-    shards = stored(rows.mapInArrow(_shards, schema), "shards")
+    shards = stored(rows.mapInArrow(_shards, schema), "shards", group_bytes=WIDE_BYTES)
     entries = shards.select("shard", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("pos", "e"))
     entries = entries.select("shard", "pos", F.col("e.words").alias("word"), F.col("e.endings").alias("ending"), F.col("e.counts").alias("n"))
     vocabulary = stored(entries.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")).where("n > 0"), "vocabulary")
@@ -453,7 +460,7 @@ def scored(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     buckets = max(1, -(-distinct // BUCKET_WORDS))
     shared = spark.sparkContext.broadcast((frequent, own, buckets))
     contexts = seen.mapInArrow(_contexts(shared), CONTEXTS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    contexts = stored(contexts.mapInArrow(_added_contexts, CONTEXTS), "contexts")
+    contexts = stored(contexts.mapInArrow(_added_contexts, CONTEXTS), "contexts", group_bytes=WIDE_BYTES)
     weights, count, words = _context_classes(contexts, n, own)
     # the places of words move narrow: place and ending in one number, count and class in another
     units = [0, *range(1 + ENDINGS, 1 + ENDINGS + len(frequent))]
