@@ -79,3 +79,9 @@ def test_configurations_of_the_catalogue_are_fitted_side_by_side(spark, monkeypa
     rows = catalogue.QUERIES["model_catalog"](spark, FOLDER).collect()
     assert {r["name"] for r in rows} == set(training.default_configs())
     assert all(r["beats_guessing"] for r in rows)
+
+
+def test_stored_rows_are_read_in_the_order_of_their_files(spark):
+    found = {tuple(r["id"] for r in training.stored(spark.range(1000).coalesce(1)).collect()) for _ in range(4)}
+    assert len(found) == 1 and sorted(found.pop()) == list(range(1000))
+    assert training.stored(spark.range(0)).count() == 0
